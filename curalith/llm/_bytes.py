@@ -102,9 +102,9 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return words
     if n < k:
-        h = U(n)
-        for w in words:
-            h = (h * U(R) + w) & U(0xFFFFFFFFFFFFFFFF)
+        h = n
+        for w in words.tolist():
+            h = (h * R + w) & 0xFFFFFFFFFFFFFFFF
         return mix(np.array([h], U) ^ U(0x5851F42D4C957F2D))
     h = words[: n - k + 1].copy()
     for i in range(1, k):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of their operators.
-MODULES = ("simhash", "tokens", "bpe", "mixing")
+MODULES = ("simhash", "tokens", "bpe", "mixing", "exact_dedup")
 
 
 def _modules():

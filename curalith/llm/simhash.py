@@ -35,8 +35,8 @@ def _votes(h: np.ndarray, w: np.ndarray) -> str:
 def fingerprint_of(words: np.ndarray, k: int = SHINGLE) -> str:
     """Fingerprint of a text given the hashes of its words."""
     h, n = np.unique(B.shingles(words, k), return_counts=True)
-    # few bits of precision, so that sums are exact in any order and equal texts vote alike
-    return _votes(h, np.round(64 * (1 + np.log(n))).astype(np.float32) / 64)
+    # whole numbers, so that sums are exact in any order and equal texts vote alike
+    return _votes(h, np.round(64 * (1 + np.log(n))).astype(np.float32 if len(h) <= 4096 else np.float64))
 
 
 def fingerprints(texts: list[str], k: int = SHINGLE) -> list[str]:
