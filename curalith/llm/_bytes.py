@@ -44,7 +44,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return cache["powers"]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch of about ``most`` text bytes (one row at least)."""
     sizes = np.diff(text_offsets(batch.column(column)))
     edge = np.cumsum(sizes) // most

@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array([every[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["shard", "x"])
 
         for batch in batches:
-            for part in B.slices(batch, "text", 4 << 20):
+            for part in B.slices(batch, "text", 1 << 20):
                 data, off = B.text_bytes(part.column("text"))
                 r, h, a, lo, hi = anchors(data, off, length, gram)
                 out = np.zeros(len(r), ANCHOR)
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in B.slices(batch, "text", 2 << 20):
+            for part in B.slices(batch, "text", 1 << 20):
                 held, texts = [], []
                 at = 0
                 for text, xs in zip(part.column("text"), part.column("xs")):
