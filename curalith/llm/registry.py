@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of their operators.
-MODULES = ("simhash", "tokens", "bpe", "mixing", "quality", "exact_dedup", "line_dedup", "repeats")
+MODULES = ("simhash", "tokens", "ngram_join", "bpe", "mixing", "quality", "exact_dedup", "line_dedup", "repeats")
 
 
 def _modules():
