@@ -1,15 +1,16 @@
 """Joining documents whose sets of word n-grams have a Jaccard similarity at or above a threshold.
 
-A size-aware heavy-light join. Light sets are small enough to list fixed-size subsets: two sets link exactly when
-they share a subset of the size that the threshold asks of their sizes. Heavy sets are dealt by blocking keys
-that lose no pair, and inverted lists over the sets that met are scanned. The boundary is the largest size whose
-subsets cost less than its share of blocking and scanning.
-
-Blocking of heavy sets: sets that link differ in few elements, so among more parts of the hash space than that
-(dealt anew for each size class), some are equal as wholes. Part hashes cover several elements, so a shared passage
-alone does not bring documents together. Keys that meet form candidate clusters, each set is sent to its cluster
-once, and inverted lists give exact overlaps there. A cluster beyond ``BLOCK`` sets is scanned in pairs of blocks.
-Only links of a spanning forest leave a scan, so groups of copies never become all their pairs.
+A size-aware heavy-light join over inverted lists. First the lists are built, dealt by n-gram: an n-gram that one
+set alone has adds to no intersection, so a set keeps only its shared n-grams, and a set of which too few are
+shared links with nothing. What is left is small and whole: intersections of shared n-grams are those of the sets.
+
+Light sets are small enough to list fixed-size subsets: two sets link exactly when they share a subset of the size
+that the threshold asks of their sizes. Heavy sets are blocked without losing a pair: sets that link differ in few
+elements, so among more parts of the hash space than that (dealt anew for each size class), some are equal as
+wholes. The boundary is the largest size whose subsets cost less than blocking and scanning. Keys that meet form
+candidate clusters, each set is sent to its cluster once, and scanning the inverted lists there gives exact
+overlaps. A cluster beyond ``BLOCK`` sets is scanned in pairs of blocks. Only links of a spanning forest leave a
+scan, so groups of copies never become all their pairs.
 """
 
 from __future__ import annotations
@@ -75,19 +76,18 @@ class Plan:
         most elements of a weak part."""
         end = self.class_end(c)
         most = (self.den - self.num) * 2 * end // (self.den + self.num)
-        spare = 2 + (most + 1) // 8
-        return most + 1 + spare, spare, 0 if end < 60 else 1 if end < 200 else 2
+        spare = 2 + (most + 1) // 5
+        return most + 1 + spare, spare, 0 if end < 60 else 1
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of a sorted set: sets that link share one."""
-        n = len(s)
+    def keys(self, s: np.ndarray, n: int) -> np.ndarray:
+        """Keys of a set of n elements, of which ``s`` holds those that other sets have too: sets that link share one."""
         out = []
         if n <= self.light:
             for b in self.partners(n):
                 c = self.overlap(n, b)
-                if c <= n:
+                if c <= len(s):
                     tag = U((min(n, b) << 32 | max(n, b)) & 0xFFFFFFFFFFFFFFFF)
-                    take = np.array(list(combinations(range(n), c)))
+                    take = np.array(list(combinations(range(len(s)), c)))
                     out.append(B.mix(B.mix(s)[take].sum(1, dtype=U) ^ B.mix(np.array([tag], U))))
         if self.den * n // self.num > self.light:  # it may link with a heavy set
             c = self.size_class(n)
@@ -117,11 +117,11 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(B.mix(np.array([v], U)).view(np.int64)[0]) for v in x)
 
 
-def scan(sets: list[np.ndarray], num: int, den: int, split: int | None = None) -> list[tuple[int, int]]:
+def scan(sets: list[np.ndarray], size: np.ndarray, num: int, den: int, split: int | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of all links among the sets (with ``split``, of those between the first ``split``
-    and the others), by scanning inverted lists."""
+    and the others), by scanning inverted lists. ``size``: of the whole sets."""
     n = len(sets)
-    size = np.array([len(s) for s in sets])
+    held = np.array([len(s) for s in sets])
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -131,7 +131,7 @@ def scan(sets: list[np.ndarray], num: int, den: int, split: int | None = None) -
         return i
 
     _, word = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n), held)
     if split is None:
         first, others = np.arange(n), owner
     else:
@@ -141,7 +141,7 @@ def scan(sets: list[np.ndarray], num: int, den: int, split: int | None = None) -
     o = np.argsort(word if split is None else word_of, kind="stable")
     lists = others[o]
     start = np.searchsorted((word if split is None else word_of)[o], np.arange(word.max() + 2))
-    edge = np.append(0, np.cumsum(size))
+    edge = np.append(0, np.cumsum(held))
     out = []
     for i in first.tolist():
         w = word[edge[i] : edge[i + 1]]
@@ -169,7 +169,6 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     num, den = threshold
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = 4 * parts
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -182,47 +181,31 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ids = [set_id(s) for s in own]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in own], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())], ["id", "n", "s", "s2"])
 
+    known = materialise(rows.mapInArrow(describe, "id long, n long, s long, s2 long"), "sets")
+    shared = materialise(_shared_elements(rows, sets, parts, num, den), "shared")
+    shards = 4 * parts
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(num, den)
-        held, count = [], 0
-
-        def flush() -> pa.RecordBatch:
-            sid = np.repeat(np.array([s for s, _ in held], np.int64), [len(x) for _, x in held])
-            keys = np.concatenate([x for _, x in held])
-            shard = (keys % U(shards)).astype(np.int64)
-            o = np.lexsort((sid, shard))
-            sid, keys, shard = sid[o], keys[o], shard[o]
-            lead = np.flatnonzero((np.diff(shard, prepend=-1) != 0) | (np.diff(sid, prepend=sid[0] + 1) != 0))
-            runs = np.diff(np.append(lead, len(sid))).astype(np.uint32)
-            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-            at = np.searchsorted(lead, cuts)
-            out = [(int(shard[a]), sid[lead[i:j]].tobytes(), runs[i:j].tobytes(), keys[a:b].tobytes()) for a, b, i, j in zip(cuts, cuts[1:], at, at[1:])]
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "sids", "runs", "keys"])
-
         for batch in batches:
-            for _, own in sets(batch):
-                seen = {}
-                for s in own:
-                    if len(s):
-                        seen.setdefault(set_id(s)[0], s)
-                for sid, s in seen.items():
-                    held.append((sid, plan.keys(s)))
-                    count += len(held[-1][1])
-                if count > 1_500_000:
-                    yield flush()
-                    held, count = [], 0
-        if count:
-            yield flush()
+            sids, sizes = batch.column("s").to_pylist(), batch.column("n").to_pylist()
+            keys = [plan.keys(np.frombuffer(x.as_buffer(), U), n) for x, n in zip(batch.column("x"), sizes)]
+            sid, key = np.repeat(np.array(sids, np.int64), [len(x) for x in keys]), np.concatenate(keys) if keys else np.zeros(0, U)
+            shard = (key % U(shards)).astype(np.int64)
+            o = np.argsort(shard, kind="stable")
+            sid, key, shard = sid[o], key[o], shard[o]
+            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), *(pa.array([v[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for v in (sid, key))], ["shard", "sids", "keys"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
         for batch in batches:
-            for s, sids, runs, keys in zip(batch.column("shard").to_pylist(), *(batch.column(c) for c in ("sids", "runs", "keys"))):
+            for s, sids, keys in zip(batch.column("shard").to_pylist(), batch.column("sids"), batch.column("keys")):
                 if s != shard and held:
                     yield stars(held)
                     held = []
                 shard = s
-                held.append((np.repeat(np.frombuffer(sids.as_buffer(), np.int64), np.frombuffer(runs.as_buffer(), np.uint32)), np.frombuffer(keys.as_buffer(), U)))
+                held.append((np.frombuffer(sids.as_buffer(), np.int64), np.frombuffer(keys.as_buffer(), U)))
         if held:
             yield stars(held)
 
@@ -235,35 +218,15 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = np.unique(np.stack([least, sid], 1)[least != sid], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
-    known = materialise(rows.mapInArrow(describe, "id long, n long, s long, s2 long"), "sets")
-    met = rows.mapInArrow(deal, "shard int, sids binary, runs binary, keys binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(meet, "src long, dst long")
+    met = shared.mapInArrow(deal, "shard int, sids binary, keys binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(meet, "src long, dst long")
     near = connected_components(met.distinct())
-    distinct = known.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("id"), F.count("*").alias("c"))
-    members = near.join(distinct, near["node"] == distinct["s"]).select("component", "s", "s2", "id")
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
-    members = members.join(sizes.where("m > 1"), "component").withColumn("nb", F.when(F.col("m") <= BLOCK, 1).otherwise(blocks))
-    members = members.withColumn("b", F.pmod("s", "nb").cast("int"))
-    members = materialise(members.select("component", "s", "s2", "id", "nb", "b"), "members")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, own in sets(batch):
-                cols = [part.column(c).to_pylist() for c in ("component", "s", "s2", "nb", "b")]
-                got = [(c, s, nb, b, x.tobytes()) for c, s, s2, nb, b, x in zip(*cols, own) if len(x) and set_id(x) == (s, s2)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["component", "s", "nb", "b", "x"])
-
-    # one row stands for a set; its text travels once
-    texts = rows.where("id is not null").join(members.where("id is not null").hint("shuffle_hash"), "id")
-    nameless = rows.where("id is null").withColumn("t", F.xxhash64("text"))
-    if not members.where("id is null").isEmpty():
-        # sets that only rows without an id have: these rows offer their texts to all such sets' clusters by set
-        alone = nameless.drop("id").mapInArrow(_describe_texts(k, lower), "s long, s2 long, text string").dropDuplicates(["s", "s2"])
-        texts = texts.unionByName(alone.join(members.where("id is null"), ["s", "s2"]).select(*texts.columns))
-    found = texts.select("text", "component", "s", "s2", "nb", "b").mapInArrow(fetch, "component long, s long, nb int, b int, x binary")
+    sizes = near.groupBy("component").agg(F.count("*").alias("m"))
+    blocks = F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / (BLOCK // 2))).cast("int")
+    placed = near.join(sizes, "component").withColumn("nb", blocks).withColumn("b", F.pmod("node", "nb").cast("int"))
+    found = shared.join(placed, shared["s"] == placed["node"]).select("component", "s", "n", "nb", "b", "x")
     # pairs of blocks, each set once for every other block
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))
-    dealt = found.select("component", "s", "b", "x", F.explode(pair).alias("p")).select("component", "p.lo", "p.hi", "b", "s", "x")
+    dealt = found.select("component", "s", "n", "b", "x", F.explode(pair).alias("p")).select("component", "p.lo", "p.hi", "b", "s", "n", "x")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, own = None, {}
@@ -274,23 +237,24 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 order = sorted(own, key=lambda s: own[s][0] != here[1])
                 split = sum(own[s][0] == here[1] for s in order) if here[1] != here[2] else None
                 if split is None or 0 < split < len(order):
-                    links.extend((order[i], order[j]) for i, j in scan([own[s][1] for s in order], num, den, split))
+                    links.extend((order[i], order[j]) for i, j in scan([own[s][2] for s in order], np.array([own[s][1] for s in order]), num, den, split))
 
         for batch in batches:
-            for c, lo, hi, b, s, x in zip(*(batch.column(c).to_pylist() for c in ("component", "lo", "hi", "b", "s")), batch.column("x")):
+            for c, lo, hi, b, s, n, x in zip(*(batch.column(c).to_pylist() for c in ("component", "lo", "hi", "b", "s", "n")), batch.column("x")):
                 if (c, lo, hi) != here:
                     settle()
                     here, own = (c, lo, hi), {}
                     if len(links) > 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["src", "dst"])
                         links.clear()
-                own[s] = (b, np.frombuffer(x.as_py(), U))
+                own[s] = (b, n, np.frombuffer(x.as_py(), U))
         settle()
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["src", "dst"])
 
     links = dealt.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(judge, "src long, dst long")
     linked = connected_components(links)
+    distinct = known.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("id"), F.count("*").alias("c"))
     # the least id of each component, then of each set
     sets_ = distinct.join(linked, distinct["s"] == linked["node"], "left").withColumn("component", F.coalesce("component", "s"))
     least = sets_.groupBy("component").agg(F.min("id").alias("component_id"), F.sum("c").alias("group_size"))
@@ -306,14 +270,120 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _describe_texts(k: int, lower: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+LOW = U((1 << 48) - 1)
+
+
+def _shared_elements(rows: DataFrame, sets, parts: int, num: int, den: int, flush_at: int = 1_500_000) -> DataFrame:
+    """``(s, n, x)``: for sets that may link, the id, the size, and the elements that other sets have too (packed).
+
+    Inverted lists by element: each map task packs its elements into one block for each shard of the hash (48 bits
+    of the rest of the hash, run lengths for sets). An element that several of its sets have is known to be shared:
+    it goes to its shard once, as a mark, and these sets' own lists pass by; so a very common element costs each
+    task one entry.
+    """
+
+    def packed(kind: int, group: np.ndarray, sid: np.ndarray, n: np.ndarray, key: np.ndarray, of: np.ndarray | None = None) -> pa.RecordBatch:
+        """Blocks of (set, elements) for each group (shard); all arrays are by element, sorted by group, then set."""
+        lead = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(sid, prepend=sid[0] - 1 if sid[0] > 0 else sid[0] + 1) != 0))
+        runs = np.diff(np.append(lead, len(sid))).astype(np.uint32)
+        cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+        at = np.searchsorted(lead, cuts)
+        low, high = (key & U(0xFFFFFFFF)).astype(np.uint32), (key >> U(32)).astype(np.uint16)
+        out = [(kind, int(group[a]), sid[lead[i:j]].tobytes(), n[lead[i:j]].astype(np.uint32).tobytes(), runs[i:j].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), b"" if of is None else of[a:b].astype(np.uint32).tobytes()) for a, b, i, j in zip(cuts, cuts[1:], at, at[1:])]
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["kind", "shard", "sids", "ns", "runs", "low", "high", "of"])
+
+    def flush(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sids = np.array(list(held), np.int64)
+        size = np.array([len(x) for x in held.values()])
+        every = np.concatenate(list(held.values()))
+        o = np.argsort(every)
+        every, who = every[o], np.repeat(np.arange(len(sids)), size)[o]
+        twin = np.zeros(len(every), bool)
+        same = every[1:] == every[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        first = twin.copy()
+        first[1:] &= ~same
+        shard, rest = (every % U(parts)).astype(np.int64), (every // U(parts)) & LOW
+        place = np.where(twin, -1, shard * len(sids) + who)
+        o = np.argsort(place)[int(twin.sum()) :]
+        if len(o):
+            yield packed(0, shard[o], sids[who[o]], size[who[o]], rest[o])
+        o = np.flatnonzero(first)
+        if len(o):
+            o = o[np.argsort(shard[o], kind="stable")]
+            yield packed(1, shard[o], np.zeros(len(o), np.int64), np.zeros(len(o), np.int64), rest[o])
+        # what is known to be shared passes by, dealt by its set
+        o = np.flatnonzero(twin)
+        if len(o):
+            to = (B.mix(sids.view(U)) % U(parts)).astype(np.int64)[who[o]]
+            p = np.argsort(to * len(sids) + who[o], kind="stable")
+            o, to = o[p], to[p]
+            yield packed(2, to, sids[who[o]], size[who[o]], rest[o], shard[o])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = {}, 0
         for batch in batches:
-            for part in B.slices(batch, "text"):
-                ids = [set_id(set_of(w, k)) for w in B.hashed_words(part.column("text"), lower)]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), part.column("text")], ["s", "s2", "text"])
+            for _, own in sets(batch):
+                for s in own:
+                    if len(s) and (sid := set_id(s)[0]) not in held:
+                        held[sid] = s
+                        count += len(s)
+                if count > flush_at:
+                    yield from flush(held)
+                    held, count = {}, 0
+        if held:
+            yield from flush(held)
 
-    return run
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for batch in batches:
+            for kind, sh, *cells in zip(batch.column("kind").to_pylist(), batch.column("shard").to_pylist(), *(batch.column(c) for c in ("sids", "ns", "runs", "low", "high", "of"))):
+                if sh != shard and held:
+                    yield from listed(shard, held)
+                    held = []
+                shard = sh
+                held.append((kind, *(np.frombuffer(c.as_py(), t) for c, t in zip(cells, (np.int64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32)))))
+        if held:
+            yield from listed(shard, held)
+
+    def listed(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sid, n = (np.concatenate([np.repeat(h[i], h[3]) for h in held]) for i in (1, 2))
+        key = np.concatenate([h[4].astype(U) | h[5].astype(U) << U(32) for h in held])
+        of = np.concatenate([h[6].astype(U) if h[0] == 2 else np.full(len(h[4]), shard, U) for h in held])
+        kind = np.concatenate([np.full(len(h[4]), h[0], np.int8) for h in held])
+        key |= of << U(48)
+        keep = kind == 2
+        o = np.flatnonzero(~keep)
+        if len(o):
+            o = o[np.argsort(key[o])]
+            lead = np.flatnonzero(np.diff(key[o], prepend=key[o[0]] + U(1)) != 0)
+            many = (np.minimum.reduceat(sid[o], lead) != np.maximum.reduceat(sid[o], lead)) | (np.maximum.reduceat(kind[o], lead) > 0)
+            keep[o] = np.repeat(many, np.diff(np.append(lead, len(o)))) & (kind[o] == 0)
+        sid, n, key = sid[keep], n[keep], key[keep]
+        if not len(sid):
+            return
+        o = np.argsort(sid, kind="stable")
+        sid, n, key = sid[o], n[o], key[o]
+        cuts = np.append(np.flatnonzero(np.diff(sid, prepend=sid[0] - 1 if sid[0] > 0 else sid[0] + 1) != 0), len(sid))
+        yield pa.RecordBatch.from_arrays([pa.array(sid[cuts[:-1]]), pa.array(n[cuts[:-1]].astype(np.int64)), pa.array([key[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["s", "n", "x"])
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s, n, xs in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist(), batch.column("xs")):
+                own = np.unique(np.frombuffer(b"".join(x.as_py() for x in xs.values), U))
+                if den * len(own) >= num * n:  # any partner asks for so many at least
+                    out.append((s, n, own.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["s", "n", "x"])
+
+    blocks = rows.mapInArrow(deal, "kind int, shard int, sids binary, ns binary, runs binary, low binary, high binary, of binary")
+    lists = blocks.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, "s long, n long, x binary")
+    # a list that is too short even with the doubled entries of copies needs no unpacking
+    lists = lists.groupBy("s").agg(F.max("n").alias("n"), F.collect_list("x").alias("xs"), F.sum(F.length("x")).alias("bytes"))
+    return lists.where(F.col("bytes") / 8 * den >= F.col("n") * num).select("s", "n", "xs").mapInArrow(enough, "s long, n long, x binary")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
