@@ -366,24 +366,46 @@ def _shared_elements(rows: DataFrame, sets, parts: int, num: int, den: int, flus
             return
         o = np.argsort(sid, kind="stable")
         sid, n, key = sid[o], n[o], key[o]
-        cuts = np.append(np.flatnonzero(np.diff(sid, prepend=sid[0] - 1 if sid[0] > 0 else sid[0] + 1) != 0), len(sid))
-        yield pa.RecordBatch.from_arrays([pa.array(sid[cuts[:-1]]), pa.array(n[cuts[:-1]].astype(np.int64)), pa.array([key[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["s", "n", "x"])
+        lead = np.flatnonzero(np.diff(sid, prepend=sid[0] - 1 if sid[0] > 0 else sid[0] + 1) != 0)
+        size = np.diff(np.append(lead, len(sid)))
+        to = (B.mix(sid[lead].view(U) + U(1)) % U(parts)).astype(np.int64)
+        o = np.argsort(to, kind="stable")
+        every = np.argsort(np.repeat(to, size), kind="stable")
+        lead, size, to, key = lead[o], size[o], to[o], key[every]
+        cuts = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+        at = np.append(0, np.cumsum(size))[cuts]
+        out = [(int(to[a]), sid[lead[a:b]].tobytes(), n[lead[a:b]].astype(np.uint32).tobytes(), size[a:b].astype(np.uint32).tobytes(), key[i:j].tobytes()) for a, b, i, j in zip(cuts, cuts[1:], at, at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), *[pa.binary()] * 4))], ["to", "sids", "ns", "runs", "x"])
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[], [], []]
         for batch in batches:
-            out = []
-            for s, n, xs in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist(), batch.column("xs")):
-                own = np.unique(np.frombuffer(b"".join(x.as_py() for x in xs.values), U))
-                if den * len(own) >= num * n:  # any partner asks for so many at least
-                    out.append((s, n, own.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["s", "n", "x"])
+            for sids, ns, runs, x in zip(*(batch.column(c) for c in ("sids", "ns", "runs", "x"))):
+                runs = np.frombuffer(runs.as_py(), np.uint32)
+                held[0].append(np.repeat(np.frombuffer(sids.as_py(), np.int64), runs))
+                held[1].append(np.repeat(np.frombuffer(ns.as_py(), np.uint32), runs))
+                held[2].append(np.frombuffer(x.as_py(), U))
+        if not held[0]:
+            return
+        sid, n, key = map(np.concatenate, held)
+        del held
+        o = np.lexsort((key, sid))
+        sid, n, key = sid[o], n[o], key[o]
+        once = np.ones(len(sid), bool)
+        once[1:] = (sid[1:] != sid[:-1]) | (key[1:] != key[:-1])
+        sid, n, key = sid[once], n[once], key[once]
+        lead = np.flatnonzero(np.diff(sid, prepend=sid[0] - 1 if sid[0] > 0 else sid[0] + 1) != 0)
+        ends = np.append(lead[1:], len(sid))
+        use = den * (ends - lead) >= num * n[lead].astype(np.int64)  # any partner asks for so many at least
+        for at in range(0, len(lead), 2000):
+            some = [(a, b) for a, b, ok in zip(lead[at : at + 2000], ends[at : at + 2000], use[at : at + 2000]) if ok]
+            if some:
+                first = np.array([a for a, _ in some])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[first]), pa.array(n[first].astype(np.int64)), pa.array([key[a:b].tobytes() for a, b in some], pa.binary())], ["s", "n", "x"])
 
     blocks = rows.mapInArrow(deal, "kind int, shard int, sids binary, ns binary, runs binary, low binary, high binary, of binary")
-    lists = blocks.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, "s long, n long, x binary")
-    # a list that is too short even with the doubled entries of copies needs no unpacking
-    lists = lists.groupBy("s").agg(F.max("n").alias("n"), F.collect_list("x").alias("xs"), F.sum(F.length("x")).alias("bytes"))
-    return lists.where(F.col("bytes") / 8 * den >= F.col("n") * num).select("s", "n", "xs").mapInArrow(enough, "s long, n long, x binary")
+    lists = blocks.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, "to int, sids binary, ns binary, runs binary, x binary")
+    return lists.repartition(parts, "to").mapInArrow(enough, "s long, n long, x binary")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
