@@ -168,13 +168,32 @@ def _repeated(rows: np.ndarray) -> np.ndarray:
     return rows[keep]
 
 
-def _by_doc(rows: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: its keys and its packed records."""
-    rows = rows[np.lexsort((rows["t"], rows["d"]))]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["d"][1:] != rows["d"][:-1]) | (rows["t"][1:] != rows["t"][:-1])
-    cuts = np.append(np.flatnonzero(new), len(rows))
-    return pa.RecordBatch.from_arrays([pa.array(rows["d"][cuts[:-1]]), pa.array(rows["t"][cuts[:-1]]), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["d", "t", "x"])
+def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Packed records for each part of the documents."""
+    to = (B.mix(rows["t"].astype(U) ^ B.mix(rows["d"].astype(U))) % U(parts)).astype(np.int64)
+    o = np.argsort(to, kind="stable")
+    rows, to = rows[o], to[o]
+    cuts = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+    return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["to", "x"])
+
+
+def _by_doc(kind: np.dtype):
+    """One row for each document of a part: its keys and its packed records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x.as_py(), kind) for batch in batches for x in batch.column("x")]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows["t"], rows["d"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["d"][1:] != rows["d"][:-1]) | (rows["t"][1:] != rows["t"][:-1])
+        cuts = np.append(np.flatnonzero(new), len(rows))
+        for at in range(0, len(cuts) - 1, 2000):
+            some = cuts[at : at + 2001]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["d"][some[:-1]]), pa.array(rows["t"][some[:-1]]), pa.array([rows[a:b].tobytes() for a, b in zip(some, some[1:])], pa.binary())], ["d", "t", "x"])
+
+    return run
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -238,18 +257,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(x.as_buffer(), ANCHOR) for batch in batches for x in batch.column("x")]
         if held and len(again := _repeated(np.concatenate(held))):
-            yield _by_doc(again)
+            yield _dealt(again, parts)
 
-    found = rows.mapInArrow(find, "shard int, x binary").repartition(parts, "shard").mapInArrow(meet, "d long, t long, x binary")
-    lists = found.groupBy("d", "t").agg(F.collect_list("x").alias("xs"))
+    found = rows.mapInArrow(find, "shard int, x binary").repartition(parts, "shard").mapInArrow(meet, "to int, x binary")
+    lists = found.repartition(parts, "to").mapInArrow(_by_doc(ANCHOR), "d long, t long, x binary")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in B.slices(batch, "text", 1 << 20):
                 held, texts = [], []
                 at = 0
-                for text, xs in zip(part.column("text"), part.column("xs")):
-                    own = np.frombuffer(b"".join(x.as_py() for x in xs.values), ANCHOR)
+                for text, x in zip(part.column("text"), part.column("x")):
+                    own = np.frombuffer(x.as_py(), ANCHOR)
                     # the list of a row that repeats holds each anchor as often
                     own = own[np.unique(own["a"].astype(np.int64) << 32 | own["lo"], return_index=True)[1]]
                     data = np.frombuffer(text.as_buffer(), np.uint8)
@@ -316,23 +335,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out["d"], out["t"] = own["d"][member], own["t"][member]
             out["a"], out["b"] = own["a"][member] - before, own["a"][member] + after
             if len(out):
-                yield _by_doc(np.unique(out))
+                yield _dealt(np.unique(out), parts)
 
-    near = dealt.join(lists.hint("shuffle_hash"), ["d", "t"]).select("text", "xs", "d", "t").mapInArrow(surround, "shard int, x binary, body binary")
-    spans = near.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, "d long, t long, x binary")
-    spans = spans.groupBy("d", "t").agg(F.collect_list("x").alias("xs"))
+    near = dealt.join(lists.hint("shuffle_hash"), ["d", "t"]).select("text", "x", "d", "t").mapInArrow(surround, "shard int, x binary, body binary")
+    spans = near.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, "to int, x binary")
+    spans = spans.repartition(parts, "to").mapInArrow(_by_doc(SPAN), "d long, t long, x binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, runs, kept = [], [], []
-            for text, xs in zip(batch.column("text"), batch.column("xs")):
+            for text, x in zip(batch.column("text"), batch.column("x")):
                 data = text.as_buffer()
                 sizes.append(len(data))
-                if not xs.is_valid:
+                if not x.is_valid:
                     runs.append(b"")
                     kept.append(data.to_pybytes())
                     continue
-                s = np.frombuffer(b"".join(x.as_py() for x in xs.values), SPAN)
+                s = np.frombuffer(x.as_py(), SPAN)
                 m = _merged(np.stack([s["a"], s["b"]], 1).astype(np.int64))
                 keep = np.ones(len(data), bool)
                 for a, b in m:
@@ -341,7 +360,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 kept.append(np.frombuffer(data, np.uint8)[keep].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(runs, pa.binary()), pa.array(kept, pa.binary())], ["d", "text", "n_bytes", "spans", "kept"])
 
-    out = dealt.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "xs").mapInArrow(cut, "d long, text string, n_bytes long, spans binary, kept binary")
+    out = dealt.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "x").mapInArrow(cut, "d long, text string, n_bytes long, spans binary, kept binary")
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "text", "n_bytes", "spans", "kept")
 
 
