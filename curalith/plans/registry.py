@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import curation, evaluation
+
 
 def queries() -> dict:
-    return {}
+    return curation.Q | evaluation.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return curation.SQL | evaluation.SQL
