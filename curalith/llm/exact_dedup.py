@@ -17,6 +17,7 @@ from curalith.storage import fresh_path, materialise
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: A group with at least this share of all rows is hot; there are at most 1 / HOT of them.
@@ -75,7 +76,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     ``digest`` may be any function of the text: rows with equal digests and other bytes are told apart.
     """
     spark = docs.sparkSession
-    norm = normalised(F.col(text))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = fresh_path(spark, "digests")
     rows = base.withColumn("norm", normalised(F.col("text"))).select("doc_id", digest(F.col("norm")).alias("digest"), F.sha2("norm", 256).alias("text_sha256"), F.xxhash64("text", "doc_id").alias("locator"))
@@ -85,36 +85,26 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     total = rows.count()
     found = by_group(rows, groups.withColumnRenamed("locator", "keep_locator"), total)
 
-    # hits against the full bytes of the row that stays; texts of single rows are never moved
-    repeated = groups.where("group_size > 1")
-    content = base.select("doc_id", "text", norm.alias("norm")) if text == "text" else base.select("doc_id", "text", normalised(F.col("text")).alias("norm"))
-    content = content.select("doc_id", "norm", digest(F.col("norm")).alias("digest"), F.xxhash64("text", "doc_id").alias("locator"))
-    hits = by_group(content, repeated.withColumnRenamed("locator", "keep_locator"), total)
-    keepers = hits.where((F.col("locator") == F.col("keep_locator")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("keep_norm"), F.max("group_size").alias("group_size"))
-    odd = materialise(_differing(hits.drop("group_size", "keep_id", "keep_locator"), keepers, total), "collisions")
+    # hits against the full bytes: their rows are found by id and locator, so that only texts of repeated digests are
+    # normalised again, and least and greatest bytes of a digest, formed before the shuffle, are those of one text
+    least = F.lit(-(2**63))
+    marked = by_group(rows.select("digest", "doc_id", "locator"), groups.where("group_size > 1").select("digest", "group_size"), total)
+    marked = marked.select("digest", F.coalesce("doc_id", least).alias("k"), "locator").distinct()
+    content = base.select(F.coalesce("doc_id", least).alias("k"), F.xxhash64("text", "doc_id").alias("locator"), "doc_id", "text")
+    hits = content.join(marked.hint("shuffle_hash"), ["k", "locator"]).select("digest", "doc_id", "locator", normalised(F.col("text")).alias("norm"))
+    bytes_ = hits.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
+    odd = materialise(bytes_.where("a <> b").select("digest"), "collisions")
     if odd.isEmpty():
         out = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator")))
         return out.select("doc_id", "locator", "keep_id", "group_size", "kept", "text_sha256")
     # digests that stand for several texts: their rows are grouped by text
-    mixed = content.join(odd.select("digest").distinct(), "digest")
+    mixed = hits.join(odd, "digest")
     exact = mixed.groupBy("norm").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("group_size"))
     told = mixed.join(exact, "norm").select("doc_id", "locator", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("locator") == F.col("keep.locator"))).alias("kept"), F.sha2("norm", 256).alias("text_sha256"))
-    out = found.join(odd.select("digest").distinct(), "digest", "left_anti").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator")))
+    out = found.join(odd, "digest", "left_anti").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator")))
     return out.select("doc_id", "locator", "keep_id", "group_size", "kept", "text_sha256").unionByName(told)
 
 
-def _differing(hits: DataFrame, keepers: DataFrame, total: int) -> DataFrame:
-    """Hits whose bytes are not those of the row that stays. A hot group's keeper is spread over as many salts as
-    its size calls for, so that no task gets the whole group."""
-    share = max(1, total // 1000)
-    salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / share)).cast("int")
-    spread = keepers.withColumn("salts", salts)
-    salted = spread.select("digest", "keep_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    hot = F.broadcast(spread.where("salts > 1").select("digest", "salts"))
-    rows = hits.join(hot, "digest", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "locator"), F.col("salts"))).cast("int"))
-    return rows.join(salted.hint("merge"), ["digest", "salt"]).where("norm <> keep_norm").select("digest", "doc_id")
-
-
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that others stand for; all columns stay."""
     keep = deduplicate(docs, doc_id, text).where("kept").select(F.col("locator").alias("_locator"), F.col("doc_id").alias("_id")).distinct()
