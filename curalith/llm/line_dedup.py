@@ -92,7 +92,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(t).alias("t"), t.alias("text")).join(first.hint("shuffle_hash"), ["d", "t"])
     # texts are split once, below the explosion
-    rows = rows.select(F.split("text", "\n", -1).alias("all"), "xs").select(F.explode(F.zip_with("xs", F.transform("xs", lambda x: x["n"]), lambda x, n: F.struct(x["id"].alias("id"), x["pos"].alias("pos"), F.get("all", n).alias("line")))).alias("x")).select("x.*").dropDuplicates(["id"])
+    rows = rows.select(F.split("text", "\n", -1).alias("all"), "xs").select("all", F.explode("xs").alias("x")).select("x.id", "x.pos", F.get("all", F.col("x.n")).alias("line")).dropDuplicates(["id"])
     cand = materialise(rows.withColumn("keys", block_keys(F.col("line"), SIEVES[1])), "sieved")
     cand = cand.join(_shared(cand.select("id", "keys")), "id").drop("keys")
     near = earliest_near(materialise(cand, "sieved"))
