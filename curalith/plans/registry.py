@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import curation, evaluation
+from . import audits, curation, evaluation
 
 
 def queries() -> dict:
-    return curation.Q | evaluation.Q
+    return curation.Q | evaluation.Q | audits.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return curation.SQL | evaluation.SQL
+    return curation.SQL | evaluation.SQL | audits.SQL

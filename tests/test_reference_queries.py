@@ -18,7 +18,7 @@ def value(x):
     return round(float(x), 6) if type(x).__name__ == "Decimal" else x
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
