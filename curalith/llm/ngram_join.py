@@ -7,9 +7,9 @@ shared links with nothing. What is left is small and whole: intersections of sha
 Light sets are small enough to list fixed-size subsets: two sets link exactly when they share a subset of the size
 that the threshold asks of their sizes. Heavy sets are blocked without losing a pair: sets that link differ in few
 elements, so among more parts of the hash space than that (dealt anew for each size class), some are equal as
-wholes. The boundary is the largest size whose subsets cost less than blocking and scanning. Keys that meet form
-candidate clusters, each set is sent to its cluster once, and scanning the inverted lists there gives exact
-overlaps. A cluster beyond ``BLOCK`` sets is scanned in pairs of blocks. Only links of a spanning forest leave a
+wholes, and the largest of these are keys. The boundary is the largest size whose subsets cost less than blocking
+and scanning. Keys that meet form candidate clusters, apart for each size class; each set is sent once to each of
+its clusters, at most three, and scanning the inverted lists there gives exact overlaps. A cluster beyond ``BLOCK`` sets is scanned in pairs of blocks. Only links of a spanning forest leave a
 scan, so groups of copies never become all their pairs.
 """
 
@@ -71,38 +71,52 @@ class Plan:
             self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
         return self.bounds[c] - 1
 
-    def parts(self, c: int) -> tuple[int, int, int]:
-        """For pairs of classes c - 1 and c: number of parts, how many of a pair's equal parts may be weak, and the
-        most elements of a weak part."""
-        end = self.class_end(c)
-        most = (self.den - self.num) * 2 * end // (self.den + self.num)
-        spare = 2 + (most + 1) // 5
-        return most + 1 + spare, spare, 0 if end < 60 else 1
-
-    def keys(self, s: np.ndarray, n: int) -> np.ndarray:
-        """Keys of a set of n elements, of which ``s`` holds those that other sets have too: sets that link share one."""
-        out = []
-        if n <= self.light:
-            for b in self.partners(n):
-                c = self.overlap(n, b)
-                if c <= len(s):
-                    tag = U((min(n, b) << 32 | max(n, b)) & 0xFFFFFFFFFFFFFFFF)
-                    take = np.array(list(combinations(range(len(s)), c)))
-                    out.append(B.mix(B.mix(s)[take].sum(1, dtype=U) ^ B.mix(np.array([tag], U))))
-        if self.den * n // self.num > self.light:  # it may link with a heavy set
-            c = self.size_class(n)
-            for j in (c, c + 1):
-                m, spare, weak = self.parts(j)
-                part = (B.mix(s ^ U(j * 0x9E3779B1)) % U(m)).astype(np.int64)
-                o = np.argsort(part, kind="stable")
-                part = part[o]
-                lead = np.flatnonzero(np.diff(part, prepend=-1))
-                size = np.bincount(part, minlength=m)
-                sums = np.zeros(m, U)
-                sums[part[lead]] = np.add.reduceat(B.mix(s[o] + U(1)), lead)
-                use = size > weak if (size <= weak).sum() <= spare else np.ones(m, bool)
-                out.append(B.mix(sums[use] + np.flatnonzero(use).astype(U) * U(B.R) + U(j * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
+    def parts(self, c: int) -> tuple[int, int]:
+        """For pairs of classes c - 1 and c: the number of parts, and how many of the smallest parts are no keys.
+
+        Linked sets differ in ``most`` elements at most, so that ``spare + 1`` of ``most + spare + 1`` parts are
+        equal. Each set leaves out its ``spare`` smallest parts (of equal sizes the first): at least ``spare`` parts
+        of either set come before the last of the equal ones, so both keep it.
+        """
+        most = (self.den - self.num) * 2 * self.class_end(c) // (self.den + self.num)
+        spare = 2 + (most + 1) // 2
+        return most + 1 + spare, spare
+
+    def classes(self, n: int) -> list[int]:
+        """The size classes of a set's clusters; class 0 holds subsets of light sets."""
+        c = self.size_class(n)
+        return ([0] if n <= self.light else []) + ([c, c + 1] if self.den * n // self.num > self.light else [])
+
+    def keys(self, s: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+        """For each class, keys of a set of n elements, of which ``s`` holds those that other sets have too: sets
+        that link share a key of one class."""
+        return [(j, np.unique(self._parts_of(s, j) if j else self._subsets_of(s, n))) for j in self.classes(n)]
+
+    def _subsets_of(self, s: np.ndarray, n: int) -> np.ndarray:
+        out = [np.zeros(0, U)]
+        for b in self.partners(n):
+            c = self.overlap(n, b)
+            if c <= len(s):
+                tag = U((min(n, b) << 32 | max(n, b)) & 0xFFFFFFFFFFFFFFFF)
+                take = np.array(list(combinations(range(len(s)), c)))
+                out.append(B.mix(B.mix(s)[take].sum(1, dtype=U) ^ B.mix(np.array([tag], U))))
+        return np.concatenate(out)
+
+    def _parts_of(self, s: np.ndarray, j: int) -> np.ndarray:
+        m, spare = self.parts(j)
+        part = (B.mix(s ^ U(j * 0x9E3779B1)) % U(m)).astype(np.int64)
+        o = np.argsort(part, kind="stable")
+        part = part[o]
+        lead = np.flatnonzero(np.diff(part, prepend=-1))
+        sums = np.zeros(m, U)
+        sums[part[lead]] = np.add.reduceat(B.mix(s[o] + U(1)), lead)
+        use = np.argsort(np.bincount(part, minlength=m), kind="stable")[spare:]
+        return B.mix(sums[use] + use.astype(U) * U(B.R) + U(j * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+
+
+def nodes_of(sid: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A set's name in the clusters of class j."""
+    return B.mix(sid.view(U) ^ B.mix(j.astype(U))).view(np.int64)
 
 
 def set_of(words: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -189,8 +203,11 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         plan = Plan(num, den)
         for batch in batches:
             sids, sizes = batch.column("s").to_pylist(), batch.column("n").to_pylist()
-            keys = [plan.keys(np.frombuffer(x.as_buffer(), U), n) for x, n in zip(batch.column("x"), sizes)]
-            sid, key = np.repeat(np.array(sids, np.int64), [len(x) for x in keys]), np.concatenate(keys) if keys else np.zeros(0, U)
+            keys = [(sid, j, key) for sid, x, n in zip(sids, batch.column("x"), sizes) for j, key in plan.keys(np.frombuffer(x.as_buffer(), U), n)]
+            if not keys:
+                continue
+            nodes = nodes_of(np.array([s for s, _, _ in keys], np.int64), np.array([j for _, j, _ in keys]))
+            sid, key = np.repeat(nodes, [len(x) for _, _, x in keys]), np.concatenate([x for _, _, x in keys])
             shard = (key % U(shards)).astype(np.int64)
             o = np.argsort(shard, kind="stable")
             sid, key, shard = sid[o], key[o], shard[o]
@@ -218,12 +235,20 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = np.unique(np.stack([least, sid], 1)[least != sid], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Plan(num, den)
+        for batch in batches:
+            of = [plan.classes(n) for n in batch.column("n").to_pylist()]
+            s = np.repeat(np.array(batch.column("s").to_pylist(), np.int64), [len(x) for x in of])
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(nodes_of(s, np.array([j for x in of for j in x], np.int64)))], ["s", "node"])
+
     met = shared.mapInArrow(deal, "shard int, sids binary, keys binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(meet, "src long, dst long")
     near = connected_components(met.distinct())
     sizes = near.groupBy("component").agg(F.count("*").alias("m"))
     blocks = F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / (BLOCK // 2))).cast("int")
-    placed = near.join(sizes, "component").withColumn("nb", blocks).withColumn("b", F.pmod("node", "nb").cast("int"))
-    found = shared.join(placed, shared["s"] == placed["node"]).select("component", "s", "n", "nb", "b", "x")
+    named = shared.select("s", "n").mapInArrow(name, "s long, node long")
+    placed = named.join(near, "node").join(sizes, "component").withColumn("nb", blocks).withColumn("b", F.pmod("node", "nb").cast("int"))
+    found = shared.join(placed, "s").select("component", "s", "n", "nb", "b", "x")
     # pairs of blocks, each set once for every other block
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))
     dealt = found.select("component", "s", "n", "b", "x", F.explode(pair).alias("p")).select("component", "p.lo", "p.hi", "b", "s", "n", "x")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,21 @@ def test_jaccard_groups(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("threshold", [(80, 100), (85, 100), (1, 2)])
+def test_linked_sets_share_a_key(threshold):
+    num, den = threshold
+    plan, rng, linked = ngram_join.Plan(num, den), np.random.default_rng(1), 0
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 120), dtype=np.uint64))
+        b = np.union1d(a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 2**63, rng.integers(0, len(a) // 4 + 1), dtype=np.uint64))
+        both = np.intersect1d(a, b)
+        if den * len(both) >= num * (len(a) + len(b) - len(both)) and len(both):
+            linked += 1
+            of_a, of_b = dict(plan.keys(both, len(a))), dict(plan.keys(b, len(b)))
+            assert any(len(np.intersect1d(of_a[j], of_b[j])) for j in of_a.keys() & of_b.keys())
+    assert linked > 300
+
+
 def test_repeats(spark):
     rng = random.Random(5)
     passages = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(5, 60))) for _ in range(6)]
