@@ -185,3 +185,26 @@ def test_quality_holds_out(spark):
 @pytest.mark.parametrize("text,spans", [("a.b@c.de x 1.2.3.4", "email:0:8,ip:11:18"), ("+1 (555) 555-1234, 999.1.1.1", "phone:0:17"), ("card 4111 1111 1111 1111.", "card:5:24"), ("", "")])
 def test_base_spans(spark, text, spans):
     assert pii.with_candidates(table(spark, [(1, text)])).select(pii.written(F.col("_base"))).first()[0] == spans
+
+
+def test_radius_reaches_near_copies(spark):
+    """Near copies of Jaccard 0.8 to 0.9, far beyond 3 bits, are found and counted; unrelated texts are not."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        w = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        texts.append(" ".join(w))
+        for at in rng.sample(range(0, 590, 10), rng.choice([7, 10, 12])):  # an edited word changes five of about 596 shingles
+            w[at + 5] = "changed"
+        texts.append(" ".join(w))
+    prints = simhash.fingerprints(texts)
+    apart = [(int(a, 16) ^ int(b, 16)).bit_count() for a, b in zip(prints[::2], prints[1::2])]
+    assert min(apart) > 3
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    got = {(r.query, r.fingerprint) for r in simhash.within_radius(df, df).collect()}
+    assert got == {(a, b) for a in prints for b in prints if 0 < (int(a, 16) ^ int(b, 16)).bit_count() <= simhash.RADIUS}
+    assert sum((a, b) in got for a, b in zip(prints[::2], prints[1::2])) >= 0.95 * 60
+    tables = {(r.query, r.fingerprint) for r in simhash.within_radius(df, df, 7).collect()}
+    assert tables == {(a, b) for a, b in got if (int(a, 16) ^ int(b, 16)).bit_count() <= 7}
+    near = simhash.within_radius_counts(df.groupBy("fingerprint").agg((2 * F.count("*")).alias("n")), df)
+    assert {r.fingerprint: r.near for r in near.collect()} == {a: 2 * sum(x == a for x, _ in got) for a, _ in got}
