@@ -1,11 +1,13 @@
 """Personal data: base patterns, and further spans that boosted trees select among generated candidates.
 
 Wide generators propose spans of each kind, also such as the base patterns miss (spelled-out addresses, phones
-without a plus, numbers with other separators). A candidate's features are its format and its context; trees are
-boosted on all candidates of the corpus, counted by feature values, with base matches as positives. For each
-kind the threshold is the least score above which nearly all candidates of the corpus are base matches, so the
-added spans look just like them. Everything on rows is a DataFrame expression; no row leaves its task, and only
-the counts by feature values, whose number the features bound, reach the driver.
+without a plus, numbers with other separators). A candidate that fails its kind's format check is none (``valid``).
+The others' features are their format and context; trees are boosted on them, counted by feature values. Positives
+are those with evidence of their own, whether or not the base has them: a form that is telling by itself, or a hint
+before it. Feature values weigh much alike however often they occur, and a kind's threshold, set on texts held out
+from the trees, stops before the first score whose candidates lack evidence: neither limits how many are added.
+Everything on rows is a DataFrame expression; no row leaves its task, and only the counts by feature values, whose
+number the features bound, reach the driver.
 """
 
 from __future__ import annotations
@@ -29,12 +31,16 @@ WIDE = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20(?=[A-Za-z0-9-]++\x20dot\x20))[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     r"(?<![0-9])[0-9]{1,3}+(?:\x20?[.,]\x20?[0-9]{1,3}+){3}",
     r"(?<![0-9])[0-9]{4}(?:[-. _/]{0,2}[0-9]{4}){3}[0-9]{0,3}+(?![0-9])",
-    r"(?<![0-9])(?:\+|00)?[0-9]{0,3}+[\x20.-]?\(?[0-9]{3}\)?[\x20./-]?[0-9]{3}[\x20./-]?[0-9]{4}(?![0-9])",
+    r"(?<![0-9])(?:(?:\+|00)[0-9]{0,3}?[\x20.-]?|[0-9]{1,3}?[\x20.-]?)??\(?[0-9]{3}\)?[\x20./-]?[0-9]{3}[\x20./-]?[0-9]{4}(?![0-9])",
 )
-#: Words before a span that hint at personal data.
-HINTS = r"mail|contact|tel|phone|call|fax|card|visa|pay|host|addr|ip\b"
-FEATURES = ("kind", "digits", "size", "marks", "before", "after", "hint", "at")
+#: Words before a span that hint at personal data of its kind.
+HINTS = (r"mail|contact|write", r"\bip\b|\bip:|addr|host|server", r"card|visa|pay|credit", r"tel|phone|call|fax|mobile|contact|\bsms")
+#: Ends of addresses that are written in plain words.
+ENDINGS = r"(?i)(com|org|net|edu|gov|info|io|eu|de|fr|es|uk|us|at|ch|it|nl)$"
+FEATURES = ("kind", "form", "hint", "digits", "size", "marks", "before", "after", "at")
 PRECISION = 0.98
+#: Rows for which values of features count at most when trees are fitted.
+WEIGHT = 20
 ROUNDS = 30
 RATE = 0.4
 
@@ -110,19 +116,51 @@ def _kind_of(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[A-Za-z0-9]"), 2).when(c.isin("(", "[", "{", "<", '"', "'"), 3).when(c.isin(".", ",", ";", ":", "!", "?"), 4).otherwise(5)
 
 
+def _plain(kind: int, m: Column) -> Column:
+    """A candidate's match as the base patterns would have it."""
+    if kind == 0:
+        m = F.regexp_replace(m, r"\x20?[\[(]at[\])]\x20?|\x20at\x20", "@")
+        return F.regexp_replace(m, r"\x20?[\[(]dot[\])]\x20?|\x20dot\x20", ".")
+    return F.regexp_replace(m, "[., ]+", ".") if kind == 1 else m
+
+
+def _by_kind(k: Column, values: list[Column]) -> Column:
+    out = values[-1]
+    for i, v in reversed(list(enumerate(values[:-1]))):
+        out = F.when(k == i, v).otherwise(out)
+    return out
+
+
+def valid(s: Column) -> Column:
+    """Whether a candidate passes the format check of its kind, whatever separates its parts."""
+    checks = [_passes(k, _plain(k, s["m"])) for k in range(len(KINDS))]
+    checks[0] = _plain(0, s["m"]).rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$")
+    return _by_kind(s["k"], checks)
+
+
+def _telling(s: Column) -> Column:
+    """Whether a valid candidate's form alone is evidence: an address with marks or a common ending, numbers with
+    plain dots, a checksum, a phone's prefix or separators."""
+    m = s["m"]
+    email = m.rlike(r"[@\[(]") | m.rlike(ENDINGS)
+    phone = m.rlike(r"^(\+|00)") | (F.length(F.regexp_replace(m, "[0-9]", "")) >= 2)
+    return _by_kind(s["k"], [email, ~m.rlike("[, ]"), F.lit(True), phone])
+
+
 def features(text: Column, s: Column) -> dict[str, Column]:
     """Small whole numbers that describe a candidate's format and context."""
     m = s["m"]
     before = F.when(s["a"] > 0, F.substring(text, F.greatest(s["a"] - 15, F.lit(1)), F.least(s["a"], F.lit(16)))).otherwise("")
     out = {
         "kind": s["k"],
+        "form": _telling(s),
+        "hint": _by_kind(s["k"], [F.lower(before).rlike(h) for h in HINTS]),
         "digits": F.least(F.length(F.regexp_replace(m, "[^0-9]", "")), F.lit(20)),
         "size": F.least(F.floor(F.length(m) / 3), F.lit(12)),
         "marks": F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.lit(9)),
         "before": _kind_of(F.right(before, F.lit(1))),
         "after": _kind_of(F.substring(text, s["b"] + 1, F.lit(1))),
-        "hint": F.lower(before).rlike(HINTS).cast("int"),
-        "at": F.contains(m, F.lit("@")).cast("int"),
+        "at": F.contains(m, F.lit("@")),
     }
     return {k: v.cast("int") for k, v in out.items()}
 
@@ -130,8 +168,11 @@ def features(text: Column, s: Column) -> dict[str, Column]:
 class Trees:
     """Boosted regression trees of depth two over whole-number features, fitted to counted rows."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rate: float = RATE):
-        """``rows``: feature values, positives, negatives."""
+    def __init__(self, rows: list[tuple[tuple[int, ...], int, int]], held: list[tuple[tuple[int, ...], int, int]] | None = None, rounds: int = ROUNDS, rate: float = RATE):
+        """``rows``: feature values, positives, negatives; ``held``: others, on which thresholds are set. A kind
+        without any among these takes all."""
+        everything = rows + (held or [])
+        rows = [(x, p * w, q * w) for x, p, q in rows or everything for w in [min(1.0, WEIGHT / (p + q))]]
         n = sum(p + q for _, p, q in rows)
         pos = sum(p for _, p, _ in rows)
         self.start = math.log((pos + 1) / (n - pos + 1))
@@ -144,7 +185,8 @@ class Trees:
             tree = self._grow([r[0] for r in rows], g, h, list(range(len(rows))), 2, rate)
             self.trees.append(tree)
             score = [s + self._value(tree, r[0]) for s, r in zip(score, rows)]
-        self.limits = self._calibrated(rows, score)
+        own = {r[0][0] for r in held or ()}
+        self.limits = self._calibrated([r for r in everything if r[0][0] not in own] + (held or []))
 
     def _grow(self, x, g, h, at, depth, rate):
         total = sum(g[i] for i in at), sum(h[i] for i in at) + 1.0
@@ -172,16 +214,21 @@ class Trees:
             tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
         return tree[0]
 
-    def _calibrated(self, rows, score) -> list[float]:
-        """For each kind, the least score from which on PRECISION of the candidates are positives."""
+    def _calibrated(self, rows) -> list[float]:
+        """For each kind, the least score down to which at each score PRECISION of the candidates are positives."""
         out = []
         for k in range(len(KINDS)):
-            best, p, n = math.inf, 0, 0
-            own = sorted(((s, r[1], r[2]) for s, r in zip(score, rows) if r[0][0] == k), reverse=True)
-            for i, (s, a, b) in enumerate(own):
-                p, n = p + a, n + a + b
-                if (i + 1 == len(own) or own[i + 1][0] < s - 1e-9) and p >= PRECISION * n:
-                    best = s
+            levels: dict[float, list[int]] = {}
+            for x, p, q in rows:
+                if x[0] == k:
+                    e = levels.setdefault(round(self.start + sum(self._value(t, x) for t in self.trees), 7), [0, 0])
+                    e[0] += p
+                    e[1] += p + q
+            best = math.inf
+            for s in sorted(levels, reverse=True):
+                if levels[s][0] < PRECISION * levels[s][1]:
+                    break
+                best = s
             out.append(best)
         return out
 
@@ -201,12 +248,15 @@ class Trees:
 
 
 def fit(docs: DataFrame, text: str = "text") -> Trees:
-    """Trees fitted to all candidates of the corpus; positives are those that are base spans."""
+    """Trees fitted to the valid candidates of about half of the texts, with thresholds set on the others."""
     rows = with_candidates(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))).where("size(_wide) > 0")
-    one = rows.select("text", "_base", F.explode("_wide").alias("s"))
-    one = one.select(F.struct(*[v.alias(k) for k, v in features(F.col("text"), F.col("s")).items()]).alias("f"), F.exists("_base", lambda x: (x["a"] == F.col("s.a")) & (x["b"] == F.col("s.b")) & (x["k"] == F.col("s.k"))).alias("y"))
-    counts = one.groupBy("f").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q")).collect()
-    return Trees(sorted((tuple(r["f"]), r["p"], r["q"]) for r in counts))
+    # equal texts are on one side
+    one = rows.select("text", (F.xxhash64("text") % 2 == 0).alias("held"), F.explode("_wide").alias("s")).where(valid(F.col("s")))
+    one = one.select("held", F.struct(*[v.alias(k) for k, v in features(F.col("text"), F.col("s")).items()]).alias("f"))
+    y = (F.col("f.form") == 1) | (F.col("f.hint") == 1)
+    counts = one.groupBy("held", "f").agg(F.count_if(y).alias("p"), F.count_if(~y).alias("q")).collect()
+    sides = [sorted((tuple(r["f"]), r["p"], r["q"]) for r in counts if r["held"] == side) for side in (False, True)]
+    return Trees(*sides)
 
 
 def find(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
@@ -216,7 +266,7 @@ def find(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     docs = docs.drop("base", "spans").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     rows = with_candidates(docs, "_t")
     # the trees are an expression over the exploded fields of one candidate; each text has few
-    new = F.filter("_wide", lambda s: F.forall("_base", lambda x: (x["b"] <= s["a"]) | (x["a"] >= s["b"])) & model.selects(features(F.col("_t"), s)))
+    new = F.filter("_wide", lambda s: F.forall("_base", lambda x: (x["b"] <= s["a"]) | (x["a"] >= s["b"])) & valid(s) & model.selects(features(F.col("_t"), s)))
     return rows.withColumn("spans", F.when(F.size("_wide") > 0, F.array_sort(F.concat("_base", new))).otherwise(F.col("_base"))).withColumnRenamed("_base", "base").drop("_wide", "_t")
 
 

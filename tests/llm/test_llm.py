@@ -208,3 +208,32 @@ def test_radius_reaches_near_copies(spark):
     assert tables == {(a, b) for a, b in got if (int(a, 16) ^ int(b, 16)).bit_count() <= 7}
     near = simhash.within_radius_counts(df.groupBy("fingerprint").agg((2 * F.count("*")).alias("n")), df)
     assert {r.fingerprint: r.near for r in near.collect()} == {a: 2 * sum(x == a for x, _ in got) for a, _ in got}
+
+
+#: Spans that the base patterns miss, and such as are none.
+DISGUISED = ["jane.doe{i} [at] mail [dot] example [dot] com", "call 55512{i:05d}", "555.123.{i:04d}", "4111.1111.1111.1111", "addr 10, 20, 30, {j}"]
+NONE = ["4111.1111.1111.1112", "order 55512{i:05d}", "1, 2, 3, {j}", "looked at noon dot then"]
+PLAIN = ["jane{i}@example.com", "10.20.30.{j}", "4111 1111 1111 1111", "+1 (555) 555-{i:04d}"]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.5, 0.9, 1.0])
+def test_disguised_spans_at_any_frequency(spark, share):
+    n = 400
+    take = max(1, round(n * share))
+    kinds = ["email", "phone", "phone", "card", "ip"]
+    docs, want = [], {}
+    for i in range(take):
+        for kind, form in zip(kinds, DISGUISED):
+            span = form.format(i=i, j=i % 250)
+            cut = span.split(" ", 1)[0] in ("call", "addr") and span.index(" ") + 1 or 0
+            want[len(docs)] = f"{kind}:{8 + cut}:{8 + len(span)}"
+            docs.append((len(docs), f"eine ab {span} und {i}x"))
+    for forms, m in ((PLAIN, n - take), (NONE, 60)):
+        docs += [(len(docs) + j * len(forms) + k, f"eine ab {f.format(i=j, j=j % 250)} und y{j}") for j in range(m) for k, f in enumerate(forms)]
+    rows = table(spark, docs)
+    got = {r.doc_id: (r.base, r.spans) for r in pii.find(rows, pii.fit(rows)).select("doc_id", pii.written(F.col("base")).alias("base"), pii.written(F.col("spans")).alias("spans")).collect()}
+    missed = [(docs[d][1], got[d], s) for d, s in want.items() if got[d][1] != s]
+    assert not missed, (len(missed), len(want), missed[:5])
+    assert all(got[d][0] == "" for d in want)
+    wrong = [(docs[d][1], b, s) for d, (b, s) in got.items() if d not in want and b != s]
+    assert not wrong, wrong[:5]
