@@ -97,6 +97,19 @@ def duplicate_groups(spark, sf):
     return d.join(comp, d["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 
+@query(None)
+def duplicate_groups_whole(spark, sf):
+    """Groups by whole texts: equal texts, and near copies that share 0.8 of their five-word shingles."""
+    from curalith.llm import ngram_join
+
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    near = ngram_join.jaccard_groups(d, k=5, threshold=(80, 100)).select(F.col("component_id").alias("src"), F.col("doc_id").alias("dst")).where("src <> dst")
+    # texts without words have no shingles; equal ones are linked by digest
+    d = d.select("doc_id", F.md5("text").alias("a"))
+    comp = connected_components(C.star_edges(d, "a", "doc_id").unionByName(near))
+    return d.join(comp, d["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
+
+
 @query(f"WITH {M} SELECT doc_id, CASE WHEN min(source) OVER (PARTITION BY md5) <> max(source) OVER (PARTITION BY md5) THEN 'quarantined_cross_class' ELSE 'eligible' END AS status FROM m")
 def cross_class_quarantine(spark, sf):
     return C.quarantine_cross_class(manifest(spark, sf), "md5", "source").select("doc_id", "status")
