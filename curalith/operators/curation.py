@@ -92,6 +92,12 @@ def balance(rows: DataFrame, cls: str, key: str, target: int, cap: int, seed: st
     return out.withColumn("copies", (1 + F.coalesce("_more", F.lit(0))).cast("long")).select(*rows.columns, "copies")
 
 
+def mean_class_size(rows: DataFrame, cls: str) -> int:
+    """The mean number of rows of a class, rounded half to even as the reference does; null is no class."""
+    r = rows.where(F.col(cls).isNotNull()).agg(F.count("*").alias("n"), F.count_distinct(cls).alias("k")).first()
+    return round(r["n"] / r["k"]) if r["k"] else 0
+
+
 def class_weights(rows: DataFrame, cls: str) -> DataFrame:
     by = rows.groupBy(cls).agg(F.count("*").alias("n"))
     everything = Window.partitionBy()

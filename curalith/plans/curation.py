@@ -152,6 +152,16 @@ def balance(spark, sf):
     return C.balance(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 300, 400, "bal")
 
 
+@query("""WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('bal:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+t AS (SELECT round_even(count(*) / count(DISTINCT lang)::DOUBLE, 0)::BIGINT AS t FROM documents WHERE lang IS NOT NULL),
+dr AS (SELECT lang, ('0x' || substr(md5('bal:' || lang || ':' || i), 1, 8))::BIGINT % n + 1 AS at_, count(*) AS more FROM (SELECT lang, n, unnest(range(1, t - n + 1)) AS i FROM (SELECT DISTINCT lang, n FROM h), t WHERE n < t) GROUP BY 1, 2)
+SELECT doc_id, h.lang, (1 + coalesce(more, 0))::BIGINT AS copies FROM h CROSS JOIN t LEFT JOIN dr ON h.lang = dr.lang AND r = at_ WHERE h.lang IS NOT NULL AND r <= t""")
+def balance_to_mean(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang").where("lang IS NOT NULL")
+    mean = C.mean_class_size(d, "lang")
+    return C.balance(d, "lang", "doc_id", mean, mean, "bal")
+
+
 @query("SELECT lang, count(*) AS n, sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE AS weight FROM documents GROUP BY 1")
 def class_weights(spark, sf):
     return C.class_weights(table(spark, sf, "documents"), "lang")

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pandas as pd
 
 from curalith.plans import curation
@@ -30,3 +31,19 @@ def test_duplicate_groups_link_whole_texts(spark, tmp_path):
     got = {r.doc_id: r.group_id for r in curation.duplicate_groups_whole(spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(root))
     assert len(set(root)) == 30 + 3
+
+
+def test_balance_grows_with_the_input(spark, tmp_path):
+    kept = []
+    for times in (1, 3):
+        langs = ["en"] * 900 * times + ["de"] * 300 * times + ["fr"] * 60 * times + [None] * 5
+        (tmp_path / str(times)).mkdir()
+        pd.DataFrame({"doc_id": range(len(langs)), "lang": langs}).to_parquet(tmp_path / str(times) / "documents.parquet")
+        rows = curation.balance_to_mean(spark, str(tmp_path / str(times))).collect()
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/{times}/documents.parquet')")
+        assert sorted(map(tuple, rows)) == sorted(con.sql(curation.SQL["balance_to_mean"]).fetchall())
+        sizes = pd.DataFrame([r.asDict() for r in rows]).groupby("lang")["copies"].sum()
+        assert sizes.to_dict() == dict.fromkeys(("en", "de", "fr"), 420 * times)
+        kept.append(len(rows))
+    assert kept[1] == 3 * kept[0]
