@@ -225,6 +225,25 @@ def hamming_links(spark, sf):
     return C.hamming_links(e, "vec_id", "c", 24, 3).withColumn("distance", F.col("distance").cast("int"))
 
 
+#: The signs of all 64 coordinates; the last one is the sign of the number.
+CODE64 = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i if i < 63 else '(-9223372036854775807 - 1)'} ELSE 0 END" for i in range(64))
+
+
+@query(f"""WITH h AS (SELECT vec_id, ({CODE64})::BIGINT AS c FROM embeddings)
+SELECT a.vec_id AS src, b.vec_id AS dst, bit_count(xor(a.c, b.c))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.c, b.c)) <= 5""")
+def hamming_links_64(spark, sf):
+    return C.hamming_links(sign_codes(table(spark, sf, "embeddings")), "vec_id", "c", 64, 5).withColumn("distance", F.col("distance").cast("int"))
+
+
+def sign_codes(rows: DataFrame) -> DataFrame:
+    """``(vec_id, c)``: the signs of 64 coordinates as the bits of a long."""
+    bits = [F.when(F.element_at("embedding", i + 1) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    code = bits[0]
+    for b in bits[1:]:
+        code = code.bitwiseOR(b)
+    return rows.select("vec_id", code.alias("c"))
+
+
 NORMED = """c AS (SELECT i, avg(x::DOUBLE) AS m FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1),
 mean AS (SELECT list(m ORDER BY i) AS m FROM c), v AS (SELECT vec_id, label, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE - m[i]) AS v FROM embeddings, mean),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v)"""

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from curalith.plans import curation
@@ -47,3 +48,18 @@ def test_balance_grows_with_the_input(spark, tmp_path):
         assert sizes.to_dict() == dict.fromkeys(("en", "de", "fr"), 420 * times)
         kept.append(len(rows))
     assert kept[1] == 3 * kept[0]
+
+
+def test_hamming_links_read_all_signs(spark, tmp_path):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    codes = [b ^ sum(1 << i for i in rng.sample(range(64), k)) for b in base for k in (0, 1, 3, 5, 6, 9)]
+    codes += [base[0] ^ 1 << 63, base[1] ^ sum(1 << i for i in (0, 5, 11, 17, 23)), base[2] ^ ((1 << 40) - 1 << 24), base[0]]
+    vectors = [np.where([c >> i & 1 for i in range(64)], 0.5, -0.5).astype(np.float32) for c in codes]
+    pd.DataFrame({"vec_id": range(len(codes)), "embedding": vectors}).to_parquet(tmp_path / "embeddings.parquet")
+    want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(codes) for j, b in enumerate(codes) if i < j and (a ^ b).bit_count() <= 5)
+    got = curation.hamming_links_64(spark, str(tmp_path)).select("src", "dst", "distance").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    assert sorted(map(tuple, got)) == want == sorted(con.sql(curation.SQL["hamming_links_64"]).fetchall())
+    assert {(0, 72, 1), (6, 73, 5)} <= set(want)
