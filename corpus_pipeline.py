@@ -24,12 +24,14 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies. Documents without words have no near copies."""
-    docs = docs.select(*COLUMNS)
-    found = ngram_join.jaccard_groups(docs, **NEAR)
-    # every id left is one row: copies went before; a null id stays
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """The first row of each group of near copies: with the least id, then digest; rows without an id come last.
+    Documents without words have no near copies."""
+    # an id may have several texts; after the exact dedup the digest tells them apart
+    docs = docs.select(*COLUMNS).withColumn("_row", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = ngram_join.jaccard_groups(docs, **NEAR, row=F.col("_row"))
+    gone = found.where(F.col("first").isNotNull() & ~ngram_join.row_order("doc_id", "row").eqNullSafe(F.col("first")))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_gone")).hint("merge")
+    return docs.join(gone, (F.col("_row") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

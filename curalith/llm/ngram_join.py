@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curalith.operators.graph import connected_components
 from curalith.storage import materialise
@@ -173,17 +173,25 @@ def scan(sets: list[np.ndarray], size: np.ndarray, num: int, den: int, split: in
     return out
 
 
-def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, threshold: tuple[int, int] = THRESHOLD, lower: bool = True) -> DataFrame:
+def row_order(doc_id: str, row: str) -> Column:
+    """Order of rows: by id, those without one last, then by what tells rows apart."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), F.col(row).alias("row"))
+
+
+def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, threshold: tuple[int, int] = THRESHOLD, lower: bool = True, row: Column | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row: the size of its set and the least doc_id that links reach.
 
     With fewer than k words the whole sequence is one shingle; without words the set is empty and links with
     nothing, itself excepted. Rows with a null id take part: they reach the least id of their group, or null.
     Repeated rows have equal sets and hence one component. Sets are kept as 64-bit hashes of shingles.
+    With ``row``, a string that tells rows of one id apart, there are also the columns ``row`` and ``first``: the
+    struct (no id, id, row) of the first row of the component, null for a row alone.
     """
     spark = docs.sparkSession
     num, den = threshold
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([] if row is None else [row.alias("row")]))
+    more = rows.columns[2:]
 
     def sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for part in B.slices(batch, "text"):
@@ -193,10 +201,10 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             for part, own in sets(batch):
                 ids = [set_id(s) for s in own]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in own], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())], ["id", "n", "s", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in own], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), *(part.column(c) for c in more)], ["id", "n", "s", "s2", *more])
 
-    known = materialise(rows.mapInArrow(describe, "id long, n long, s long, s2 long"), "sets")
-    shared = materialise(_shared_elements(rows, sets, parts, num, den), "shared")
+    known = materialise(rows.mapInArrow(describe, "id long, n long, s long, s2 long" + "".join(f", {c} string" for c in more)), "sets")
+    shared = materialise(_shared_elements(rows.drop(*more), sets, parts, num, den), "shared")
     shards = 4 * parts
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,20 +287,21 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links = dealt.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(judge, "src long, dst long")
     linked = connected_components(links)
-    distinct = known.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    distinct = known.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("id"), F.count("*").alias("c"), *([F.min(row_order("id", "row")).alias("first")] if more else []))
     # the least id of each component, then of each set
     sets_ = distinct.join(linked, distinct["s"] == linked["node"], "left").withColumn("component", F.coalesce("component", "s"))
-    least = sets_.groupBy("component").agg(F.min("id").alias("component_id"), F.sum("c").alias("group_size"))
+    least = sets_.groupBy("component").agg(F.min("id").alias("component_id"), F.sum("c").alias("group_size"), *([F.min("first").alias("first")] if more else []))
     # only groups of several rows need a join; one row is its own component
-    groups = materialise(sets_.join(least.where("group_size > 1"), "component").select("s", "s2", "component_id", F.col("c").alias("group_size")), "components")
+    firsts = ["first"] if more else []
+    groups = materialise(sets_.drop(*firsts).join(least.where("group_size > 1"), "component").select("s", "s2", "component_id", F.col("c").alias("group_size"), *firsts), "components")
     total = known.count()
     bound = max(2, total // 1000)
     key = [F.col("s"), F.col("s2")]
-    hot = F.broadcast(groups.where(F.col("group_size") >= bound).select(*key, F.col("component_id").alias("hot_id")))  # a thousand rows at most
-    cold = groups.where(F.col("group_size") < bound).select(*key, "component_id")
+    hot = F.broadcast(groups.where(F.col("group_size") >= bound).select(*key, F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"), *firsts))  # a thousand rows at most
+    cold = groups.where(F.col("group_size") < bound).select(*key, "component_id", *firsts)
     out = known.join(hot, ["s", "s2"], "left")
-    out = out.where("hot_id is not null").withColumn("component_id", F.col("hot_id")).unionByName(out.where("hot_id is null").join(cold.hint("merge"), ["s", "s2"], "left"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    out = out.where("hot").withColumn("component_id", F.col("hot_id")).unionByName(out.where("hot is null").drop(*firsts).join(cold.hint("merge"), ["s", "s2"], "left"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"), *more, *firsts)
 
 
 LOW = U((1 << 48) - 1)

@@ -68,3 +68,13 @@ def test_pipeline(spark):
         want[(r["doc_id"], len(ids), digest, hashlib.sha256((r["text"] or "").encode()).hexdigest())] = copies[r["doc_id"]]
     got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert collections.Counter(map(tuple, got)) == +want and got
+
+
+def test_near_dedup_drops_rows_not_ids(spark):
+    w = [f"w{i}" for i in range(200)]
+    near = lambda n, at: " ".join(f"{n}{x}" if i != at else "new" for i, x in enumerate(w))
+    rows = [(1, near("a", None)), (2, near("a", 50)), (2, near("b", None)), (3, near("b", 20)), (None, near("c", None)), (None, near("c", 90)), (None, near("a", 70)), (None, "alone"), (4, ""), (5, near("d", None))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()]
+    c = min((rows[4], rows[5]), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
+    assert sorted(got, key=repr) == sorted([rows[0], rows[2], c, rows[7], rows[8], rows[9]], key=repr)
