@@ -1,12 +1,17 @@
-"""Removal of repeated byte strings by an enhanced suffix array over sampled suffixes.
+"""Repeated byte strings by an enhanced suffix array over sampled suffixes: their removal, and their maximal groups.
 
 Every string of ``length`` bytes belongs to one anchor: the position, among those in it where a whole k-gram fits,
 whose k-gram hash is least (leftmost of equals). Equal strings have equal anchors at equal offsets, so only
-suffixes at anchors whose hash occurs again need sorting, and sorting is by hash, then bytes. In each part,
-adjacent common prefixes give the tree of intervals by a stack scan; the members of an interval share what
-follows the anchor, and their common left extensions, from a second array over reversed prefixes, tell how far
-the repeat reaches to the left. An interval yields a repeat for those members whose left extension another
-member shares far enough, with all their occurrences.
+suffixes at anchors whose hash occurs again need sorting, and sorting is by hash, then bytes. What an anchor's
+strings span are its surroundings; anchors with equal surroundings form a class, which enters the array twice at
+most, however many members it has, and what a task knows to be repeated passes by as a mark.
+
+In each part of the array adjacent common prefixes give the tree of intervals by a stack scan. The members of an
+interval share what follows the anchor; a second array over reversed prefixes gives, among them, the tree of their
+common left extensions. A node of that second tree is left-diverse: its members differ, or end, before it. If they
+are not all in one child of the first interval either, they are all the occurrences, around this anchor, of one
+maximal repeat. ``remove_repeats`` needs for each member the longest left extension in each interval only, which is
+that of the deepest node with it; ``repeat_groups`` returns the groups themselves.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from curalith.storage import materialise
+
 from . import _bytes as B
 
 LENGTH = 200
@@ -27,6 +34,17 @@ U = np.uint64
 ANCHOR = np.dtype([("h", "<u8"), ("d", "<i8"), ("t", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 
 
+def _least_in_windows(x: np.ndarray, w: int) -> np.ndarray:
+    """The minimum of each run of w numbers: minima from either end of blocks as wide."""
+    m = len(x) - w + 1
+    blocks = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, U)
+    blocks[: len(x)] = x
+    blocks = blocks.reshape(-1, w)
+    fore = np.minimum.accumulate(blocks, axis=1).ravel()
+    rear = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(rear[:m], fore[w - 1 : w - 1 + m])
+
+
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """For rows of bytes: ``(row, hash, anchor, lo, hi)`` of each anchor; strings that start from lo to hi are its own."""
     w = length - gram + 1  # k-grams in a string
@@ -39,19 +57,14 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     np.cumsum((data.astype(U) + U(1)) * forth[:n], out=sums[1:])
     h = B.mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
     del sums
-    # order by hash, then place: the low bits hold the place
+    # least hash of each window, the leftmost of equals: the upper bits of the hash and the place, in one number
     bits = U(int(n).bit_length())
-    key = (h >> bits << bits) | np.arange(len(h), dtype=U)
-    m = len(key) - w + 1
-    pad = -(-len(key) // w) * w
-    blocks = np.full(pad, np.iinfo(np.uint64).max, U)
-    blocks[: len(key)] = key
-    blocks = blocks.reshape(-1, w)
-    fore = np.minimum.accumulate(blocks, axis=1).ravel()
-    rear = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(rear[:m], fore[w - 1 : w - 1 + m])
-    at = (low & ((U(1) << bits) - U(1))).astype(np.int64)
-    del blocks, fore, rear, low, key
+    m = len(h) - w + 1
+    at = (_least_in_windows((h >> bits << bits) | np.arange(len(h), dtype=U), w) & ((U(1) << bits) - U(1))).astype(np.int64)
+    # where the upper bits are equal and the others are not, the place decides nothing
+    wrong = np.flatnonzero(h[at] != _least_in_windows(h, w))
+    for some in np.array_split(wrong, -(-len(wrong) // 10_000)) if len(wrong) else ():
+        at[some] = some + np.argmin(np.lib.stride_tricks.sliding_window_view(h, w)[some], axis=1)
     # strings that cross rows are no strings
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[:m]
     ok = np.arange(m) + length <= off[1:][row]
@@ -105,7 +118,7 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """Stack scan of adjacent common prefixes: ``(length, first, last)`` of every interval of the tree whose members
     share ``least`` bytes or more; deeper ones come first."""
     stack: list[tuple[int, int]] = []
-    for i, x in enumerate([*lcp, 0]):
+    for i, x in enumerate([*lcp, -1]):
         left = i
         while stack and stack[-1][0] > x:
             size, left = stack.pop()
@@ -114,67 +127,100 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((x, left))
 
 
-def repeats(h: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, length: int, gram: int, batch: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Repeats around anchors: ``(member, bytes before the anchor, bytes from it on)`` arrays; a member is repeated
-    over that span. ``right`` holds bytes + 1 from the anchor on and ``left`` those before it, reversed; both are
-    padded with zeros. Members of one interval with common left extensions reported together form one group.
-    """
-    n = len(h)
-    order = _order(right, h)
-    hs = h[order]
-    common = _common(right[order], n_right[order])
-    common[hs[1:] != hs[:-1]] = 0
-    by_left = _order(left)
-    rank = np.empty(n, np.int64)
-    rank[by_left] = np.arange(n)
-    extend = _table(_common(left[by_left], n_left[by_left]))
-    todo: list[tuple[int, int, int]] = []
-    size = 0
-
-    def solve() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Tree:
+    """Intervals over anchors' surroundings: ``right`` holds bytes + 1 from the anchor on and ``left`` those before it,
+    reversed; both are padded with zeros."""
+
+    def __init__(self, h: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, length: int, gram: int):
+        self.length, self.gram = length, gram
+        self.order = _order(right, h)
+        hs = h[self.order]
+        self.common = _common(right[self.order], n_right[self.order])
+        self.common[hs[1:] != hs[:-1]] = 0
+        by_left = _order(left)
+        self.rank = np.empty(len(h), np.int64)
+        self.rank[by_left] = np.arange(len(h))
+        self.extend = _table(_common(left[by_left], n_left[by_left]))
+
+    def nodes(self, batch: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
+        """``(node, shared, place, member, extension)``: the members of each interval in the order of what stands
+        before the anchor, with their place in the suffix array, what the interval shares, and the left extension
+        common to a member and the next one (-1 for the last one of an interval)."""
+        todo: list[tuple[int, int, int]] = []
+        size = 0
+        for x in intervals(self.common.tolist(), self.gram):
+            todo.append(x)
+            size += x[2] - x[1] + 1
+            if size >= batch:
+                yield self._listed(todo)
+                todo, size = [], 0
+        if todo:
+            yield self._listed(todo)
+
+    def _listed(self, todo: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
         shared, a, b = (np.array(x) for x in zip(*todo))
-        node = np.repeat(np.arange(len(a)), b - a + 1)
-        place = np.arange(len(node)) - np.repeat(np.cumsum(b - a + 1) - (b - a + 1), b - a + 1) + a[node]
-        member = order[place]
-        o = np.lexsort((rank[member], node))
-        node, member = node[o], member[o]
-        same = node[1:] == node[:-1]
-        ext = np.zeros(len(node) - 1, np.int64)
-        ext[same] = _least(extend, rank[member[:-1][same]], rank[member[1:][same]])
-        best = np.zeros(len(node), np.int64)
-        best[:-1] = ext
-        best[1:] = np.maximum(best[1:], ext)
-        # left-diverse in the interval: some members differ within what the repeat needs, or all reach the same border
-        good = best >= length - shared[node]
-        return member[good], best[good], shared[node][good]
-
-    for x in intervals(common.tolist(), gram):
-        todo.append(x)
-        size += x[2] - x[1] + 1
-        if size >= batch:
-            yield solve()
-            todo, size = [], 0
-    if todo:
-        yield solve()
-
-
-def _repeated(rows: np.ndarray) -> np.ndarray:
-    """Rows whose hash occurs again."""
+        width = b - a + 1
+        node = np.repeat(np.arange(len(a)), width)
+        place = np.arange(len(node)) - np.repeat(np.cumsum(width) - width - a, width)
+        o = np.lexsort((self.rank[self.order[place]], node))
+        node, place = node[o], place[o]
+        member = self.order[place]
+        extension = np.full(len(node), -1)
+        same = np.flatnonzero(node[1:] == node[:-1])
+        extension[same] = _least(self.extend, self.rank[member[same]], self.rank[member[same + 1]])
+        return node, shared[node], place, member, extension
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(member, bytes before the anchor, bytes from it on)``: each member's deepest left-diverse node in each
+        interval whose members repeat far enough."""
+        for node, shared, _, member, extension in self.nodes():
+            best = extension.copy()
+            best[1:] = np.maximum(best[1:], extension[:-1])
+            good = best >= self.length - shared
+            yield member[good], best[good], shared[good]
+
+    def groups(self) -> Iterator[tuple[np.ndarray, int, int]]:
+        """``(members, bytes before the anchor, bytes from it on)`` of every maximal repeat of ``length`` bytes or more."""
+        reach = _table(self.common)
+        for node, shared, place, member, extension in self.nodes():
+            good = extension >= self.length - shared
+            # runs of members that may be of one group
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                for before, i, j in intervals(extension[a:b].tolist(), int(self.length - shared[a])):
+                    some = slice(a + i, a + j + 1)
+                    first, last = place[some].min(), place[some].max()
+                    # all in one child of the interval: these share more to the right and are a group there
+                    if first < last and _least(reach, np.array([first]), np.array([last]))[0] == shared[a]:
+                        yield member[some], before, int(shared[a])
+
+
+def _repeated(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Rows whose hash occurs again, among them or the marks."""
     rows = rows[np.argsort(rows["h"], kind="stable")]
     same = rows["h"][1:] == rows["h"][:-1]
-    keep = np.zeros(len(rows), bool)
+    keep = np.isin(rows["h"], marks)
     keep[1:] |= same
     keep[:-1] |= same
     return rows[keep]
 
 
-def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Packed records for each part of the documents."""
-    to = (B.mix(rows["t"].astype(U) ^ B.mix(rows["d"].astype(U))) % U(parts)).astype(np.int64)
+def _packed(rows: np.ndarray, to: np.ndarray, kind: int) -> tuple[list, ...]:
+    """Records as one block for each destination: kinds, destinations, blocks."""
     o = np.argsort(to, kind="stable")
     rows, to = rows[o], to[o]
     cuts = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
-    return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["to", "x"])
+    return [kind] * (len(cuts) - 1), to[cuts[:-1]].tolist(), [rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def _doc_part(rows: np.ndarray, parts: int) -> np.ndarray:
+    return (B.mix(rows["t"].astype(U) ^ B.mix(rows["d"].astype(U))) % U(parts)).astype(np.int64)
+
+
+def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Packed records for each part of the documents."""
+    _, to, x = _packed(rows, _doc_part(rows, parts), 0)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(x, pa.binary())], ["to", "x"])
 
 
 def _by_doc(kind: np.dtype):
@@ -211,159 +257,374 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 SPAN = np.dtype([("d", "<i8"), ("t", "<i8"), ("a", "<i4"), ("b", "<i4")])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, text, n_bytes, spans, kept)`` for each row: bytes covered by a string of ``length`` bytes that also
-    starts anywhere else, in this or another row, are removed. ``spans`` is binary, pairs of little-endian 64-bit
-    integers, the maximal removed runs; ``kept`` is binary.
+#: Anchors, and bytes of surroundings, that a map task gathers before it deals them.
+ANCHORS_AT_ONCE, BYTES_AT_ONCE = 400_000, 8 << 20
+#: Classes whose bytes are laid out as a matrix at once; an anchor with more has all of its own.
+CLASSES_AT_ONCE = 20_000
+#: Kinds of rows on the way to the shards: records, marks of what is known to be repeated, records that pass by.
+OWN, MARK, BY = 0, 1, 2
+GROUP = np.dtype([("g", "<u8"), ("g2", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("before", "<i4"), ("after", "<i4")])
+MEMBER = np.dtype([("c", "<u8"), ("c2", "<u8"), ("d", "<i8"), ("t", "<i8"), ("a", "<i4")])
+
+
+def _hashes(data: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each of adjacent spans of bytes, by parts of about ``most`` bytes."""
+    other = B.mix(np.arange(256, dtype=U) + U(0x2545F4914F6CDD1D))
+    out = np.zeros((2, len(ends)), U)
+    i = a = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, a + most, "right")))
+        stop = int(ends[j - 1])
+        part, e = data[a:stop], ends[i:j] - a
+        begin = np.append(0, e[:-1])
+        forth, back = B.powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(other[part] * forth[: len(part)], out=sums[1:])
+        out[1, i:j] = B.mix((sums[e] - sums[begin]) * back[begin])
+        del sums
+        out[0, i:j] = B.span_hash(part, begin, e)
+        i, a = j, stop
+    return out[0], out[1]
+
+
+class _Surroundings:
+    """Anchors with the bytes around them, gathered by a map task, and their classes."""
+
+    def __init__(self, own: list[np.ndarray], bodies: list[np.ndarray], length: int):
+        self.own, self.body = np.concatenate(own), np.concatenate(bodies)
+        self.size = (self.own["hi"] + length - self.own["lo"]).astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.n_left = (self.own["a"] - self.own["lo"]).astype(np.int64)
+        c, c2 = _hashes(self.body, self.begin + self.size)
+        # a class has one anchor hash and one place of the anchor
+        c = B.mix(c ^ B.mix(self.n_left.astype(U)) ^ self.own["h"])
+        self.order = np.lexsort((c2, c, self.own["h"]))
+        h, self.c, self.c2 = self.own["h"][self.order], c[self.order], c2[self.order]
+        new = np.ones(len(self.order), bool)
+        new[1:] = (h[1:] != h[:-1]) | (self.c[1:] != self.c[:-1]) | (self.c2[1:] != self.c2[:-1])
+        self.lead = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.lead, len(new)))
+        self.of = np.empty(len(new), np.int64)  # each anchor's class
+        self.of[self.order] = np.cumsum(new) - 1
+        self.first = self.order[self.lead]  # each class's first anchor
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        """Bytes around the given anchors, joined."""
+        return np.concatenate([self.body[a : a + n] for a, n in zip(self.begin[which].tolist(), self.size[which].tolist())]) if len(which) else np.zeros(0, np.uint8)
+
+
+def _dealt_surroundings(s: _Surroundings, length: int, shards: int, parts: int, members: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ``(kind, shard, x, body)``: anchors alone in their class; one mark of each class with several, which are
+    repeated over all of their surroundings; and, passing by, the spans of these (with ``members``, all members)."""
+    alone = s.count == 1
+    for kind, classes in ((OWN, alone), (MARK, ~alone)):
+        which = s.first[classes]
+        if not len(which):
+            continue
+        shard = (s.own["h"][which] % U(shards)).astype(np.int64)
+        o = np.argsort(shard, kind="stable")
+        which, shard = which[o], shard[o]
+        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
+        n = len(cuts) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([kind] * n, pa.int32()), pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array([s.own[which[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([s.take(which[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+            ["kind", "shard", "x", "body"],
+        )
+    if members:
+        rows = np.zeros(len(s.own), MEMBER)
+        rows["c"][s.order], rows["c2"][s.order] = s.c, s.c2
+        rows["d"], rows["t"], rows["a"] = s.own["d"], s.own["t"], s.own["a"]
+    else:
+        several = np.flatnonzero(~alone[s.of])
+        rows = np.zeros(len(several), SPAN)
+        own = s.own[several]
+        rows["d"], rows["t"], rows["a"], rows["b"] = own["d"], own["t"], own["lo"], own["hi"] + length
+        rows = _joined(rows)
+    if len(rows):
+        kinds, to, x = _packed(rows, _doc_part(rows, parts), BY)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(to, pa.int32()), pa.array(x, pa.binary()), pa.array([b""] * len(x), pa.binary())], ["kind", "shard", "x", "body"])
+
+
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Spans of each document, overlapping ones as one."""
+    spans = spans[np.lexsort((spans["b"], spans["a"], spans["t"], spans["d"]))]
+    doc = np.zeros(len(spans), np.int64)
+    doc[1:] = np.cumsum((spans["d"][1:] != spans["d"][:-1]) | (spans["t"][1:] != spans["t"][:-1]))
+    reach = np.maximum.accumulate(spans["b"] + (doc << 32))
+    new = np.ones(len(spans), bool)
+    new[1:] = spans["a"][1:] + (doc[1:] << 32) > reach[:-1]
+    lead = np.flatnonzero(new)
+    out = spans[lead]
+    out["b"] = (reach[np.append(lead[1:], len(spans)) - 1] & 0xFFFFFFFF).astype(np.int32) if len(spans) else out["b"]
+    return out
 
-    Null texts are empty; repeated rows count as many. Anchors and their surroundings travel as packed blocks, one
-    for each shard of the hash. The texts are dealt once and meet both the anchors that occur again and, later,
-    the spans. Executors hold a shard at a time, whose size falls with the number of shuffle partitions.
-    """
-    spark = docs.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = 4 * parts
-    text_of = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text_of).alias("t"), text_of.alias("text"))
-    # the same exchange serves both joins below
-    dealt = rows.repartition(parts, "d", "t")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def flush() -> pa.RecordBatch:
-            every = np.concatenate(held)
-            shard = (every["h"] % U(shards)).astype(np.int64)
-            o = np.argsort(shard, kind="stable")
-            every, shard = every[o], shard[o]
-            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-            return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array([every[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["shard", "x"])
 
-        for batch in batches:
-            for part in B.slices(batch, "text", 1 << 20):
-                data, off = B.text_bytes(part.column("text"))
-                r, h, a, lo, hi = anchors(data, off, length, gram)
-                out = np.zeros(len(r), ANCHOR)
-                out["h"], out["a"], out["lo"], out["hi"] = h, a, lo, hi
-                out["d"], out["t"] = (part.column(c).to_numpy(zero_copy_only=False)[r] for c in ("d", "t"))
-                held.append(out)
-                count += len(out)
-            if count > 1_000_000:
-                yield flush()
-                held, count = [], 0
-        if count:
-            yield flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x.as_buffer(), ANCHOR) for batch in batches for x in batch.column("x")]
-        if held and len(again := _repeated(np.concatenate(held))):
-            yield _dealt(again, parts)
-
-    found = rows.mapInArrow(find, "shard int, x binary").repartition(parts, "shard").mapInArrow(meet, "to int, x binary")
-    lists = found.repartition(parts, "to").mapInArrow(_by_doc(ANCHOR), "d long, t long, x binary")
-
-    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in B.slices(batch, "text", 1 << 20):
-                held, texts = [], []
-                at = 0
-                for text, x in zip(part.column("text"), part.column("x")):
+def _trees(s: _Surroundings, marks: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, Tree]]:
+    """``(classes, tree)`` of a shard's classes, whole anchors at a time; a class of several members stands twice.
+    ``marks``: which of the anchors stand for several."""
+    several = np.bincount(s.of, weights=1 + marks, minlength=len(s.lead)) > 1
+    h = s.own["h"][s.first]
+    starts = np.flatnonzero(np.diff(h, prepend=h[0] + U(1)) != 0)  # classes are in order of their anchors' hashes
+    cuts = [0]
+    for x in starts[1:].tolist():
+        if x - cuts[-1] >= CLASSES_AT_ONCE:
+            cuts.append(x)
+    wide, tall = -(-max(length, 8) // 8) * 8, -(-max(length - gram, 8) // 8) * 8
+    padded = np.concatenate((np.zeros(tall, np.uint8), s.body, np.zeros(wide, np.uint8)))
+    ahead, behind = np.lib.stride_tricks.sliding_window_view(padded, wide), np.lib.stride_tricks.sliding_window_view(padded, tall)
+    for x, y in zip(cuts, [*cuts[1:], len(h)]):
+        classes = np.arange(x, y)
+        # an anchor with one member in all repeats nothing
+        runs = np.flatnonzero(np.diff(h[x:y], prepend=h[x] + U(1)) != 0)
+        total = np.add.reduceat(1 + several[x:y], runs)
+        classes = classes[np.repeat(total > 1, np.diff(np.append(runs, y - x)))]
+        if not len(classes):
+            continue
+        classes = np.repeat(classes, 1 + several[classes])
+        at = s.first[classes]
+        n_left, n_right = s.n_left[at], (s.size - s.n_left)[at]
+        middle = s.begin[at] + n_left + tall
+        right = ahead[middle] + np.uint8(1)
+        right[np.arange(wide) >= n_right[:, None]] = 0
+        left = behind[middle - tall][:, ::-1] + np.uint8(1)
+        left[np.arange(tall) >= n_left[:, None]] = 0
+        yield classes, Tree(h[classes], left, n_left, right, n_right, length, gram)
+
+
+class _Job:
+    """The steps that removal and groups have in common: texts dealt once, and their repeated anchors' surroundings."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, length: int, gram: int):
+        if not 0 < gram <= length:
+            raise ValueError("a gram has one byte at least, and a string holds one gram at least")
+        spark = docs.sparkSession
+        self.length, self.gram = length, gram
+        self.parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.shards = 4 * self.parts
+        text_of = F.coalesce(F.col(text), F.lit(""))
+        self.rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text_of).alias("t"), text_of.alias("text"))
+        # the same exchange serves every join with the texts
+        self.dealt = self.rows.repartition(self.parts, "d", "t")
+
+    def lists(self) -> DataFrame:
+        """For each document its anchors whose hash occurs again."""
+        length, gram, parts, shards = self.length, self.gram, self.parts, self.shards
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, count = [], 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                every = np.concatenate(held)
+                every = every[np.argsort(every["h"], kind="stable")]
+                twin = np.zeros(len(every), bool)
+                same = every["h"][1:] == every["h"][:-1]
+                twin[1:] |= same
+                twin[:-1] |= same
+                first = twin.copy()
+                first[1:] &= ~same
+                kinds, to, x = [], [], []
+                for kind, rows in ((OWN, every[~twin]), (MARK, every[first]["h"])):
+                    h = rows["h"] if kind == OWN else rows
+                    for out, more in zip((kinds, to, x), _packed(rows, (h % U(shards)).astype(np.int64), kind)):
+                        out += more
+                for out, more in zip((kinds, to, x), _packed(every[twin], _doc_part(every[twin], parts), BY)):
+                    out += more
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(to, pa.int32()), pa.array(x, pa.binary())], ["kind", "shard", "x"])
+
+            for batch in batches:
+                for part in B.slices(batch, "text", 1 << 20):
+                    data, off = B.text_bytes(part.column("text"))
+                    r, h, a, lo, hi = anchors(data, off, length, gram)
+                    out = np.zeros(len(r), ANCHOR)
+                    out["h"], out["a"], out["lo"], out["hi"] = h, a, lo, hi
+                    out["d"], out["t"] = (part.column(c).to_numpy(zero_copy_only=False)[r] for c in ("d", "t"))
+                    held.append(out)
+                    count += len(out)
+                    if count > ANCHORS_AT_ONCE:
+                        yield from flush()
+                        held, count = [], 0
+            if count:
+                yield from flush()
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, own, marks = None, [], []
+
+            def again() -> Iterator[pa.RecordBatch]:
+                if own and len(rows := _repeated(np.concatenate(own), np.concatenate(marks) if marks else np.zeros(0, U))):
+                    yield _dealt(rows, parts)
+
+            for batch in batches:
+                for kind, s, x in zip(batch.column("kind").to_pylist(), batch.column("shard").to_pylist(), batch.column("x")):
+                    if kind == BY:
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.as_py()], pa.binary())], ["to", "x"])
+                        continue
+                    if s != shard:
+                        yield from again()
+                        shard, own, marks = s, [], []
+                    (own if kind == OWN else marks).append(np.frombuffer(x.as_py(), ANCHOR if kind == OWN else U))
+            yield from again()
+
+        found = self.rows.mapInArrow(find, "kind int, shard int, x binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(meet, "to int, x binary")
+        return found.repartition(parts, "to").mapInArrow(_by_doc(ANCHOR), "d long, t long, x binary")
+
+    def near(self, members: bool) -> DataFrame:
+        """Rows for the shards, see ``_dealt_surroundings``."""
+        length, shards, parts = self.length, self.shards, self.parts
+
+        def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, bodies, size = [], [], 0
+            for batch in batches:
+                for text, x in zip(batch.column("text"), batch.column("x")):
                     own = np.frombuffer(x.as_py(), ANCHOR)
                     # the list of a row that repeats holds each anchor as often
                     own = own[np.unique(own["a"].astype(np.int64) << 32 | own["lo"], return_index=True)[1]]
                     data = np.frombuffer(text.as_buffer(), np.uint8)
-                    texts.append(data)
-                    held.append(own.copy())
-                    held[-1]["a"] += at
-                    held[-1]["lo"] += at
-                    held[-1]["hi"] += at
-                    at += len(data)
-                own, data = np.concatenate(held), np.concatenate(texts)
-                if not len(own):
-                    continue
-                base = np.repeat(np.cumsum([0, *map(len, texts)])[:-1], [len(x) for x in held])
-                shard = (own["h"] % U(shards)).astype(np.int64)
-                o = np.argsort(shard, kind="stable")
-                own, base, shard = own[o], base[o], shard[o]
-                size = own["hi"] + length - own["lo"]
-                stop = np.cumsum(size, dtype=np.int64)
-                take = np.arange(stop[-1]) + np.repeat(own["lo"] - (stop - size), size)
-                body = data[take]
-                cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-                stop = np.append(0, stop)
-                own["a"] -= base
-                own["lo"] -= base
-                own["hi"] -= base
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([body[stop[a] : stop[b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                    ["shard", "x", "body"],
-                )
-
-    reach = length - gram
+                    held.append(own)
+                    bodies.extend(data[a:b] for a, b in zip(own["lo"].tolist(), (own["hi"] + length).tolist()))
+                    size += int((own["hi"] + length - own["lo"]).sum())
+                    if size > BYTES_AT_ONCE:
+                        yield from _dealt_surroundings(_Surroundings(held, bodies, length), length, shards, parts, members)
+                        held, bodies, size = [], [], 0
+            if size:
+                yield from _dealt_surroundings(_Surroundings(held, bodies, length), length, shards, parts, members)
+
+        near = self.dealt.join(self.lists().hint("shuffle_hash"), ["d", "t"]).select("text", "x", "d", "t").mapInArrow(surround, "kind int, shard int, x binary, body binary")
+        return near.repartition(parts, "shard").sortWithinPartitions("shard")
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """``(None, rows that pass by)`` and ``(surroundings, marks)`` of each shard, one after the other."""
+    shard, own, bodies, marks = None, [], [], []
+    for batch in batches:
+        for kind, s, x, body in zip(batch.column("kind").to_pylist(), batch.column("shard").to_pylist(), batch.column("x"), batch.column("body")):
+            if kind == BY:
+                yield None, (s, x.as_py())
+                continue
+            if s != shard and own:
+                yield _Surroundings(own, bodies, length), np.concatenate(marks)
+                own, bodies, marks = [], [], []
+            shard = s
+            own.append(np.frombuffer(x.as_py(), ANCHOR))
+            bodies.append(np.frombuffer(body.as_py(), np.uint8))
+            marks.append(np.full(len(own[-1]), kind == MARK))
+    if own:
+        yield _Surroundings(own, bodies, length), np.concatenate(marks)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``(doc_id, text, n_bytes, spans, kept)`` for each row: bytes covered by a string of ``length`` bytes that also
+    starts anywhere else, in this or another row, are removed. ``spans`` is binary, pairs of little-endian 64-bit
+    integers, the maximal removed runs; ``kept`` is binary.
+
+    Null texts are empty and shorter ones than ``length`` keep all; repeated rows count as many; rows with a null id
+    are told apart by their texts; an empty table gives an empty one; other columns of ``docs`` are not read, whatever
+    their names. Anchors and their surroundings travel as packed blocks, one for each shard of the hash. The texts are
+    dealt once and meet both the anchors that occur again and, later, the spans. Executors hold a shard at a time,
+    whose size falls with the number of shuffle partitions.
+    """
+    job = _Job(docs, doc_id, text, length, gram)
+    parts = job.parts
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one shard after the other
-        shard, xs, bodies = None, [], []
-        for batch in batches:
-            for s, x, body in zip(batch.column("shard").to_pylist(), batch.column("x"), batch.column("body")):
-                if s != shard and xs:
-                    yield from verdict(xs, bodies)
-                    xs, bodies = [], []
-                shard = s
-                xs.append(np.frombuffer(x.as_buffer(), ANCHOR))
-                bodies.append(np.frombuffer(body.as_buffer(), np.uint8))
-        if xs:
-            yield from verdict(xs, bodies)
-
-    def verdict(xs: list[np.ndarray], bodies: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own, body = np.concatenate(xs), np.concatenate(bodies)
-        size = (own["hi"] + length - own["lo"]).astype(np.int64)
-        begin = np.cumsum(size) - size
-        n_left = (own["a"] - own["lo"]).astype(np.int64)
-        n_right = size - n_left
-        wide = -(-max(length, 8) // 8) * 8
-        body = np.append(body, np.zeros(wide, np.uint8))
-        col = np.arange(wide)
-        right = body[np.minimum((begin + n_left)[:, None] + col, len(body) - 1)] + np.uint8(1)
-        right[col >= n_right[:, None]] = 0
-        tall = -(-max(reach, 8) // 8) * 8
-        col = np.arange(tall)
-        left = body[np.maximum((begin + n_left)[:, None] - 1 - col, 0)] + np.uint8(1)
-        left[col >= n_left[:, None]] = 0
-        for member, before, after in repeats(own["h"], left, n_left, right, n_right, length, gram):
-            out = np.zeros(len(member), SPAN)
-            out["d"], out["t"] = own["d"][member], own["t"][member]
-            out["a"], out["b"] = own["a"][member] - before, own["a"][member] + after
-            if len(out):
-                yield _dealt(np.unique(out), parts)
-
-    near = dealt.join(lists.hint("shuffle_hash"), ["d", "t"]).select("text", "x", "d", "t").mapInArrow(surround, "shard int, x binary, body binary")
-    spans = near.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, "to int, x binary")
+        for s, marks in _by_shard(batches, length):
+            if s is None:
+                yield pa.RecordBatch.from_arrays([pa.array([marks[0]], pa.int32()), pa.array([marks[1]], pa.binary())], ["to", "x"])
+                continue
+            # members that are no marks, by class
+            single = np.flatnonzero(~marks)
+            single = single[np.argsort(s.of[single], kind="stable")]
+            edge = np.searchsorted(s.of[single], np.arange(len(s.lead) + 1))
+            for classes, tree in _trees(s, marks, length, gram):
+                for member, before, after in tree.spans():
+                    c = classes[member]
+                    n = edge[c + 1] - edge[c]
+                    if not n.sum():
+                        continue
+                    own = s.own[single[np.arange(n.sum()) + np.repeat(edge[c] - (np.cumsum(n) - n), n)]]
+                    out = np.zeros(len(own), SPAN)
+                    out["d"], out["t"], out["a"], out["b"] = own["d"], own["t"], own["a"] - np.repeat(before, n), own["a"] + np.repeat(after, n)
+                    yield _dealt(_joined(out), parts)
+
+    spans = job.near(False).mapInArrow(judge, "to int, x binary")
     spans = spans.repartition(parts, "to").mapInArrow(_by_doc(SPAN), "d long, t long, x binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, runs, kept = [], [], []
-            for text, x in zip(batch.column("text"), batch.column("x")):
-                data = text.as_buffer()
-                sizes.append(len(data))
-                if not x.is_valid:
-                    runs.append(b"")
-                    kept.append(data.to_pybytes())
-                    continue
-                s = np.frombuffer(x.as_py(), SPAN)
-                m = _merged(np.stack([s["a"], s["b"]], 1).astype(np.int64))
-                keep = np.ones(len(data), bool)
-                for a, b in m:
-                    keep[a:b] = False
-                runs.append(m.astype("<i8").tobytes())
-                kept.append(np.frombuffer(data, np.uint8)[keep].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(runs, pa.binary()), pa.array(kept, pa.binary())], ["d", "text", "n_bytes", "spans", "kept"])
-
-    out = dealt.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "x").mapInArrow(cut, "d long, text string, n_bytes long, spans binary, kept binary")
+            for part in B.slices(batch, "text", 4 << 20):
+                sizes, runs, kept = [], [], []
+                for text, x in zip(part.column("text"), part.column("x")):
+                    data = text.as_buffer()
+                    sizes.append(len(data))
+                    if not x.is_valid:
+                        runs.append(b"")
+                        kept.append(data.to_pybytes())
+                        continue
+                    s = np.frombuffer(x.as_py(), SPAN)
+                    m = _merged(np.stack([s["a"], s["b"]], 1).astype(np.int64))
+                    keep = np.ones(len(data), bool)
+                    for a, b in m:
+                        keep[a:b] = False
+                    runs.append(m.astype("<i8").tobytes())
+                    kept.append(np.frombuffer(data, np.uint8)[keep].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("text"), pa.array(sizes, pa.int64()), pa.array(runs, pa.binary()), pa.array(kept, pa.binary())], ["d", "text", "n_bytes", "spans", "kept"])
+
+    out = job.dealt.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "x").mapInArrow(cut, "d long, text string, n_bytes long, spans binary, kept binary")
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "text", "n_bytes", "spans", "kept")
 
 
+def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``(repeat, doc_id, text_hash, start, stop, occurrences)``: every maximal repeat of ``length`` bytes or more with
+    all its occurrences, one row each; ``repeat`` is a hash of its bytes, ``text_hash`` the xxhash64 of the text
+    (which tells rows without an id apart), ``occurrences`` their number.
+
+    A repeat is maximal if no longer string has all of its occurrences; that is judged within the surroundings of an
+    anchor, the bytes of all strings that belong to it, at most ``2 * length - gram``. A repeat beyond them comes as
+    several, each around an anchor of its own, whose occurrences overlap. Groups and memberships meet by class, so
+    copies are listed once each and never in pairs. Repeated rows are one; null texts are empty; rows with a null id
+    have a null ``doc_id``; an empty table gives an empty one.
+    """
+    job = _Job(docs.dropDuplicates([doc_id, text]), doc_id, text, length, gram)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, marks in _by_shard(batches, length):
+            if s is None:
+                yield pa.RecordBatch.from_arrays([pa.array([BY], pa.int32()), pa.array([marks[1]], pa.binary())], ["kind", "x"])
+                continue
+            for classes, tree in _trees(s, marks, length, gram):
+                held = []
+                for member, before, after in tree.groups():
+                    c = np.unique(classes[member])
+                    at = s.first[c[0]]
+                    middle = int(s.begin[at] + s.n_left[at])
+                    g, g2 = _hashes(s.body[middle - before : middle + after], np.array([before + after]))
+                    out = np.zeros(len(c), GROUP)
+                    out["g"], out["g2"], out["c"], out["c2"], out["before"], out["after"] = g, g2, s.c[s.lead[c]], s.c2[s.lead[c]], before, after
+                    held.append(out.tobytes())
+                    if len(held) > 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array([OWN], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["kind", "x"])
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([OWN], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["kind", "x"])
+
+    def unpacked(kind: np.dtype, names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x in batch.column("x"):
+                    rows = np.frombuffer(x.as_py(), kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[n]).view(np.int64) if rows[n].dtype == U else np.ascontiguousarray(rows[n])) for n in names], names)
+
+        return run
+
+    found = materialise(job.near(True).mapInArrow(judge, "kind int, x binary"), "repeat-groups")
+    groups = found.where(F.col("kind") == OWN).mapInArrow(unpacked(GROUP, ["g", "g2", "c", "c2", "before", "after"]), "g long, g2 long, c long, c2 long, before int, after int")
+    members = found.where(F.col("kind") == BY).mapInArrow(unpacked(MEMBER, ["c", "c2", "d", "t", "a"]), "c long, c2 long, d long, t long, a int")
+    repeat = F.concat(F.lpad(F.hex("g"), 16, "0"), F.lpad(F.hex("g2"), 16, "0"))
+    every = groups.join(members, ["c", "c2"]).select(repeat.alias("repeat"), "d", F.col("t").alias("text_hash"), (F.col("a") - F.col("before")).alias("start"), (F.col("a") + F.col("after")).alias("stop")).distinct()
+    counts = every.groupBy("repeat").agg(F.count("*").alias("occurrences"))
+    every = every.join(counts, "repeat")
+    return every.select("repeat", F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "text_hash", "start", "stop", "occurrences")
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeats(docs)
