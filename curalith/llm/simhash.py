@@ -7,11 +7,13 @@ strings of 32 hex digits. A null text counts as empty.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -84,31 +86,59 @@ def add_fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint
     return docs.mapInArrow(run, schema)
 
 
-def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """Fingerprints of each text and of its edited text, whose last third is the beginning of the next document.
+def _ranges(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """Bounds of at most ``parts`` ranges of ``(k, h, r)``, from a sample of places; a few for each range, whatever the
+    input. They only deal rows, so a bad sample costs balance and nothing else."""
+    total = rows.count()
+    some = rows.select("k", "h", "r") if total <= 50 * parts else rows.sample(False, min(1.0, 50 * parts / total), 7).select("k", "h", "r")
+    keys = sorted(tuple(x) for x in some.collect())
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+
 
-    The next document is the one with the next smaller id (after the last, the first; ties by text; a null id
-    counts as the smallest). Rows are dealt once, by ranges of the id; the first row of each range also goes to
-    the range before, so that no range waits for another and none is gathered whole.
+def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
+    """Fingerprints of each text and of its edited text, whose last third is the beginning of the next document:
+    ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint, h)``, one row for each row.
+
+    The next document is the one with the next smaller id (after the last, the first; a null id counts as the smallest;
+    ties by a hash of the text, which is ``h``; of rows equal in both each is followed by its like and the last by another). A null text is empty; an empty table gives an empty one; other
+    columns are not read. Rows are dealt once, by ranges of this order, of which one id or one text may fill several;
+    the first row of each range also goes to the range before, so that no range waits for another and none is gathered
+    whole.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    # the place only spreads rows that are equal in all else over ranges
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("r")).withColumn("h", F.xxhash64("t"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # as many bounds as partitions, whatever the input
-    bounds = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    b = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    # range 0 holds the largest ids
-    place = F.size(F.filter(b, lambda x: x > F.col("k")))
-    firsts = rows.withColumn("p", place).groupBy("p").agg(F.max(F.struct("k", "h")).alias("f")).collect() if bounds else []  # a row for each range
-    order = sorted(r["p"] for r in firsts)
-    heads = {r["p"]: r["f"] for r in firsts}
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-    also = F.lit(None).cast("int")
-    for p in order:
-        also = F.when((place == p) & (F.col("k") == heads[p]["k"]) & (F.col("h") == heads[p]["h"]), F.lit(before[p])).otherwise(also) if len(order) > 1 else also
-    dealt = rows.withColumn("p", place.cast("int")).withColumn("also", also)
-    dealt = dealt.select("k", "t", "h", F.explode(F.array(F.struct(F.col("p"), F.lit(False).alias("borrowed")), F.struct(F.col("also").alias("p"), F.lit(True).alias("borrowed")))).alias("x")).where("x.p is not null")
+    bounds = _ranges(rows, parts)
+    top = np.array([x[0] for x in bounds], np.int64)
+
+    def ranges_of(ks: pd.Series, hs: pd.Series, rs: pd.Series) -> np.ndarray:
+        """Range 0 holds the last in the order of numbers, which come first."""
+        ks = ks.to_numpy()
+        low, high = np.searchsorted(top, ks, "left"), np.searchsorted(top, ks, "right")
+        out = len(bounds) - low
+        for i in np.flatnonzero(low < high).tolist():
+            out[i] = len(bounds) - bisect.bisect_right(bounds, (int(ks[i]), int(hs.iat[i]), int(rs.iat[i])), int(low[i]), int(high[i]))
+        return out.astype(np.int32)
+
+    place = F.pandas_udf(lambda ks, hs, rs: pd.Series(ranges_of(ks, hs, rs)), "int", F.PandasUDFType.SCALAR)
+    # two rows for each range: its first and its last one
+    ends = rows.select(place("k", "h", "r").alias("p"), F.struct("k", "h").alias("x")).groupBy("p").agg(F.max("x").alias("first"), F.min("x").alias("last")).orderBy("p").collect() if bounds else []
+    follows = {x["p"]: ends[(i + 1) % len(ends)] for i, x in enumerate(ends)} if len(ends) > 1 else {}
+    # a range that ends within a run of equal rows needs no row of the next one: its last row's next is its like
+    like = {x["p"] for x in ends if x["p"] in follows and x["last"] == follows[x["p"]]["first"]}
+    lent = {tuple(x["first"]): p for p, x in follows.items() if p not in like}
+    heads = np.array(sorted({x[0] for x in lent}), np.int64)
+
+    def also_of(ks: pd.Series, hs: pd.Series) -> pd.Series:
+        out = np.full(len(ks), -1, np.int32)
+        for i in np.flatnonzero(np.isin(ks.to_numpy(), heads)).tolist():
+            out[i] = lent.get((int(ks.iat[i]), int(hs.iat[i])), -1)
+        return pd.Series(out)
+
+    also = F.pandas_udf(lambda ks, hs: also_of(ks, hs), "int", F.PandasUDFType.SCALAR)
+    dealt = rows.withColumn("p", place("k", "h", "r") if bounds else F.lit(0)).withColumn("also", also("k", "h") if lent else F.lit(-1))
+    dealt = dealt.select("k", "t", "h", F.explode(F.array(F.struct(F.col("p"), F.lit(False).alias("borrowed")), F.struct(F.col("also").alias("p"), F.lit(True).alias("borrowed")))).alias("x")).where("x.p >= 0")
     dealt = dealt.select("k", "t", "h", "x.p", "x.borrowed").repartition(parts, "p").sortWithinPartitions("p", "borrowed", F.desc("k"), F.desc("h"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, h long"
 
@@ -125,27 +155,30 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             columns = [[i if i > -(2**63) else None for i, *_ in todo], [len(t) for _, _, t, _ in todo], [hashlib.sha256(t.encode()).hexdigest() for t in texts], plain[:-1], fingerprints(texts, k), plain[1:], [h for _, h, *_ in todo]]
             return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint", "h"])
 
+        def ended(last: tuple, first: str) -> tuple[int, int, str, str]:
+            # without a borrowed row the range ends within equal rows, or is the only one: its last row is followed by its first
+            return *last[:3], last[2] if last[3] in like else first
+
         todo: list[tuple[int, int, str, str]] = []
         last, first, size = None, None, 0
         for batch in batches:
             for i, t, h, p, borrowed in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "h", "p", "borrowed"))):
-                if last is not None and last[3] != p:  # with a single range, its last row is followed by its first
-                    todo.append((*last[:3], first))
+                if last is not None and last[3] != p:
+                    todo.append(ended(last, first))
                     yield made(todo)
                     todo, last, size = [], None, 0
                 if last is not None:
                     todo.append((*last[:3], t))
                     size += len(t)
+                elif borrowed:  # copies of a borrowed row; one has been used
+                    continue
                 first = t if last is None else first
-                if size > 1 << 20:
+                last = None if borrowed else (i, h, t, p)
+                if todo and (size > 1 << 20 or last is None):
                     yield made(todo)
                     todo, size = [], 0
-                last = None if borrowed and last is not None else (i, h, t, p)
-                if last is None:
-                    yield made(todo) if todo else pa.RecordBatch.from_pylist([], schema=out)
-                    todo, size = [], 0
         if last is not None:
-            todo.append((*last[:3], first))
+            todo.append(ended(last, first))
         if todo:
             yield made(todo)
 
