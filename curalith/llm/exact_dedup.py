@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curalith.storage import fresh_path, materialise
 
+from ._names import unused
+
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -106,15 +108,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
 
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that others stand for; all columns stay."""
-    keep = deduplicate(docs, doc_id, text).where("kept").select(F.col("locator").alias("_locator"), F.col("doc_id").alias("_id")).distinct()
-    marked = docs.withColumn("_at", F.xxhash64(F.col(text), F.col(doc_id).cast("long")))
-    out = marked.join(keep, (F.col("_at") == F.col("_locator")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    again = out.groupBy("_at", doc_id).agg(F.count("*").alias("n")).where("n > 1")
+    """``docs`` without the rows that others stand for; all columns stay, whatever their names. Of rows equal in id and
+    text one stays. An empty table gives an empty one."""
+    at, locator, own = unused(docs.columns, "_at", "_locator", "_id")
+    keep = deduplicate(docs, doc_id, text).where("kept").select(F.col("locator").alias(locator), F.col("doc_id").alias(own)).distinct()
+    marked = docs.withColumn(at, F.xxhash64(F.col(text), F.col(doc_id).cast("long")))
+    out = marked.join(keep, (F.col(at) == F.col(locator)) & F.col(doc_id).cast("long").eqNullSafe(F.col(own)), "left_semi")
+    again = out.groupBy(at, doc_id).agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
-        return out.drop("_at")
-    plain = [c for c in docs.columns]
-    return out.dropDuplicates(["_at", doc_id]).select(*plain)
+        return out.drop(at)
+    return out.dropDuplicates([at, doc_id]).select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

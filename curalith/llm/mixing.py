@@ -43,20 +43,23 @@ def source_targets(sizes: DataFrame, share: float = SHARE, repeats: int = REPEAT
     return by.select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")), F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, row: str | None = None) -> DataFrame:
     """``(doc_id, size, source_size, target, copies, taken)`` for each row of ``docs``.
 
-    Rows with a null id, and rows that repeat, count like others. Running totals are formed in two levels: first
-    over (source, bucket of the seeded order), then within a bucket, so a source may hold most of the rows; the
-    cut is found in a histogram of finish times and only its bucket is sorted.
+    Rows with a null id, and rows that repeat, count like others; a null text has no words and is never taken; null
+    is a source of its own; an empty table gives an empty one. The seeded order is by id and text, so rows without an
+    id spread like others; rows equal in both are interchangeable. With ``row``, a column that tells rows apart, it is
+    returned too. Running totals are formed in two levels: first over (source, bucket of the seeded order), then within
+    a bucket, so a source may hold most of the rows; the cut is found in a histogram of finish times and only its
+    bucket is sorted.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), key.alias("key")), "sizes")
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), key.alias("key"), *([] if row is None else [F.col(row).alias("row")])), "sizes")
     return mix_sizes(sizes, share, repeats, weights)
 
 
 def mix_sizes(sizes: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``mix`` for rows ``(doc_id, size, source, key)`` read from a table; other columns are kept."""
+    """``mix`` for rows ``(doc_id, size, source, key)``, and ``row`` if there is one, read from a table."""
     targets = source_targets(sizes, share, repeats, weights).select(F.col("source").alias("s"), "source_size", "target")
     n = sizes.count()
     digits = 2 if n < 2_000_000 else 3 if n < 30_000_000 else 5  # 256, 4,096 or a million buckets of a source
@@ -110,7 +113,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM {docs}),
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM {docs}),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight FROM s0),
 s2 AS (SELECT *, source_size * 2 AS cap, source_size * 2 / weight AS ratio FROM s1),

@@ -17,6 +17,8 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ._names import unused
+
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the base spans. Look-behinds skip starts inside a run that was tried from its first character, and
 #: possessive quantifiers only spare backtracking: matches are those of the plain patterns.
@@ -26,11 +28,11 @@ BASE = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-#: Generators of candidates.
+#: Generators of candidates, those of one kind in order; what they propose may overlap.
 WIDE = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20(?=[A-Za-z0-9-]++\x20dot\x20))[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     r"(?<![0-9])[0-9]{1,3}+(?:\x20?[.,]\x20?[0-9]{1,3}+){3}",
-    r"(?<![0-9])[0-9]{4}(?:[-. _/]{0,2}[0-9]{4}){3}[0-9]{0,3}+(?![0-9])",
+    r"(?<![0-9])(?:[0-9]{4}(?:[-. _/]{0,2}[0-9]{4}){3}[0-9]{0,3}+|[0-9]{4}[-. _/]{0,2}[0-9]{6}[-. _/]{0,2}[0-9]{4,5}+)(?![0-9])",
     r"(?<![0-9])(?:(?:\+|00)[0-9]{0,3}?[\x20.-]?|[0-9]{1,3}?[\x20.-]?)??\(?[0-9]{3}\)?[\x20./-]?[0-9]{3}[\x20./-]?[0-9]{4}(?![0-9])",
 )
 #: Words before a span that hint at personal data of its kind.
@@ -45,18 +47,43 @@ ROUNDS = 30
 RATE = 0.4
 
 
+#: Matches whose places are summed in one go; texts with more sum by blocks of so many.
+RUN = 64
+
+
 def _places(text: Column, pattern: str) -> Column:
-    """Matches of a pattern, leftmost and not overlapping: structs of start, end (code points) and the match."""
+    """Matches of a pattern, leftmost and not overlapping: structs of start, end (code points) and the match.
+
+    Summing places copies what was summed before, so runs are short: within blocks, and over the blocks' totals."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<a:int,b:int,m:string>>")
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("m")), lambda x: x["m"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["m"])
-        return F.struct(b.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), x["m"].alias("m")))).alias("out"))
+    def summed(block: Column, start: Column) -> Column:
+        empty = F.array().cast("array<struct<a:int,b:int,m:string>>")
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("m")), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        def step(acc: Column, x: Column) -> Column:
+            a = acc["at"] + F.length(x["gap"])
+            b = a + F.length(x["m"])
+            return F.struct(b.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), x["m"].alias("m")))).alias("out"))
+
+        return F.aggregate(block, F.struct(start.cast("int").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def offsets(blocks: Column) -> Column:
+        """What comes before each block, and all."""
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + F.length(x["gap"]) + F.length(x["m"])))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def by_blocks(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(RUN)), lambda i: F.slice(pairs, i, RUN))
+        long = _let(blocks, lambda bs: _let(offsets(bs), lambda at: F.flatten(F.transform(bs, lambda block, i: summed(block, F.get(at, i))))))
+        return F.when(F.size(pairs) > RUN, long).otherwise(summed(pairs, F.lit(0)))
+
+    return _let(pairs, by_blocks)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _luhn(digits: Column) -> Column:
@@ -261,13 +288,18 @@ def fit(docs: DataFrame, text: str = "text") -> Trees:
 
 def find(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of structs (a, k, b, m): start, kind, end, match, by start, then
-    kind. Spans are the base ones and selected candidates that touch none of these. Null texts have no spans;
-    columns of these names are replaced."""
-    docs = docs.drop("base", "spans").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    rows = with_candidates(docs, "_t")
-    # the trees are an expression over the exploded fields of one candidate; each text has few
-    new = F.filter("_wide", lambda s: F.forall("_base", lambda x: (x["b"] <= s["a"]) | (x["a"] >= s["b"])) & valid(s) & model.selects(features(F.col("_t"), s)))
-    return rows.withColumn("spans", F.when(F.size("_wide") > 0, F.array_sort(F.concat("_base", new))).otherwise(F.col("_base"))).withColumnRenamed("_base", "base").drop("_wide", "_t")
+    kind. Spans are the base ones and selected candidates that touch none of these. Null and empty texts have no
+    spans; rows that repeat have equal ones; an empty table gives an empty one. Other columns stay, whatever their
+    names, but columns named ``base`` and ``spans`` are replaced."""
+    docs = docs.drop("base", "spans")
+    t, base, wide = unused([*docs.columns, "spans"], "_t", "base", "_wide")
+    rows = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn(base, _listed(F.col(t), BASE, True)).withColumn(wide, _listed(F.col(t), WIDE, False))
+    # candidates that are base spans go first, by hash, so that few are left to be held against all of these;
+    # the trees are an expression over the fields of one candidate, and each text has few
+    new = F.filter(F.array_except(wide, base), lambda s: F.forall(base, lambda x: (x["b"] <= s["a"]) | (x["a"] >= s["b"])) & valid(s) & model.selects(features(F.col(t), s)))
+    rows = rows.withColumn("spans", F.when(F.size(wide) > 0, F.array_sort(F.concat(F.col(base), new))).otherwise(F.col(base))).drop(wide, t)
+    return rows.withColumnRenamed(base, "base") if base != "base" else rows
 
 
 def written(spans: Column) -> Column:

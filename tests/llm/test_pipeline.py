@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curalith.llm import bpe, mixing
@@ -78,3 +79,52 @@ def test_near_dedup_drops_rows_not_ids(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()]
     c = min((rows[4], rows[5]), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
     assert sorted(got, key=repr) == sorted([rows[0], rows[2], c, rows[7], rows[8], rows[9]], key=repr)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "a long text of many words " * 8000
+
+
+def edges(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and columns with names of the stages' own."""
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two three four five six", "en", "s", 5), (3, "one two three four five six", "en", "s", 5), (3, "another text of this id entirely", "en", None, 5)]
+    rows += [(None, f"no id here at all, number {i} of several", None, "t", None) for i in (1, 2, 3)] + [(None, "no id here at all, number 1 of several", None, "t", None), (7, LONG, "en", "s", len(LONG))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("_row", "_id", "_at", "_n", "_score", "_taken", "copies", "row", "n", "key", "size", "s", "bucket"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    return rows, docs
+
+
+def counted(frame):
+    assert frame.columns == list(corpus_pipeline.COLUMNS)
+    return collections.Counter(map(tuple, frame.collect()))
+
+
+def test_stages_on_edges(spark):
+    rows, docs = edges(spark)
+    every = collections.Counter(rows)
+    assert counted(corpus_pipeline.good_documents(spark, docs, SF)) <= every
+    # of equal texts the row with the largest id stays
+    assert counted(corpus_pipeline.without_copies(spark, docs, SF)) == collections.Counter({r: 1 for r in every if r != rows[0]})
+    near = counted(corpus_pipeline.without_near_copies(spark, docs, SF))
+    assert near == every
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    got = [tuple(r) for r in corpus_pipeline.encoded(spark, docs, SF).select("doc_id", "n_tokens", "decoded_sha256").collect()]
+    assert sorted((d, x) for d, _, x in got if d) == sorted((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows if r[0])
+    assert all((n == 0) == (x == hashlib.sha256(b"").hexdigest()) for _, n, x in got)
+
+
+def test_mixing_takes_what_the_plan_says(spark):
+    """Rows without an id, of one id, and rows that repeat are taken as often as planned, in all and each."""
+    rows, docs = edges(spark)
+    plan = mixing.mix(docs.select(*corpus_pipeline.COLUMNS).withColumn("r", F.to_json(F.struct("doc_id", "text", "source"))), row="r").collect()
+    want = collections.Counter()
+    for r in plan:
+        want[r.row] += r.copies
+    got = collections.Counter()
+    for d, t, _, s, _ in counted(corpus_pipeline.mixed(spark, docs, SF)).elements():
+        got[(d, t, s)] += 1
+    keys = {r.r: (r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source", F.to_json(F.struct("doc_id", "text", "source")).alias("r")).collect()}
+    assert got == +collections.Counter({keys[k]: n for k, n in want.items()}) and got
+    assert sum(r.size for r in plan) * 1.5 >= sum(r.taken for r in plan) > sum(r.size for r in plan)
