@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import _bytes as B
 
-LEAF = 8192
+LEAF = 1024
 PIECE = 512
 BLANK = regex.compile(r"\S(?=\s)")
 
@@ -63,9 +63,7 @@ class Bpe:
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
             middle = b"".join(self.bytes_of[t] for t in left[a:] + right[:b])
-            tokens = self._small(middle) if len(middle) <= 2 * self.piece or (a == 0 and b == len(right)) else None
-            if tokens is None:
-                return self._small(b"".join(self.bytes_of[t] for t in left + right))
+            tokens = self._small(middle)
             if (a == 0 or self._stable(left[a - 1], tokens[0])) and (b == len(right) or self._stable(tokens[-1], right[b])):
                 return left[:a] + tokens + right[b:]
             size *= 2
@@ -160,19 +158,21 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: ids are hashed as little-endian unsigned 32-bit integers,
-    decoded bytes as they are."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for each row: ids are hashed as little-endian unsigned 32-bit
+    integers, decoded bytes as they are. A null text is empty and has no ids; rows that repeat give equal rows; an id may
+    be null; other columns are not read; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path, pattern)
         for batch in batches:
-            got = []
-            for t in batch.column(1).to_pylist():
-                ids = bpe.encode(t or "")
-                got.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for part in B.slices(batch, "text"):
+                got = []
+                for t in part.column("text"):
+                    ids = bpe.encode(t.as_py())
+                    got.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

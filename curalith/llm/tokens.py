@@ -108,7 +108,8 @@ def count_text(text: bytes, automaton: LongestMatch, known: dict[bytes, int]) ->
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``docs`` with n_words and n_tokens (long) instead of the text; null counts as empty. Words are runs of
-    anything but ASCII white space. The vocabulary is a file that executors can read."""
+    anything but ASCII white space. The vocabulary is a file that executors can read. Other columns stay, but columns
+    named n_words and n_tokens are replaced; rows that repeat count alike; an empty table gives an empty one."""
     keep = [c for c in docs.columns if c not in ("n_words", "n_tokens", text)]
     docs = docs.select(*keep, F.col(text).cast("binary").alias(text))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -116,7 +117,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known = _automaton(vocabulary)
         for batch in batches:
-            got = [count_text(t or b"", automaton, known) for t in batch.column(text).to_pylist()]
+            got = [count_text(t.as_py() or b"", automaton, known) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], [*keep, "n_words", "n_tokens"])
 
     return docs.mapInArrow(run, schema)
