@@ -6,12 +6,28 @@ from pyspark.sql import Column, functions as F
 
 
 def canonical_class(name: Column, aliases: dict[str, str]) -> Column:
-    """Trimmed, lower-cased, runs of hyphens and white space as one underscore, looked up; unknown names stay."""
-    key = F.regexp_replace(F.lower(F.trim(name)), r"[-\s]+", "_")
+    """Without white space at the ends, lower-cased, runs of hyphens and white space as one underscore, looked up;
+    unknown names stay as they are."""
+    key = F.regexp_replace(F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")), r"[-\s]+", "_")
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else F.create_map().cast("map<string,string>")
     return F.coalesce(F.element_at(table, key), name)
 
 
+def file_kind(name: Column, subtypes: tuple[str, ...]) -> Column:
+    """``(kind, prompt_id, variant, subtype, number)`` of a file name by how its stem ends, whatever the case: a prompt
+    and variant, which wins, or a subtype and number; else unknown."""
+    s = stem(name)
+    prompt, typed = r"(?i)_p_(\d+)_v_(\d+)$", rf"(?i)_({'|'.join(subtypes)})_(\d+)$"
+    is_prompt, is_typed = s.rlike(prompt), s.rlike(typed)
+    return F.struct(
+        F.when(is_prompt, "synthetic").when(is_typed, "subtype").otherwise("unknown").alias("kind"),
+        F.when(is_prompt, F.regexp_extract(s, prompt, 1)).alias("prompt_id"),
+        F.when(is_prompt, F.regexp_extract(s, prompt, 2).cast("int")).alias("variant"),
+        F.when(~is_prompt & is_typed, F.upper(F.regexp_extract(s, typed, 1))).alias("subtype"),
+        F.when(~is_prompt & is_typed, F.regexp_extract(s, typed, 2).cast("int")).alias("number"),
+    )
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -29,13 +45,19 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body has it; the optimizer cannot write it out."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def argmax(values: Column) -> Column:
     """Index of the first maximum, from 0."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
+
+
+def one_hot(label: Column, k: int) -> Column:
+    """An array of k numbers, 1 at the label and 0 elsewhere; all 0 for a null or unknown label."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce((i == label).cast("int"), F.lit(0)))
 
 
 def focal_loss(probs: Column, label: Column, gamma: float = 2.0, alpha: float = 0.25) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from curalith.functions.scalar import keyed_hash
+from curalith.operators.order import positions, shuffled_positions
 
 
 def resolve_exact(pool: DataFrame, digest: str, cls: str, split: str, key: str, priority=("test", "val", "train")) -> DataFrame:
     """``pool`` with ``reason``: null for rows that stay; rows of a digest under several classes all go
-    (conflicting_label), else the row of the first split, then least key, stays (others: exact_duplicate)."""
-    rank = F.array_position(F.array(*map(F.lit, priority)), F.col(split))
+    (conflicting_label), else the row of the first split, then least key, stays (others: exact_duplicate). Splits that
+    ``priority`` does not name come after those it does; rows without a digest stay."""
+    place = F.array_position(F.array(*map(F.lit, priority)), F.col(split))
+    rank = F.when(place > 0, place).otherwise(len(priority) + 1)
     by = pool.groupBy(digest).agg(F.count("*").alias("_n"), F.count_distinct(cls).alias("_k"), F.min(F.struct(rank.alias("r"), F.col(key).alias("k"))).alias("_keep"))
     rows = pool.join(by.where("_n > 1"), digest, "left")
     reason = F.when(F.col("_k") > 1, "conflicting_label").when(F.struct(rank.alias("r"), F.col(key).alias("k")) != F.col("_keep"), "exact_duplicate")
@@ -36,35 +41,35 @@ def quarantine_cross_class(rows: DataFrame, group: str, cls: str) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, cls: str, key: str, seed: str, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
-    """``split`` by position in a keyed order of each class: exact shares. Positions come from bucket counts and ranks
-    within buckets, so a class may hold most rows."""
-    h = rows.withColumn("_h", keyed_hash(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
-    counts = h.groupBy(cls, "_b").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(cls)
-    counts = counts.select(F.col(cls).alias("_k"), F.col("_b").alias("_b2"), (F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
-    h = h.withColumn("_r", F.row_number().over(Window.partitionBy(cls, "_b").orderBy("_h", key)))
-    h = h.join(counts, F.col(cls).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_b2")))
-    pos, n = F.col("_before") + F.col("_r"), F.col("_n")
+    """``split`` by position in a keyed order of each class: exact shares, also of a class that holds most rows."""
+    h = shuffled_positions(rows, [cls], key, seed)
+    pos, n = F.col("_pos"), F.col("_n")
     a, b = F.bround(n * shares[0]), F.bround(n * (shares[0] + shares[1]))
-    return h.withColumn("split", F.when(pos <= a, "train").when(pos <= b, "val").otherwise("test")).select(*rows.columns, "split")
+    return h.withColumn("split", F.when(pos <= a, "train").when(pos <= b, "val").otherwise("test")).drop("_pos", "_n")
 
 
 def best_group_split(rows: DataFrame, group: str, cls: str, share: float, tries: int, seed: str) -> DataFrame:
-    """``(group, held_out)``: of ``tries`` keyed shuffles of whole groups the one whose held-out side has the class
-    shares and size nearest the target; the earliest of equals. Groups are counted by class first."""
+    """``(group, held_out)``: of ``tries`` keyed shuffles of whole groups the one whose held-out side, the first share
+    of the groups (rounded up), has the class shares and size nearest the target; the earliest of equals. Groups are
+    counted by class first, and no task holds a whole shuffle."""
     sizes = rows.groupBy(group, cls).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total, k = sizes.agg(F.sum("n"), F.count_distinct(group)).first()
+    total = total or 0
     shares = sizes.groupBy(cls).agg((F.sum("n") / total).alias("p"))
     groups = sizes.groupBy(group).agg(F.sum("n").alias("gn"))
     tried = groups.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("try").cast("string"), F.col(group).cast("string"))))
-    tried = tried.withColumn("cum", F.sum("gn").over(Window.partitionBy("try").orderBy("h", group)))
-    held = tried.where(F.col("cum") <= F.lit(share * total))
-    side = held.select("try", group).join(sizes, group).groupBy("try", cls).agg(F.sum("n").alias("n"))
+    tried = positions(tried, ["try"], [F.col("h"), F.col(group)], F.substring("h", 1, 2))
+    held = tried.where(F.col("_pos") <= math.ceil(share * k)).select("try", group)
+    side = held.join(sizes, group).groupBy("try", cls).agg(F.sum("n").alias("n"))
     side = side.join(side.groupBy("try").agg(F.sum("n").alias("nb")), "try")
-    every = held.select("try").distinct().crossJoin(F.broadcast(shares)).join(side, ["try", cls], "left")
+    every = side.select("try").distinct().crossJoin(F.broadcast(shares)).join(side, ["try", cls], "left")  # tries x classes
     score = every.groupBy("try").agg((F.max(F.abs(F.coalesce(F.col("n") / F.col("nb"), F.lit(0.0)) / F.col("p") - 1)) + 2 * F.abs(F.max("nb") / total - share)).alias("score"))
-    best = score.agg(F.min(F.struct(F.round("score", 9).alias("s"), "try"))["try"].alias("try"))
-    return groups.join(held.join(F.broadcast(best), "try").select(F.col(group), F.lit(True).alias("held_out")), group, "left").select(group, F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    best = score.agg(F.min(F.struct(F.round("score", 9).alias("s"), "try"))["try"].alias("try")).first()
+    number = -1 if best is None or best[0] is None else best[0]
+    # the chosen shuffle alone again
+    chosen = groups.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(number)), F.col(group).cast("string")))).withColumn("try", F.lit(number))
+    chosen = positions(chosen, ["try"], [F.col("h"), F.col(group)], F.substring("h", 1, 2))
+    return chosen.select(group, (F.col("_pos") <= math.ceil(share * k)).alias("held_out"))
 
 
 def complete_groups(rows: DataFrame, group: list[str], variant: str, n: int) -> DataFrame:
@@ -75,20 +80,20 @@ def complete_groups(rows: DataFrame, group: list[str], variant: str, n: int) ->
 
 def sample_fraction(rows: DataFrame, cls: str, key: str, fraction: float, seed: str) -> DataFrame:
     """min(n, max(1, round half even of n * fraction)) rows of each class, by keyed order."""
-    w = Window.partitionBy(cls)
-    h = rows.withColumn("_h", keyed_hash(seed, F.col(key)))
-    h = h.withColumn("_r", F.row_number().over(w.orderBy("_h", key))).withColumn("_n", F.count("*").over(w))
-    return h.where(F.col("_r") <= F.least(F.col("_n"), F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)))).select(*rows.columns)
+    if not 0 < fraction <= 1:
+        raise ValueError("a fraction lies above 0 and is 1 at most")
+    h = shuffled_positions(rows, [cls], key, seed)
+    return h.where(F.col("_pos") <= F.least(F.col("_n"), F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)))).drop("_pos", "_n")
 
 
 def balance(rows: DataFrame, cls: str, key: str, target: int, cap: int, seed: str) -> DataFrame:
     """``copies`` of each row: classes below target gain keyed draws with replacement, classes above cap lose rows."""
-    w = Window.partitionBy(cls)
-    h = rows.withColumn("_r", F.row_number().over(w.orderBy(keyed_hash(seed, F.col(key)), key))).withColumn("_n", F.count("*").over(w))
-    draws = h.select(cls, "_n").distinct().where(F.col("_n") < target).select(F.col(cls).alias("_k"), "_n", F.explode(F.sequence(F.lit(1), F.lit(target) - F.col("_n"))).alias("_i"))
-    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_k").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n") + 1
+    h = shuffled_positions(rows, [cls], key, seed)
+    sizes = rows.groupBy(F.col(cls).alias("_k")).agg(F.count("*").alias("_n2"))
+    draws = sizes.where(F.col("_n2") < target).select("_k", "_n2", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(target) - F.col("_n2"))).alias("_i"))
+    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_k").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n2") + 1
     draws = draws.select("_k", at.alias("_at")).groupBy("_k", "_at").agg(F.count("*").alias("_more"))
-    out = h.where((F.col("_n") <= cap) | (F.col("_r") <= cap)).join(draws, (F.col(cls) == F.col("_k")) & (F.col("_r") == F.col("_at")), "left")
+    out = h.where((F.col("_n") <= cap) | (F.col("_pos") <= cap)).join(draws, F.col(cls).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_at")), "left")
     return out.withColumn("copies", (1 + F.coalesce("_more", F.lit(0))).cast("long")).select(*rows.columns, "copies")
 
 
@@ -98,10 +103,26 @@ def mean_class_size(rows: DataFrame, cls: str) -> int:
     return round(r["n"] / r["k"]) if r["k"] else 0
 
 
-def class_weights(rows: DataFrame, cls: str) -> DataFrame:
+def class_weights(rows: DataFrame, cls: str, classes: list[str] | None = None) -> DataFrame:
+    """``(class, n, weight)``: n rows / (classes * rows of the class). With ``classes`` these count, whether or not they
+    have rows; a class without rows weighs 1."""
     by = rows.groupBy(cls).agg(F.count("*").alias("n"))
-    everything = Window.partitionBy()
-    return by.withColumn("weight", F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n")))
+    if classes is not None:
+        named = rows.sparkSession.createDataFrame([(c,) for c in classes], f"{cls} string")
+        by = named.join(by, cls, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    everything = Window.partitionBy()  # a row for each class
+    weight = F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n"))
+    return by.withColumn("weight", F.when(F.col("n") > 0, weight).otherwise(1.0))
+
+
+def plain_fingerprint(rows: DataFrame, line: Column) -> str:
+    """SHA-256 of all lines, sorted by code point and joined by line feeds, as manifests record it. The digest takes
+    lines one after the other, so they stream through the driver a partition at a time; none is kept."""
+    digest, first = hashlib.sha256(), True
+    for r in rows.select(line.alias("l")).orderBy("l").toLocalIterator(prefetchPartitions=False):
+        digest.update(("" if first else "\n").encode() + r["l"].encode())
+        first = False
+    return digest.hexdigest()
 
 
 def fingerprint(rows: DataFrame, line: Column) -> DataFrame:
@@ -120,41 +141,8 @@ def constraints(checks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def hamming_links(rows: DataFrame, node: str, code: str, bits: int, most: int) -> DataFrame:
-    """Pairs of codes at most ``most`` bits apart: codes are cut into most + 1 bands, of which a pair shares one.
-    Codes that are equal are joined as stars."""
-    n = most + 1
-    edges = [round(i * bits / n) for i in range(n + 1)]
-    band = [F.concat_ws(":", F.lit(str(i)), F.shiftrightunsigned(F.col(code), a).bitwiseAND(F.lit((1 << b - a) - 1)).cast("string")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    keyed = rows.select(F.col(node).alias("id"), F.col(code).alias("c"), F.explode(F.array(*band)).alias("k"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
-    d = F.bit_count(F.col("a.c").bitwiseXOR(F.col("b.c")))
-    return pairs.where(d <= most).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), d.alias("distance")).distinct()
-
-
-def cosine_links(rows: DataFrame, node: str, vector: str, least: float, block: int = 2000) -> DataFrame:
-    """Pairs of mean-centred vectors whose cosine is at least ``least``, by pairs of blocks: each vector meets every
-    block once, in one matrix product, and only links leave a task."""
-    import numpy as np
-    import pandas as pd
-
-    dims = rows.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i")
-    mean = np.array([r["m"] for r in dims.collect()])  # one number for each dimension
-    blocks = max(1, -(-rows.count() // block))
-    b = F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = rows.select(F.col(node).alias("id"), F.col(vector).cast("array<double>").alias("v"), b.alias("b"))
-    dealt = dealt.withColumn("p", F.explode(F.transform(every, lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))))
-
-    def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.vstack(pdf["v"].to_numpy()) - mean
-        v /= np.sqrt((v * v).sum(1, keepdims=True)) + 1e-12
-        ids, own = pdf["id"].to_numpy(), pdf["b"].to_numpy() == key[0]
-        left, right = (own, ~own) if key[0] != key[1] else (own, own)
-        s = v[left] @ v[right].T
-        i, j = np.nonzero(s >= least)
-        a, c, x = ids[left][i], ids[right][j], s[i, j]
-        ok = a != c if key[0] != key[1] else a < c
-        return pd.DataFrame({"src": np.minimum(a, c)[ok], "dst": np.maximum(a, c)[ok], "score": x[ok]})
-
-    return dealt.groupBy("p.lo", "p.hi").applyInPandas(judge, "src long, dst long, score double")
+def enforce(checks: dict[str, DataFrame], what: str) -> None:
+    """Refuses with the names of all checks that have violations."""
+    broken = {r["name"]: r["violations"] for r in constraints(checks).where("violations > 0").collect()} if checks else {}  # a row for each check
+    if broken:
+        raise ValueError(f"{what}: " + ", ".join(f"{k} ({v})" for k, v in sorted(broken.items())))

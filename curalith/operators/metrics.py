@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from curalith.storage import materialise
+
 
 def confusion(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """Dense counts ``(by..., y, pred, n)`` over labels 0 to k - 1."""
-    keys = pred.select(*by).distinct()
-    labels = F.sequence(F.lit(0), F.lit(k - 1))
-    dense = keys.select(*by, F.explode(labels).alias("y")).select(*by, "y", F.explode(labels).alias("pred"))
+    """Dense counts ``(by..., y, pred, n)`` over labels 0 to k - 1. Predictions are read once: what each key counts is
+    at most k * k numbers, among which its dense grid is looked up."""
     counts = pred.groupBy(*by, "y", "pred").agg(F.count("*").alias("n"))
-    return dense.join(counts, [*by, "y", "pred"], "left").select(*by, "y", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    grid = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * k + F.col("pred")).alias("key"), F.col("n").alias("value")))).alias("m"))
+    cells = grid.select(*by, "m", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("i"))
+    return cells.select(*by, F.floor(F.col("i") / k).cast("int").alias("y"), (F.col("i") % k).cast("int").alias("pred"), F.coalesce(F.element_at("m", F.col("i")), F.lit(0)).cast("long").alias("n"))
+
+
+def row_shares(conf: DataFrame, by: list[str]) -> DataFrame:
+    """A confusion matrix with each row's shares; 0 in a row without counts."""
+    total = F.sum("n").over(Window.partitionBy(*by, "y"))  # k cells
+    return conf.withColumn("share", F.when(total > 0, F.col("n") / total).otherwise(0.0))
 
 
 def per_class(conf: DataFrame, by: list[str]) -> DataFrame:
@@ -41,27 +49,88 @@ def summary(classes: DataFrame, by: list[str], present_only: bool = False) -> Da
     return agg.select(*by, "n", acc.alias("accuracy"), "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted", F.when(pe < 1, (acc - pe) / (1 - pe)).otherwise(0.0).alias("kappa"), mcc.alias("mcc"))
 
 
-def auc_ovr(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """One-vs-rest ROC AUC of each class by tied ranks; null where one side is empty. Ranks come from cumulated
-    counts of distinct scores, so that windows hold scores, not rows."""
-    rows = pred.select(*by, "y", F.posexplode("probs").alias("class", "score")).where(F.col("class") < k)
-    counts = rows.groupBy(*by, "class", "score").agg(F.count("*").alias("m"), F.count_if(F.col("y") == F.col("class")).alias("pos"))
-    below = F.sum("m").over(Window.partitionBy(*by, "class").orderBy("score")) - F.col("m")
-    r = counts.withColumn("rank", below + (F.col("m") + 1) / 2)
-    a = r.groupBy(*by, "class").agg(F.sum(F.col("rank") * F.col("pos")).alias("rs"), F.sum("pos").alias("np"), F.sum("m").alias("n"))
+#: Parts of the range of scores in which cumulated counts are formed.
+BUCKETS = 4096
+
+
+def _cumulated(rows: DataFrame, by: list[str], down: bool = False) -> DataFrame:
+    """Counts ``(by..., score, m, pos)`` of distinct scores with ``cum`` and ``cum_pos``, what lies at or below (above)
+    each, and the totals ``n`` and ``np``. Sums are formed over buckets of scores first, then within each, so that
+    no task sorts all scores of a key. ``rows`` has ``score`` and ``hit``."""
+    c = materialise(rows.groupBy(*by, "score").agg(F.count("*").alias("m"), F.count_if("hit").alias("pos")), "score-counts")
+    c = c.withColumn("b", F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int"))
+    per = c.groupBy(*by, "b").agg(F.sum("m").alias("bm"), F.sum("pos").alias("bp"))
+    key = Window.partitionBy(*by)
+    order = key.orderBy(F.desc("b") if down else F.col("b"))
+    per = per.select(*[F.col(x).alias(f"_{i}") for i, x in enumerate(by)], F.col("b").alias("_b"), (F.sum("bm").over(order) - F.col("bm")).alias("om"), (F.sum("bp").over(order) - F.col("bp")).alias("op"), F.sum("bm").over(key).alias("n"), F.sum("bp").over(key).alias("np"))
+    w = Window.partitionBy(*by, "b").orderBy(F.desc("score") if down else F.col("score"))
+    c = c.withColumn("cum", F.sum("m").over(w)).withColumn("cum_pos", F.sum("pos").over(w))
+    same = F.col("b") == F.col("_b")
+    for i, x in enumerate(by):
+        same = same & F.col(x).eqNullSafe(F.col(f"_{i}"))
+    return c.join(per, same).withColumns({"cum": F.col("cum") + F.col("om"), "cum_pos": F.col("cum_pos") + F.col("op")}).select(*by, "score", "m", "pos", "cum", "cum_pos", "n", "np")
+
+
+def _auc(rows: DataFrame, by: list[str]) -> DataFrame:
+    c = _cumulated(rows, by)
+    rank = F.col("cum") - F.col("m") + (F.col("m") + 1) / 2
+    a = c.groupBy(*by).agg(F.sum(rank * F.col("pos")).alias("rs"), F.first("np").alias("np"), F.first("n").alias("n"))
     q = F.col("n") - F.col("np")
-    return a.select(*by, "class", F.when((F.col("np") > 0) & (q > 0), (F.col("rs") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * q)).alias("auc"))
+    return a.select(*by, F.when((F.col("np") > 0) & (q > 0), (F.col("rs") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * q)).alias("auc"))
+
+
+def _one_vs_rest(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
+    # the outer form: else the optimizer repeats what makes the array in a filter on its size
+    rows = pred.select(*by, "y", F.posexplode_outer("probs").alias("class", "score")).where(F.col("class") < k)
+    return rows.select(*by, "class", "score", (F.col("y") == F.col("class")).alias("hit"))
+
+
+def auc_ovr(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """One-vs-rest ROC AUC of each class by tied ranks; null where one side is empty."""
+    return _auc(_one_vs_rest(pred, k, by), [*by, "class"])
+
+
+def binary_scores(rows: DataFrame, label: str, score: str, by: list[str], cut: float = 0.5) -> DataFrame:
+    """For a binary label and the score of 1: rows, accuracy, balanced accuracy, macro-F1 at the cut, and ROC AUC
+    (null where one side is empty)."""
+    one = rows.select(*by, F.col(label).cast("int").alias("y"), F.col(score).alias("score")).withColumn("pred", (F.col("score") >= cut).cast("int"))
+    at_cut = summary(per_class(confusion(one, 2, by), by), by).select(*by, "n", "accuracy", "balanced_accuracy", "f1_macro")
+    return at_cut.join(_auc(one.select(*by, "score", (F.col("y") == 1).alias("hit")), by), by)
 
 
 def roc_points(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
     """``(by..., class, score, tpr, fpr)`` at each distinct score, from the highest down."""
-    rows = pred.select(*by, "y", F.posexplode("probs").alias("class", "score")).where(F.col("class") < k)
-    c = rows.groupBy(*by, "class", "score").agg(F.count("*").alias("m"), F.count_if(F.col("y") == F.col("class")).alias("pos"))
-    w = Window.partitionBy(*by, "class")
-    down = w.orderBy(F.desc("score"))
-    tp, all_ = F.sum("pos").over(down), F.sum("m").over(down)
-    np_, n = F.sum("pos").over(w), F.sum("m").over(w)
-    return c.select(*by, "class", "score", (tp / np_).alias("tpr"), ((all_ - tp) / (n - np_)).alias("fpr"))
+    c = _cumulated(_one_vs_rest(pred, k, by), [*by, "class"], down=True)
+    return c.select(*by, "class", "score", (F.col("cum_pos") / F.col("np")).alias("tpr"), ((F.col("cum") - F.col("cum_pos")) / (F.col("n") - F.col("np"))).alias("fpr"))
+
+
+def ranked_models(board: DataFrame, metric: str, model: str = "model") -> DataFrame:
+    """A comparison with each model's ``position`` by the metric, the name deciding ties, and whether it is ``best``."""
+    w = Window.orderBy(F.col(metric).desc_nulls_last(), F.col(model))  # a row a model
+    return board.withColumn("position", F.row_number().over(w)).withColumn("best", F.col("position") == 1)
+
+
+def same_holdout(boards: dict[str, tuple[DataFrame, str]], fingerprint: str) -> DataFrame:
+    """Comparisons of several runs as one, with ``run``: only of those whose holdout has the given fingerprint."""
+    out = None
+    for run, (board, own) in boards.items():
+        if own == fingerprint:
+            part = board.withColumn("run", F.lit(run))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no run was measured on this holdout")
+    return out
+
+
+def chosen_phase(log: DataFrame, model: str, phase: str, epoch: str, metric: str) -> DataFrame:
+    """For each model the phase with the best epoch by the metric, the first of equals, and that epoch, the first of
+    equals. A model with a phase that has no metric at all is refused."""
+    best = log.groupBy(model, phase).agg(F.max(metric).alias("score"), F.min(F.struct((-F.col(metric)).alias("s"), F.col(epoch).alias("e"))).alias("at"))
+    missing = best.where(F.col("score").isNull()).limit(1).collect()
+    if missing:
+        raise ValueError(f"no {metric} in phase {missing[0][phase]} of {missing[0][model]}")
+    top = F.min(F.struct((-F.col("score")).alias("s"), F.col(phase).alias("p"), F.col("at.e").alias("e")))
+    return best.groupBy(model).agg(top.alias("t")).select(model, F.col("t.p").alias("chosen_phase"), F.col("t.e").alias("epoch"), (-F.col("t.s")).alias("best"))
 
 
 def soft_vote(preds: DataFrame, weights: DataFrame, model: str, record: str, k: int) -> DataFrame:
@@ -71,7 +140,7 @@ def soft_vote(preds: DataFrame, weights: DataFrame, model: str, record: str, k:
     x = preds.join(F.broadcast(weights), model)  # a row for each model
     sums = [F.sum(F.col("weight") * F.element_at("probs", i + 1)).alias(f"p{i}") for i in range(k)]
     out = x.groupBy(record, "y").agg(*sums).withColumn("probs", F.array(*[F.col(f"p{i}") for i in range(k)]))
-    return out.select(record, "y", "probs", argmax(F.transform("probs", lambda v: F.round(v, 12))).alias("pred"))
+    return out.select(record, "y", "probs", argmax(F.transform("probs", lambda v: F.rint(v * 1e12))).alias("pred"))
 
 
 def ensemble_weights(scores: DataFrame, score: str = "f1_macro") -> DataFrame:

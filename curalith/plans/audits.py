@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curalith.operators import audit as A, curation as C
+from curalith.operators import audit as A, curation as C, links as L
 
 from .curation import M, NORMED, manifest, table
 
@@ -69,7 +69,7 @@ f AS (SELECT coalesce(min(i) FILTER (share <= 0.02), 4) AS i FROM w)
 SELECT round(tau, 2)::DOUBLE AS tau, largest, round(share, 6) AS share, w.i = f.i AS chosen FROM w, f WHERE w.i <= f.i""")
 def tau_escalation(spark, sf):
     e = table(spark, sf, "embeddings")
-    links = C.cosine_links(e, "vec_id", "embedding", 0.38)
+    links = L.cosine_links(e, "vec_id", "embedding", 0.38)
     return A.escalate(links, e.count(), [round(0.38 + 0.02 * i, 2) for i in range(5)]).withColumn("share", F.round("share", 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curalith.functions import scalar as S
-from curalith.operators import curation as C
+from curalith.operators import curation as C, links as L
 from curalith.operators.graph import connected_components
 
 TOKENS = ("src1", "src7")
@@ -222,7 +222,7 @@ CODE = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END" f
 SELECT a.vec_id AS src, b.vec_id AS dst, bit_count(xor(a.c, b.c))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.c, b.c)) <= 3""")
 def hamming_links(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.expr(CODE.replace("embedding[", "element_at(embedding, ").replace("]", ")")).cast("long").alias("c"))
-    return C.hamming_links(e, "vec_id", "c", 24, 3).withColumn("distance", F.col("distance").cast("int"))
+    return L.hamming_links(e, "vec_id", "c", 24, 3).withColumn("distance", F.col("distance").cast("int"))
 
 
 #: The signs of all 64 coordinates; the last one is the sign of the number.
@@ -232,7 +232,7 @@ CODE64 = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i if i < 63 el
 @query(f"""WITH h AS (SELECT vec_id, ({CODE64})::BIGINT AS c FROM embeddings)
 SELECT a.vec_id AS src, b.vec_id AS dst, bit_count(xor(a.c, b.c))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.c, b.c)) <= 5""")
 def hamming_links_64(spark, sf):
-    return C.hamming_links(sign_codes(table(spark, sf, "embeddings")), "vec_id", "c", 64, 5).withColumn("distance", F.col("distance").cast("int"))
+    return L.hamming_links(sign_codes(table(spark, sf, "embeddings")), "vec_id", "c", 64, 5).withColumn("distance", F.col("distance").cast("int"))
 
 
 def sign_codes(rows: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_produc
 
 @query(f"WITH {NORMED} SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4")
 def cosine_links(spark, sf):
-    return C.cosine_links(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4).select("src", "dst", F.round("score", 6).alias("score"))
+    return L.cosine_links(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4).select("src", "dst", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT p.p AS phenotype, g.g AS gender, v.v AS variation, i.i AS idx, (p.p * 2 + g.g) * 50 + v.v * 10 + i.i + 1 AS id,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curalith.functions import scalar as S
 from curalith.operators import metrics as X
+from curalith.storage import materialise
 
 from .curation import table
 
@@ -19,12 +20,17 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     y = (F.col("l_linenumber") % K).cast("int")
     m = F.col("m")
     raw = [F.col("l_quantity") + 1, F.col("l_discount") * 300 + 1, F.col("l_tax") * (400 + 50 * m) + 1, F.lit(25.0) + m]
-    raw = [F.round(r + F.when(y == i, (6.0 + 4 * m) * ((F.col("l_orderkey") + m) % 3)).otherwise(0.0), 4) for i, r in enumerate(raw)]
+    # four decimals by plain arithmetic: rounding a double goes through big decimals
+    raw = [F.rint((r + F.when(y == i, (6.0 + 4 * m) * ((F.col("l_orderkey") + m) % 3)).otherwise(0.0)) * 10000) / 10000 for i, r in enumerate(raw)]
     x = li.select(F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("m"), "*").select(F.concat(F.lit("m"), "m").alias("model"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), F.col("l_returnflag").alias("source"), y.alias("y"), *[r.alias(f"r{i}") for i, r in enumerate(raw)])
     total = sum((F.col(f"r{i}") for i in range(1, K)), F.col("r0"))
-    x = x.withColumn("probs", F.array(*[F.col(f"r{i}") / total for i in range(K)]))
+    x = x.withColumn("total", total)
     split = F.when(F.col("record_id") % 20 < 10, "val").otherwise("test")
-    return x.select("model", "record_id", "source", split.alias("split"), "y", "probs", S.argmax(F.col("probs")).alias("pred"))
+    probs = [F.col(f"r{i}") / F.col("total") for i in range(K)]
+    best, pred = F.greatest(*probs), F.lit(K - 1)
+    for i in reversed(range(K - 1)):  # the first maximum
+        pred = F.when(probs[i] == best, i).otherwise(pred)
+    return x.select("model", "record_id", "source", split.alias("split"), "y", F.array(*probs).alias("probs"), pred.alias("pred"))
 
 
 P = """p0 AS (SELECT m, 'm' || m AS model, l_orderkey * 10 + l_linenumber AS record_id, l_returnflag AS source, (l_linenumber % 4)::INT AS y,
@@ -107,13 +113,13 @@ def roc_auc(spark, sf):
     return rounded(X.auc_ovr(predictions(spark, sf), K, ["model"]), "auc")
 
 
-@query(f"""WITH {P}, s AS (SELECT y, unnest(range(4)) AS class, floor(unnest(probs) * 100) / 100 AS score FROM p WHERE model = 'm0'),
-c AS (SELECT class, score, count(*) AS m, count(*) FILTER (y = class) AS pos FROM s GROUP BY ALL)
-SELECT class::INT AS class, score, round(sum(pos) OVER (PARTITION BY class ORDER BY score DESC) / sum(pos) OVER (PARTITION BY class), 6) AS tpr,
- round(sum(m - pos) OVER (PARTITION BY class ORDER BY score DESC) / sum(m - pos) OVER (PARTITION BY class), 6) AS fpr FROM c""")
+@query(f"""WITH {P}, s AS (SELECT model, y, unnest(range(4)) AS class, round(unnest(probs), 9) AS score FROM p WHERE split = 'test'),
+c AS (SELECT model, class, score, count(*) AS m, count(*) FILTER (y = class) AS pos FROM s GROUP BY ALL)
+SELECT model, class::INT AS class, score, round(sum(pos) OVER (PARTITION BY model, class ORDER BY score DESC) / sum(pos) OVER (PARTITION BY model, class), 6) AS tpr,
+ round(sum(m - pos) OVER (PARTITION BY model, class ORDER BY score DESC) / sum(m - pos) OVER (PARTITION BY model, class), 6) AS fpr FROM c""")
 def roc_curve(spark, sf):
-    p = predictions(spark, sf).where("model = 'm0'").withColumn("probs", F.transform("probs", lambda v: F.floor(v * 100) / 100.0))
-    return rounded(X.roc_points(p, K, []), "tpr", "fpr")
+    p = predictions(spark, sf).where("split = 'test'").withColumn("probs", F.transform("probs", lambda v: F.rint(v * 1e9) / 1e9))
+    return rounded(X.roc_points(p, K, ["model"]), "tpr", "fpr")
 
 
 @query(f"WITH {P} SELECT model, avg((len(list_filter(probs, lambda v: v > probs[y + 1])) < 2)::INT) AS top2, round(avg(-0.25 * (1 - probs[y + 1]) ** 2 * ln(probs[y + 1])), 6) AS focal FROM p GROUP BY 1")
@@ -132,9 +138,53 @@ e AS (SELECT 'ensemble' AS model, record_id, y, (list_position(q, list_max(q)) -
 SELECT model, count(*) AS n, round(avg((y = pred)::INT), 6) AS accuracy FROM a GROUP BY 1""")
 def leaderboard(spark, sf):
     p = predictions(spark, sf)
-    scores = X.summary(X.per_class(X.confusion(p.where("split = 'val'"), K, ["model"]), ["model"]), ["model"]).select("model", "f1_macro")
-    weights = X.ensemble_weights(scores).select("model", "weight")
-    test = p.where("split = 'test'")
-    vote = X.soft_vote(test, weights, "model", "record_id", K).select(F.lit("ensemble").alias("model"), "record_id", "y", "pred")
-    every = test.select("model", "record_id", "y", "pred").unionByName(vote)
-    return every.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y") == F.col("pred")).cast("int")), 6).alias("accuracy"))
+    # both splits' counts in one pass: weights from val, accuracies of the models from test
+    scores = materialise(X.summary(X.per_class(X.confusion(p, K, ["model", "split"]), ["model", "split"]), ["model", "split"]), "scores")
+    weights = X.ensemble_weights(scores.where("split = 'val'").select("model", "f1_macro")).select("model", "weight")
+    vote = X.soft_vote(p.where("split = 'test'"), weights, "model", "record_id", K)
+    ensemble = vote.agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("pred")).cast("int")).alias("accuracy")).select(F.lit("ensemble").alias("model"), "n", "accuracy")
+    every = scores.where("split = 'test'").select("model", "n", "accuracy").unionByName(ensemble)
+    return every.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""WITH {P}, {classes_sql('p', 'model, split')}, b AS (SELECT * FROM sm WHERE split = 'test'),
+r AS (SELECT *, row_number() OVER (ORDER BY round(accuracy, 6) DESC, model) AS position FROM b)
+SELECT model, position::INT AS position, position = 1 AS best, 'this' AS run, {rounded_sql('accuracy', 'f1_macro', 'f1_weighted', 'kappa', 'mcc')} FROM r""")
+def model_comparison(spark, sf):
+    """Models by accuracy on the test split, with the runs that were measured on the same holdout."""
+    board = rounded(X.summary(_classes(spark, sf, ["model", "split"]), ["model", "split"]).where("split = 'test'"), *NUMBERS).select("model", "accuracy", "f1_macro", "f1_weighted", "kappa", "mcc")
+    other = board.withColumn("accuracy", F.lit(2.0))
+    return X.ranked_models(X.same_holdout({"this": (board, "a"), "other": (other, "b")}, "a"), "accuracy")
+
+
+@query(f"""WITH {P}, c AS (SELECT model, y, pred, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT model, a.y::INT AS y, b.pred::INT AS pred FROM (SELECT DISTINCT model FROM p), range(4) a(y), range(4) b(pred)),
+e AS (SELECT model, y, pred, coalesce(n, 0)::BIGINT AS n FROM d LEFT JOIN c USING (model, y, pred))
+SELECT model, y, pred, n, round(CASE WHEN sum(n) OVER (PARTITION BY model, y) > 0 THEN n / sum(n) OVER (PARTITION BY model, y) ELSE 0 END, 6) AS share FROM e""")
+def confusion_shares(spark, sf):
+    return rounded(X.row_shares(X.confusion(predictions(spark, sf), K, ["model"]), ["model"]), "share")
+
+
+B = """b AS (SELECT l_linestatus AS g, (l_returnflag = 'R')::INT AS y, round((l_quantity + CASE WHEN l_returnflag = 'R' THEN 10 ELSE 0 END) / 61, 6) AS s FROM lineitem),
+pc AS (SELECT g, c, count(*) FILTER (y = c AND (s >= 0.5)::INT = c) AS tp, count(*) FILTER (y = c) AS support, count(*) FILTER ((s >= 0.5)::INT = c) AS predicted FROM b, range(2) t(c) GROUP BY ALL),
+m AS (SELECT g, sum(support)::BIGINT AS n, sum(tp) / sum(support) AS accuracy, avg(tp / support) FILTER (support > 0) AS balanced_accuracy, avg(CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0 END) AS f1_macro FROM pc GROUP BY 1),
+r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / 2 AS rk FROM b),
+a AS (SELECT g, (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM r GROUP BY 1)"""
+
+
+@query(f"WITH {B} SELECT g AS l_linestatus, n, {rounded_sql('accuracy', 'balanced_accuracy', 'f1_macro', 'auc')} FROM m JOIN a USING (g)")
+def binary_source_scores(spark, sf):
+    is_r = F.col("l_returnflag") == "R"
+    li = table(spark, sf, "lineitem").select("l_linestatus", is_r.cast("int").alias("y"), F.round((F.col("l_quantity") + F.when(is_r, 10).otherwise(0)) / 61, 6).alias("s"))
+    return rounded(X.binary_scores(li, "y", "s", ["l_linestatus"]), "accuracy", "balanced_accuracy", "f1_macro", "auc")
+
+
+@query("""WITH e AS (SELECT l_returnflag AS model, (l_linenumber % 3 + 1)::INT AS phase, (l_orderkey % 25)::INT AS epoch, round(avg(l_quantity), 6) AS val FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY val DESC, phase, epoch) AS k FROM e) SELECT model, phase AS chosen_phase, epoch, val AS best FROM r WHERE k = 1""")
+def checkpoint_selection(spark, sf):
+    log = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("model"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("phase"), (F.col("l_orderkey") % 25).cast("int").alias("epoch")).agg(F.round(F.avg("l_quantity"), 6).alias("val"))
+    return X.chosen_phase(log, "model", "phase", "epoch", "val")
+
+
+@query(f"WITH {P} SELECT model, record_id, [(y = 0)::INT, (y = 1)::INT, (y = 2)::INT, (y = 3)::INT] AS one_hot FROM p WHERE model = 'm1'")
+def label_binarize(spark, sf):
+    return predictions(spark, sf).where("model = 'm1'").select("model", "record_id", S.one_hot(F.col("y"), K).alias("one_hot"))

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine, as
+    in tests. Elsewhere executors would not see each other's files, so that is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         if sc._jsc.sc().getCheckpointDir().isDefined():
             return sc._jsc.sc().getCheckpointDir().get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="curalith-")
         sc.setCheckpointDir(path)
     return path
