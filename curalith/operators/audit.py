@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from curalith.operators import metrics as X
 from curalith.operators.curation import stratified_split
 from curalith.operators.graph import connected_components
+from curalith.operators.order import dense_ids
+from curalith.storage import materialise
 
 
 def pseudonym(key: bytes, *parts: Column, digits: int = 32) -> Column:
@@ -31,40 +34,95 @@ def median_bits(coefficients: Column) -> Column:
     return F.array_join(F.transform(coefficients, lambda x: F.when(x.cast("double") > median, "1").otherwise("0")), "")
 
 
-def nearest(query: DataFrame, reference: DataFrame, node: str, vector: str, block: int = 4000) -> DataFrame:
+def nearest(query: DataFrame, reference: DataFrame, node: str, vector: str, mirror: str | None = None, centre: list[float] | None = None, block: int = 16_384) -> DataFrame:
     """``(query, reference, score)``: the reference vector of greatest cosine for each query vector, the least id of
-    equals. Queries meet each block of references in one matrix product; only the best of a block leaves a task."""
+    equals. Queries meet each block of references in matrix products of bounded size; only the best of a block leaves
+    a task. With ``mirror`` a reference counts as it is or mirrored, whichever is nearer; ``centre`` is taken off all
+    vectors first. All are compared, which is quadratic."""
     n_q, n_r = (max(1, -(-x.count() // block)) for x in (query, reference))
+    middle = 0.0 if centre is None else np.array(centre)
 
-    def unit(x: DataFrame, side: int, own: int, other: int) -> DataFrame:
+    def dealt(x: DataFrame, side: int, own: int, other: int) -> DataFrame:
         b = F.pmod(F.xxhash64(node), F.lit(own)).cast("int")
         o = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
         keys = (b.alias("q"), o.alias("r")) if side == 0 else (o.alias("q"), b.alias("r"))
-        return x.select(F.col(node).alias("id"), F.col(vector).cast("array<double>").alias("v"), *keys)
+        more = [F.col(mirror).cast("array<double>").alias("w")] if mirror and side else []
+        return x.select(F.col(node).alias("id"), F.col(vector).cast("array<double>").alias("v"), *more, *keys)
 
-    def judge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def unit(x: pd.Series) -> np.ndarray:
+        v = np.vstack(x.to_numpy()) - middle
+        return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+
+    def judge(a, b):
         if a.empty or b.empty:
             return pd.DataFrame({"query": np.zeros(0, np.int64), "reference": np.zeros(0, np.int64), "score": np.zeros(0)})
         b = b.sort_values("id")
-        x, y = (np.vstack(p["v"].to_numpy()) for p in (a, b))
-        s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)) @ (y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-12)).T
-        j = s.argmax(1)
-        return pd.DataFrame({"query": a["id"].to_numpy(), "reference": b["id"].to_numpy()[j], "score": s[np.arange(len(a)), j]})
-
-    found = unit(query, 0, n_q, n_r).groupBy("q", "r").cogroup(unit(reference, 1, n_r, n_q).groupBy("q", "r")).applyInPandas(judge, "query long, reference long, score double")
+        x, ys, ids = unit(a["v"]), [unit(b[c]) for c in (("v", "w") if mirror else ("v",))], b["id"].to_numpy()
+        who, score = np.zeros(len(a), np.int64), np.zeros(len(a))
+        for at in range(0, len(a), 512):
+            s = x[at : at + 512] @ ys[0].T
+            for y in ys[1:]:
+                s = np.maximum(s, x[at : at + 512] @ y.T)
+            j = s.argmax(1)
+            who[at : at + 512], score[at : at + 512] = ids[j], s[np.arange(len(j)), j]
+        return pd.DataFrame({"query": a["id"].to_numpy(), "reference": who, "score": score})
+
+    found = dealt(query, 0, n_q, n_r).groupBy("q", "r").cogroup(dealt(reference, 1, n_r, n_q).groupBy("q", "r")).applyInPandas(judge, "query long, reference long, score double")
     best = found.groupBy("query").agg(F.max(F.struct("score", (-F.col("reference")).alias("r"))).alias("m"))
     return best.select("query", (-F.col("m.r")).alias("reference"), F.col("m.score").alias("score"))
 
 
-def neighbour_report(found: DataFrame, by: list[str], marks: tuple[float, ...] = (0.9, 0.95)) -> DataFrame:
-    shares = [F.avg((F.col("score") >= m).cast("int")).alias(f"share_{round(m * 100)}") for m in marks]
-    return found.groupBy(*by).agg(F.count("*").alias("n"), F.median("score").alias("median"), F.max("score").alias("most"), *shares)
+def neighbour_report(found: DataFrame, by: list[str], marks: tuple[float, ...] = (0.9, 0.95), warn: float | None = None) -> DataFrame:
+    """Queries, median and greatest score, and how many, and which share, reach each mark; with ``warn`` whether the
+    share at the last mark is above it."""
+    at = [(m, F.col("score") >= m) for m in marks]
+    out = found.groupBy(*by).agg(
+        F.count("*").alias("n"), F.median("score").alias("median"), F.max("score").alias("most"),
+        *[F.avg(hit.cast("int")).alias(f"share_{round(m * 100)}") for m, hit in at], *[F.count_if(hit).alias(f"n_{round(m * 100)}") for m, hit in at],
+    )
+    return out if warn is None else out.withColumn("warning", F.col(f"share_{round(marks[-1] * 100)}") > warn)
+
+
+def leakage_report(rows: DataFrame, node: str, vector: str, split: str, source: str, marks: tuple[float, ...] = (0.9, 0.95), warn: float = 0.02, mirror: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(report, flagged)``: for every evaluation split, source of its rows, and source of training rows, how near the
+    nearest training row is; and the pairs that reach the lowest mark. Vectors are centred by the mean of all."""
+    from curalith.operators.links import _mean
+
+    centre = _mean(rows, vector).tolist()
+    sources = [r[0] for r in rows.select(source).distinct().orderBy(source).collect()]  # names of sources
+    every = None
+    for ref in sources:
+        train = rows.where((F.col(split) == "train") & (F.col(source) == ref))
+        found = nearest(rows.where(F.col(split) != "train"), train, node, vector, mirror, centre).withColumn("train_source", F.lit(ref))
+        every = found if every is None else every.unionByName(found)
+    every = every.join(rows.select(F.col(node).alias("query"), F.col(split).alias("evaluation_split"), F.col(source).alias("query_source")), "query")
+    every = materialise(every, "neighbours")
+    by = ["evaluation_split", "query_source", "train_source"]
+    return neighbour_report(every, by, marks, warn), every.where(F.col("score") >= min(marks)).select(*by, "query", "reference", "score")
+
+
+def random_pair_scores(rows: DataFrame, node: str, vector: str, seed: str, n: int = 20_000, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Percentiles of the cosine of ``n`` seeded random pairs of mean-centred vectors: what chance alone gives. The
+    number of pairs is the feature, as a scale to hold scores against."""
+    from curalith.operators.links import _mean
+
+    centre = F.array(*[F.lit(float(x)) for x in _mean(rows, vector)])
+    total = rows.count()
+    at = lambda name: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long") % F.lit(max(total, 1))
+    pairs = rows.sparkSession.range(n if total else 0).select(F.col("id").alias("i")).select("i", at("a").alias("a"), at("b").alias("b"))
+    numbered = dense_ids(rows.select(F.col(node).alias("k"), F.zip_with(F.col(vector).cast("array<double>"), centre, lambda x, m: x - m).alias("v")), "k", "at").where("at is not null")
+    side = lambda name: numbered.select(F.col("at").alias(name), F.col("v").alias(f"v{name}"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    score = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
+    return both.select(score.alias("s")).agg(F.count("*").alias("n"), *[F.percentile("s", p).alias(f"p{round(100 * p)}") for p in points])
 
 
 def escalate(links: DataFrame, n: int, taus: list[float], most: float = 0.02) -> DataFrame:
     """``(tau, largest, share, chosen)``: the first threshold at which the largest component holds at most that share
-    of n nodes is chosen, else the last. A loop over a few thresholds; links are scored once."""
+    of n nodes is chosen, else the last. A loop over a few thresholds; links are scored once, to a table."""
     spark, rows = links.sparkSession, []
+    links = materialise(links, "scored-links")
     for tau in taus:
         sizes = connected_components(links.where(F.col("score") >= tau).select("src", "dst")).groupBy("component").count()
         largest = sizes.agg(F.max("count")).first()[0] or 1
@@ -145,8 +203,8 @@ def frechet(a: DataFrame, b: DataFrame, cls: str, vector: str) -> DataFrame:
 
 
 def shortcut_control(rows: DataFrame, features: list[str], label: str, held_out: Column, max_iter: int = 50) -> DataFrame:
-    """``(n, accuracy, balanced_accuracy, chance)`` on held-out rows of a class-weighted logistic regression over
-    standardised features that should carry no signal."""
+    """``(n, accuracy, balanced_accuracy, f1_macro, chance)`` on held-out rows of a class-weighted logistic regression,
+    of two classes or more (labels from 0), over standardised features that should carry no signal."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -154,9 +212,21 @@ def shortcut_control(rows: DataFrame, features: list[str], label: str, held_out:
     x = rows.na.drop(subset=[*features, label]).withColumn("_held", held_out)
     train = x.where("not _held")
     by = train.groupBy(label).agg(F.count("*").alias("_n"))
-    total, k = (by.agg(F.sum("_n"), F.count("*")).first()[i] for i in (0, 1))
+    total, k = by.agg(F.sum("_n"), F.count("*")).first()
     train = train.join(F.broadcast(by), label).withColumn("_w", F.lit(float(total)) / (k * F.col("_n")))  # a row a class
     stages = [VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=label, weightCol="_w", maxIter=max_iter)]
     out = Pipeline(stages=stages).fit(train).transform(x.where("_held").withColumn("_w", F.lit(1.0)))
-    by = out.groupBy(label).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("r"))
-    return by.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("accuracy"), F.avg("r").alias("balanced_accuracy"), (1 / F.count("*")).alias("chance"))
+    pred = out.select(F.lit("all").alias("m"), F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
+    most = rows.agg(F.max(label)).first()[0]
+    s = X.summary(X.per_class(X.confusion(pred, int(most or 0) + 1, ["m"]), ["m"]), ["m"], present_only=True)
+    return s.select("n", "accuracy", "balanced_accuracy", "f1_macro", F.lit(1.0 / k if k else None).alias("chance"))
+
+
+def shortcut_controls(rows: DataFrame, sets: dict[str, list[str]], labels: dict[str, str], held_out: Column) -> DataFrame:
+    """``shortcut_control`` for each set of features and each label, such as class or source, as one table."""
+    out = None
+    for target, label in labels.items():
+        for name, features in sets.items():
+            one = shortcut_control(rows, features, label, held_out).select(F.lit(target).alias("target"), F.lit(name).alias("features"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -11,9 +11,9 @@ def confusion(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
     """Dense counts ``(by..., y, pred, n)`` over labels 0 to k - 1. Predictions are read once: what each key counts is
     at most k * k numbers, among which its dense grid is looked up."""
     counts = pred.groupBy(*by, "y", "pred").agg(F.count("*").alias("n"))
-    grid = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * k + F.col("pred")).alias("key"), F.col("n").alias("value")))).alias("m"))
-    cells = grid.select(*by, "m", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("i"))
-    return cells.select(*by, F.floor(F.col("i") / k).cast("int").alias("y"), (F.col("i") % k).cast("int").alias("pred"), F.coalesce(F.element_at("m", F.col("i")), F.lit(0)).cast("long").alias("n"))
+    grid = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * k + F.col("pred")).alias("key"), F.col("n").alias("value")))).alias("_cells"))
+    cells = grid.select(*by, "_cells", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("_i"))
+    return cells.select(*by, F.floor(F.col("_i") / k).cast("int").alias("y"), (F.col("_i") % k).cast("int").alias("pred"), F.coalesce(F.element_at("_cells", F.col("_i")), F.lit(0)).cast("long").alias("n"))
 
 
 def row_shares(conf: DataFrame, by: list[str]) -> DataFrame:
@@ -54,29 +54,29 @@ BUCKETS = 4096
 
 
 def _cumulated(rows: DataFrame, by: list[str], down: bool = False) -> DataFrame:
-    """Counts ``(by..., score, m, pos)`` of distinct scores with ``cum`` and ``cum_pos``, what lies at or below (above)
-    each, and the totals ``n`` and ``np``. Sums are formed over buckets of scores first, then within each, so that
+    """Counts ``(by..., score, _m, _pos)`` of distinct scores with ``_cum`` and ``_cum_pos``, what lies at or below (above)
+    each, and the totals ``_n`` and ``_np``. Sums are formed over buckets of scores first, then within each, so that
     no task sorts all scores of a key. ``rows`` has ``score`` and ``hit``."""
-    c = materialise(rows.groupBy(*by, "score").agg(F.count("*").alias("m"), F.count_if("hit").alias("pos")), "score-counts")
-    c = c.withColumn("b", F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int"))
-    per = c.groupBy(*by, "b").agg(F.sum("m").alias("bm"), F.sum("pos").alias("bp"))
+    c = materialise(rows.groupBy(*by, "score").agg(F.count("*").alias("_m"), F.count_if("hit").alias("_pos")), "score-counts")
+    c = c.withColumn("_b", F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int"))
+    per = c.groupBy(*by, "_b").agg(F.sum("_m").alias("_bm"), F.sum("_pos").alias("_bp"))
     key = Window.partitionBy(*by)
-    order = key.orderBy(F.desc("b") if down else F.col("b"))
-    per = per.select(*[F.col(x).alias(f"_{i}") for i, x in enumerate(by)], F.col("b").alias("_b"), (F.sum("bm").over(order) - F.col("bm")).alias("om"), (F.sum("bp").over(order) - F.col("bp")).alias("op"), F.sum("bm").over(key).alias("n"), F.sum("bp").over(key).alias("np"))
-    w = Window.partitionBy(*by, "b").orderBy(F.desc("score") if down else F.col("score"))
-    c = c.withColumn("cum", F.sum("m").over(w)).withColumn("cum_pos", F.sum("pos").over(w))
-    same = F.col("b") == F.col("_b")
+    order = key.orderBy(F.desc("_b") if down else F.col("_b"))
+    per = per.select(*[F.col(x).alias(f"_{i}") for i, x in enumerate(by)], F.col("_b").alias("_ob"), (F.sum("_bm").over(order) - F.col("_bm")).alias("_om"), (F.sum("_bp").over(order) - F.col("_bp")).alias("_op"), F.sum("_bm").over(key).alias("_n"), F.sum("_bp").over(key).alias("_np"))
+    w = Window.partitionBy(*by, "_b").orderBy(F.desc("score") if down else F.col("score"))
+    c = c.withColumn("_cum", F.sum("_m").over(w)).withColumn("_cum_pos", F.sum("_pos").over(w))
+    same = F.col("_b") == F.col("_ob")
     for i, x in enumerate(by):
         same = same & F.col(x).eqNullSafe(F.col(f"_{i}"))
-    return c.join(per, same).withColumns({"cum": F.col("cum") + F.col("om"), "cum_pos": F.col("cum_pos") + F.col("op")}).select(*by, "score", "m", "pos", "cum", "cum_pos", "n", "np")
+    return c.join(per, same).withColumns({"_cum": F.col("_cum") + F.col("_om"), "_cum_pos": F.col("_cum_pos") + F.col("_op")}).select(*by, "score", "_m", "_pos", "_cum", "_cum_pos", "_n", "_np")
 
 
 def _auc(rows: DataFrame, by: list[str]) -> DataFrame:
     c = _cumulated(rows, by)
-    rank = F.col("cum") - F.col("m") + (F.col("m") + 1) / 2
-    a = c.groupBy(*by).agg(F.sum(rank * F.col("pos")).alias("rs"), F.first("np").alias("np"), F.first("n").alias("n"))
-    q = F.col("n") - F.col("np")
-    return a.select(*by, F.when((F.col("np") > 0) & (q > 0), (F.col("rs") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * q)).alias("auc"))
+    rank = F.col("_cum") - F.col("_m") + (F.col("_m") + 1) / 2
+    a = c.groupBy(*by).agg(F.sum(rank * F.col("_pos")).alias("rs"), F.first("_np").alias("_np"), F.first("_n").alias("_n"))
+    q = F.col("_n") - F.col("_np")
+    return a.select(*by, F.when((F.col("_np") > 0) & (q > 0), (F.col("rs") - F.col("_np") * (F.col("_np") + 1) / 2) / (F.col("_np") * q)).alias("auc"))
 
 
 def _one_vs_rest(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def binary_scores(rows: DataFrame, label: str, score: str, by: list[str], cut: f
 def roc_points(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
     """``(by..., class, score, tpr, fpr)`` at each distinct score, from the highest down."""
     c = _cumulated(_one_vs_rest(pred, k, by), [*by, "class"], down=True)
-    return c.select(*by, "class", "score", (F.col("cum_pos") / F.col("np")).alias("tpr"), ((F.col("cum") - F.col("cum_pos")) / (F.col("n") - F.col("np"))).alias("fpr"))
+    return c.select(*by, "class", "score", (F.col("_cum_pos") / F.col("_np")).alias("tpr"), ((F.col("_cum") - F.col("_cum_pos")) / (F.col("_n") - F.col("_np"))).alias("fpr"))
 
 
 def ranked_models(board: DataFrame, metric: str, model: str = "model") -> DataFrame:

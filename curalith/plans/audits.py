@@ -54,7 +54,7 @@ def nearest_in_train(spark, sf):
     return _near(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query(NEAR + "SELECT label, count(*) AS n, round(median(score), 6) AS median, round(max(score), 6) AS most, avg((score >= 0.4)::INT) AS share_40, avg((score >= 0.45)::INT) AS share_45 FROM f GROUP BY 1")
+@query(NEAR + "SELECT label, count(*) AS n, round(median(score), 6) AS median, round(max(score), 6) AS most, avg((score >= 0.4)::INT) AS share_40, avg((score >= 0.45)::INT) AS share_45, count(*) FILTER (score >= 0.4) AS n_40, count(*) FILTER (score >= 0.45) AS n_45 FROM f GROUP BY 1")
 def neighbour_audit(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query"), "label")
     out = A.neighbour_report(_near(spark, sf).join(e, "query"), ["label"], (0.4, 0.45))
@@ -115,5 +115,6 @@ def frechet_distance(spark, sf):
 
 @query(None)
 def shortcut_control(spark, sf):
-    li = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), *[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")], "l_orderkey")
-    return A.shortcut_control(li, ["l_quantity", "l_discount", "l_tax"], "y", F.col("l_orderkey") % 5 == 0)
+    """How well class and source can be told from features that should not tell them."""
+    li = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linenumber") % 3).cast("int").alias("source"), *[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")], "l_orderkey")
+    return A.shortcut_controls(li, {"size": ["l_quantity"], "size and border": ["l_quantity", "l_discount", "l_tax"]}, {"class": "y", "source": "source"}, F.col("l_orderkey") % 5 == 0)

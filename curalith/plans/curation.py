@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curalith.functions import scalar as S
-from curalith.operators import curation as C, links as L
+from curalith.operators import curation as C, links as L, splits as SP
 from curalith.operators.graph import connected_components
 
 TOKENS = ("src1", "src7")
@@ -87,29 +87,22 @@ def duplicated_keep_first(spark, sf):
     return C.keep_first(manifest(spark, sf), "md5", "doc_id").select("doc_id", "duplicate")
 
 
-@query("""WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS a, left(text, 40) AS b FROM documents),
+#: Everything in ASCII but letters and digits.
+MARKS = r"[\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS a, md5(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{MARKS}', ' ', 'g')) AS b FROM documents),
 e AS (SELECT x.doc_id AS u, y.doc_id AS v FROM d x JOIN d y ON x.a = y.a OR x.b = y.b),
 r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT u AS doc_id, min(v) AS group_id FROM r GROUP BY 1""")
 def duplicate_groups(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("a"), F.substring("text", 1, 40).alias("b"))
+    """Groups of links by several keys of whole texts: equal texts, and texts equal but for case and marks."""
+    plain = F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), MARKS, " ")
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("a"), F.md5(plain).alias("b"))
     comp = connected_components(C.star_edges(d, "a", "doc_id").unionByName(C.star_edges(d, "b", "doc_id")))
     return d.join(comp, d["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 
-@query(None)
-def duplicate_groups_whole(spark, sf):
-    """Groups by whole texts: equal texts, and near copies that share 0.8 of their five-word shingles."""
-    from curalith.llm import ngram_join
-
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    near = ngram_join.jaccard_groups(d, k=5, threshold=(80, 100)).select(F.col("component_id").alias("src"), F.col("doc_id").alias("dst")).where("src <> dst")
-    # texts without words have no shingles; equal ones are linked by digest
-    d = d.select("doc_id", F.md5("text").alias("a"))
-    comp = connected_components(C.star_edges(d, "a", "doc_id").unionByName(near))
-    return d.join(comp, d["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
-
-
 @query(f"WITH {M} SELECT doc_id, CASE WHEN min(source) OVER (PARTITION BY md5) <> max(source) OVER (PARTITION BY md5) THEN 'quarantined_cross_class' ELSE 'eligible' END AS status FROM m")
 def cross_class_quarantine(spark, sf):
     return C.quarantine_cross_class(manifest(spark, sf), "md5", "source").select("doc_id", "status")
@@ -121,17 +114,31 @@ def stratified_split(spark, sf):
     return C.stratified_split(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", "r1").select("doc_id", "split")
 
 
-@query("""WITH s AS (SELECT md5(text) AS g, lang AS c, count(*) AS n FROM documents GROUP BY 1, 2), t AS (SELECT sum(n)::DOUBLE AS total FROM s),
-p AS (SELECT c, sum(n) / (SELECT total FROM t) AS p FROM s GROUP BY 1), gs AS (SELECT g, sum(n) AS gn FROM s GROUP BY 1),
-tr AS (SELECT g, gn, i, sum(gn) OVER (PARTITION BY i ORDER BY md5('r2:' || i || ':' || g), g) AS cum FROM gs, range(20) x(i)),
-h AS (SELECT i, g FROM tr, t WHERE cum <= 0.3::DOUBLE * total),
-sd AS (SELECT i, c, sum(n) AS n FROM h JOIN s USING (g) GROUP BY 1, 2), nb AS (SELECT i, sum(n) AS nb FROM sd GROUP BY 1),
-sc AS (SELECT nb.i, max(abs(coalesce(sd.n / nb.nb, 0) / p.p - 1)) + 2 * abs(max(nb.nb) / max(total) - 0.3::DOUBLE) AS score FROM nb CROSS JOIN p CROSS JOIN t LEFT JOIN sd ON sd.i = nb.i AND sd.c = p.c GROUP BY 1),
-b AS (SELECT i FROM sc ORDER BY round(score, 9), i LIMIT 1)
-SELECT g AS "group", g IN (SELECT g FROM h JOIN b USING (i)) AS held_out FROM gs""")
+def best_split_sql(rows: str, share: str, seed: str, name: str, tries: int = 200) -> str:
+    """The best of many shuffles of the groups ``(g, c)`` of a table, as common table expressions that end in ``name`` (g, held_out)."""
+    n = name
+    return f"""{n}_s AS (SELECT g, c, count(*) AS n FROM {rows} GROUP BY 1, 2), {n}_t AS (SELECT sum(n)::DOUBLE AS total, count(DISTINCT g) AS k FROM {n}_s),
+{n}_p AS (SELECT c, sum(n) / (SELECT total FROM {n}_t) AS p FROM {n}_s GROUP BY 1), {n}_gs AS (SELECT DISTINCT g FROM {n}_s),
+{n}_tr AS (SELECT g, i, row_number() OVER (PARTITION BY i ORDER BY md5('{seed}:' || i || ':' || g), g) AS pos FROM {n}_gs, range({tries}) x(i)),
+{n}_h AS (SELECT i, g FROM {n}_tr, {n}_t WHERE pos <= ceil({share}::DOUBLE * k)),
+{n}_sd AS (SELECT i, c, sum(n) AS n FROM {n}_h JOIN {n}_s USING (g) GROUP BY 1, 2), {n}_nb AS (SELECT i, sum(n) AS nb FROM {n}_sd GROUP BY 1),
+{n}_sc AS (SELECT nb.i, max(abs(coalesce(sd.n / nb.nb, 0) / p.p - 1)) + 2 * abs(max(nb.nb) / max(total) - {share}::DOUBLE) AS score FROM {n}_nb nb CROSS JOIN {n}_p p CROSS JOIN {n}_t LEFT JOIN {n}_sd sd ON sd.i = nb.i AND sd.c = p.c GROUP BY 1),
+{n}_b AS (SELECT i FROM {n}_sc ORDER BY round(score, 9), i LIMIT 1),
+{n} AS (SELECT g, g IN (SELECT g FROM {n}_h JOIN {n}_b USING (i)) AS held_out FROM {n}_gs)"""
+
+
+@query(f"""WITH d AS (SELECT md5(text) AS g, lang AS c FROM documents), {best_split_sql('d', '0.3', 'r2', 'x')} SELECT g AS "group", held_out FROM x""")
 def best_group_split(spark, sf):
     d = table(spark, sf, "documents").select(F.md5("text").alias("group"), F.col("lang").alias("class"))
-    return C.best_group_split(d, "group", "class", 0.3, 20, "r2")
+    return C.best_group_split(d, "group", "class", 0.3, 200, "r2")
+
+
+@query(f"""WITH d AS (SELECT doc_id, md5(text) AS g, lang AS c FROM documents), {best_split_sql('d', '0.3', 'r3', 'x')},
+e AS (SELECT d.* FROM d JOIN x USING (g) WHERE held_out), {best_split_sql('e', '0.5', 'r3/held', 'y')}
+SELECT doc_id, CASE WHEN NOT x.held_out THEN 'train' WHEN y.held_out THEN 'test' ELSE 'val' END AS split FROM d JOIN x USING (g) LEFT JOIN y USING (g)""")
+def three_way_group_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("group"), F.col("lang").alias("class"))
+    return SP.two_stage_group_split(d, "group", "class", 0.3, 200, "r3").select("doc_id", "split")
 
 
 @query("SELECT conv_id, count(*) AS rows, count(DISTINCT turn) AS variants, count(*) = 5 AND count(DISTINCT turn) = 5 AS complete FROM conversations GROUP BY 1")
@@ -145,18 +152,11 @@ def sample_fraction(spark, sf):
     return C.sample_fraction(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 0.3, "mix")
 
 
-@query("""WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('bal:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
-dr AS (SELECT lang, ('0x' || substr(md5('bal:' || lang || ':' || i), 1, 8))::BIGINT % n + 1 AS at_, count(*) AS more FROM (SELECT DISTINCT lang, n FROM h WHERE n < 300), range(1, 300) x(i) WHERE i <= 300 - n GROUP BY 1, 2)
-SELECT doc_id, h.lang, (1 + coalesce(more, 0))::BIGINT AS copies FROM h LEFT JOIN dr ON h.lang = dr.lang AND r = at_ WHERE n <= 400 OR r <= 400""")
-def balance(spark, sf):
-    return C.balance(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 300, 400, "bal")
-
-
 @query("""WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('bal:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
 t AS (SELECT round_even(count(*) / count(DISTINCT lang)::DOUBLE, 0)::BIGINT AS t FROM documents WHERE lang IS NOT NULL),
 dr AS (SELECT lang, ('0x' || substr(md5('bal:' || lang || ':' || i), 1, 8))::BIGINT % n + 1 AS at_, count(*) AS more FROM (SELECT lang, n, unnest(range(1, t - n + 1)) AS i FROM (SELECT DISTINCT lang, n FROM h), t WHERE n < t) GROUP BY 1, 2)
 SELECT doc_id, h.lang, (1 + coalesce(more, 0))::BIGINT AS copies FROM h CROSS JOIN t LEFT JOIN dr ON h.lang = dr.lang AND r = at_ WHERE h.lang IS NOT NULL AND r <= t""")
-def balance_to_mean(spark, sf):
+def balance(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang").where("lang IS NOT NULL")
     mean = C.mean_class_size(d, "lang")
     return C.balance(d, "lang", "doc_id", mean, mean, "bal")
@@ -215,35 +215,6 @@ def key_sets(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-CODE = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END" for i in range(24))
-
-
-@query(f"""WITH h AS (SELECT vec_id, ({CODE})::BIGINT AS c FROM embeddings)
-SELECT a.vec_id AS src, b.vec_id AS dst, bit_count(xor(a.c, b.c))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.c, b.c)) <= 3""")
-def hamming_links(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.expr(CODE.replace("embedding[", "element_at(embedding, ").replace("]", ")")).cast("long").alias("c"))
-    return L.hamming_links(e, "vec_id", "c", 24, 3).withColumn("distance", F.col("distance").cast("int"))
-
-
-#: The signs of all 64 coordinates; the last one is the sign of the number.
-CODE64 = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i if i < 63 else '(-9223372036854775807 - 1)'} ELSE 0 END" for i in range(64))
-
-
-@query(f"""WITH h AS (SELECT vec_id, ({CODE64})::BIGINT AS c FROM embeddings)
-SELECT a.vec_id AS src, b.vec_id AS dst, bit_count(xor(a.c, b.c))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.c, b.c)) <= 5""")
-def hamming_links_64(spark, sf):
-    return L.hamming_links(sign_codes(table(spark, sf, "embeddings")), "vec_id", "c", 64, 5).withColumn("distance", F.col("distance").cast("int"))
-
-
-def sign_codes(rows: DataFrame) -> DataFrame:
-    """``(vec_id, c)``: the signs of 64 coordinates as the bits of a long."""
-    bits = [F.when(F.element_at("embedding", i + 1) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    code = bits[0]
-    for b in bits[1:]:
-        code = code.bitwiseOR(b)
-    return rows.select("vec_id", code.alias("c"))
-
-
 NORMED = """c AS (SELECT i, avg(x::DOUBLE) AS m FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1),
 mean AS (SELECT list(m ORDER BY i) AS m FROM c), v AS (SELECT vec_id, label, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE - m[i]) AS v FROM embeddings, mean),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v)"""
@@ -262,9 +233,3 @@ def prompt_grid(spark, sf):
     at = lambda width, k: F.floor((F.col("id") - 1) / width) % k
     g = n.select(at(100, 3).alias("phenotype"), at(50, 2).alias("gender"), at(10, 5).alias("variation"), at(1, 10).alias("idx"), "id")
     return g.select("*", S.stable_seed(F.lit("cls"), F.col("id")).alias("seed"), F.when(F.col("variation") == 1, F.col("idx") % 4).otherwise(0).alias("severity"))
-
-
-@query("""SELECT user_id, min_by(event_id, ts) AS first_event, count(*) AS attempts, bool_or(event_type = 'purchase') AS done FROM (SELECT * FROM events ORDER BY ts) GROUP BY 1""")
-def first_attempts(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("first_event"), F.count("*").alias("attempts"), F.bool_or(F.col("event_type") == "purchase").alias("done"))

@@ -1 +1 @@
-
+"""Operators over streams of files."""

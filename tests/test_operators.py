@@ -10,12 +10,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_golden_metrics(spark):
-    y, p = [0, 1, 2, 0, 1, 2, 0, 1, 2, 0], [0, 1, 2, 0, 1, 0, 0, 1, 2, 0]
+def test_metrics_by_hand(spark):
+    """Twelve labels of three classes, and the formulas over their confusion matrix in plain numbers."""
+    y = [2, 2, 2, 2, 2, 1, 1, 1, 1, 0, 0, 0]
+    p = [2, 2, 1, 2, 0, 1, 1, 2, 1, 0, 2, 0]
+    m = [[sum(a == i and b == j for a, b in zip(y, p)) for j in range(3)] for i in range(3)]
+    t, q, n = [sum(r) for r in m], [sum(c) for c in zip(*m)], len(y)
+    f1 = [2 * m[i][i] / (t[i] + q[i]) for i in range(3)]
+    acc, pe = sum(m[i][i] for i in range(3)) / n, sum(a * b for a, b in zip(t, q)) / n**2
+    want = {
+        "accuracy": acc, "f1_macro": sum(f1) / 3, "f1_weighted": sum(f * a for f, a in zip(f1, t)) / n, "balanced_accuracy": sum(m[i][i] / t[i] for i in range(3)) / 3, "kappa": (acc - pe) / (1 - pe),
+        "mcc": (acc * n * n - pe * n * n) / ((n * n - sum(x * x for x in q)) * (n * n - sum(x * x for x in t))) ** 0.5,
+    }
     rows = spark.createDataFrame([("a", a, b) for a, b in zip(y, p)], "m string, y int, pred int")
     s = summary(per_class(confusion(rows, 3, ["m"]), ["m"]), ["m"]).first()
-    for k, v in {"accuracy": 0.9, "f1_macro": 0.896296, "f1_weighted": 0.895556, "balanced_accuracy": 0.888889, "kappa": 0.846154, "mcc": 0.859795}.items():
-        assert abs(s[k] - v) < 1e-6
+    for k, v in want.items():
+        assert abs(s[k] - v) < 1e-9, k
 
 
 def test_macro_f1_over_present_labels(spark):
@@ -25,9 +35,9 @@ def test_macro_f1_over_present_labels(spark):
 
 
 def test_exact_resolution(spark):
-    pool = [("h1", "a", "train", "p1"), ("h1", "a", "test", "p2"), ("h2", "a", "train", "p3"), ("h2", "b", "val", "p4"), ("h3", "a", "val", "p5")]
+    pool = [("h4", "a", "holdout", "p6"), ("h4", "a", "test", "p7"), ("h1", "a", "train", "p1"), ("h1", "a", "test", "p2"), ("h2", "a", "train", "p3"), ("h2", "b", "val", "p4"), ("h3", "a", "val", "p5")]
     got = {r.path: r.reason for r in resolve_exact(spark.createDataFrame(pool, "h string, c string, split string, path string"), "h", "c", "split", "path").collect()}
-    assert got == {"p1": "exact_duplicate", "p2": None, "p3": "conflicting_label", "p4": "conflicting_label", "p5": None}
+    assert got == {"p6": "exact_duplicate", "p7": None, "p1": "exact_duplicate", "p2": None, "p3": "conflicting_label", "p4": "conflicting_label", "p5": None}
 
 
 def test_sampling_is_half_even_and_never_empty(spark):
