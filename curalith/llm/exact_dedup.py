@@ -69,6 +69,21 @@ def by_group(rows: DataFrame, groups: DataFrame, total: int, key: str = "digest"
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key))
 
 
+#: Words of 64 bits of the filter that spares texts the way to the byte check; so many rows are broadcast at most.
+FILTER_WORDS = 1 << 17
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those that are not wanted, and with all that are: known by ``k`` and ``locator``, through
+    a table of bits whose size is fixed."""
+    place = F.xxhash64("k", "locator")
+    word = F.pmod(place, F.lit(FILTER_WORDS)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(k, locator), 20), 64) as int))")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    kept = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return kept.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=lambda t: F.unhex(F.sha2(t, 256))) -> DataFrame:
     """``(doc_id, locator, keep_id, group_size, kept, text_sha256)`` for every row; one row of each group is kept.
 
@@ -93,6 +108,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     marked = by_group(rows.select("digest", "doc_id", "locator"), groups.where("group_size > 1").select("digest", "group_size"), total)
     marked = marked.select("digest", F.coalesce("doc_id", least).alias("k"), "locator").distinct()
     content = base.select(F.coalesce("doc_id", least).alias("k"), F.xxhash64("text", "doc_id").alias("locator"), "doc_id", "text")
+    content = _likely(content, marked)
     hits = content.join(marked.hint("shuffle_hash"), ["k", "locator"]).select("digest", "doc_id", "locator", normalised(F.col("text")).alias("norm"))
     bytes_ = hits.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
     odd = materialise(bytes_.where("a <> b").select("digest"), "collisions")

@@ -9,8 +9,9 @@ that the threshold asks of their sizes. Heavy sets are blocked without losing a
 elements, so among more parts of the hash space than that (dealt anew for each size class), some are equal as
 wholes, and the largest of these are keys. The boundary is the largest size whose subsets cost less than blocking
 and scanning. Keys that meet form candidate clusters, apart for each size class; each set is sent once to each of
-its clusters, at most three, and scanning the inverted lists there gives exact overlaps. A cluster beyond ``BLOCK`` sets is scanned in pairs of blocks. Only links of a spanning forest leave a
-scan, so groups of copies never become all their pairs.
+its clusters, at most three, and scanning the inverted lists there gives exact overlaps. Only links of a spanning
+forest leave a scan, and members of a cluster's known group are not scanned, so neither copies nor near copies become
+all their pairs; a cluster beyond ``BLOCK`` sets is scanned in blocks.
 """
 
 from __future__ import annotations
@@ -131,9 +132,17 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(B.mix(np.array([v], U)).view(np.int64)[0]) for v in x)
 
 
+#: Sets that are scanned before the largest group among them is taken as known.
+LEADERS = 8
+
+
 def scan(sets: list[np.ndarray], size: np.ndarray, num: int, den: int, split: int | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of all links among the sets (with ``split``, of those between the first ``split``
-    and the others), by scanning inverted lists. ``size``: of the whole sets."""
+    and the others), by scanning inverted lists. ``size``: of the whole sets.
+
+    A link within one group adds nothing, and one to another group is found from its other end: so once some sets have
+    been scanned, members of the largest group so far are left out. Of many near copies few are scanned.
+    """
     n = len(sets)
     held = np.array([len(s) for s in sets])
     root = np.arange(n)
@@ -156,8 +165,13 @@ def scan(sets: list[np.ndarray], size: np.ndarray, num: int, den: int, split: in
     lists = others[o]
     start = np.searchsorted((word if split is None else word_of)[o], np.arange(word.max() + 2))
     edge = np.append(0, np.cumsum(held))
-    out = []
-    for i in first.tolist():
+    out, known = [], None
+    for turn, i in enumerate(first.tolist()):
+        if split is None and turn == LEADERS:
+            groups = [find(x) for x in range(n)]
+            known = max(set(groups), key=groups.count)
+        if known is not None and find(i) == find(known):
+            continue
         w = word[edge[i] : edge[i + 1]]
         a, ln = start[w], start[w + 1] - start[w]
         total = int(ln.sum())
@@ -167,7 +181,7 @@ def scan(sets: list[np.ndarray], size: np.ndarray, num: int, den: int, split: in
         both = np.bincount(lists[at], minlength=n)
         linked = np.flatnonzero(den * both >= num * (size[i] + size - both))
         for j in linked.tolist():
-            if j > i and (a := find(i)) != (b := find(j)):
+            if (a := find(i)) != (b := find(j)):
                 root[max(a, b)] = min(a, b)
                 out.append((i, j))
     return out
@@ -257,35 +271,43 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = shared.select("s", "n").mapInArrow(name, "s long, node long")
     placed = named.join(near, "node").join(sizes, "component").withColumn("nb", blocks).withColumn("b", F.pmod("node", "nb").cast("int"))
     found = shared.join(placed, "s").select("component", "s", "n", "nb", "b", "x")
-    # pairs of blocks, each set once for every other block
-    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))
-    dealt = found.select("component", "s", "n", "b", "x", F.explode(pair).alias("p")).select("component", "p.lo", "p.hi", "b", "s", "n", "x")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, own = None, {}
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within each group of rows ``(component, o, b)``: of side 0 with side 1, or all of side 0."""
+        here, own = None, [[], []]
         links: list[tuple[int, int]] = []
 
         def settle() -> None:
-            if len(own) > 1:
-                order = sorted(own, key=lambda s: own[s][0] != here[1])
-                split = sum(own[s][0] == here[1] for s in order) if here[1] != here[2] else None
-                if split is None or 0 < split < len(order):
-                    links.extend((order[i], order[j]) for i, j in scan([own[s][2] for s in order], np.array([own[s][1] for s in order]), num, den, split))
+            rows = own[0] + own[1]
+            if len(rows) > 1 and own[0]:
+                links.extend((rows[i][0], rows[j][0]) for i, j in scan([x for *_, x in rows], np.array([n for _, n, _ in rows]), num, den, len(own[0]) if own[1] else None))
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["src", "dst"])
 
         for batch in batches:
-            for c, lo, hi, b, s, n, x in zip(*(batch.column(c).to_pylist() for c in ("component", "lo", "hi", "b", "s", "n")), batch.column("x")):
-                if (c, lo, hi) != here:
+            for c, o, b, side, s, n, x in zip(*(batch.column(c).to_pylist() for c in ("component", "o", "b", "side", "s", "n")), batch.column("x")):
+                if (c, o, b) != here:
                     settle()
-                    here, own = (c, lo, hi), {}
+                    here, own = (c, o, b), [[], []]
                     if len(links) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["src", "dst"])
+                        yield written()
                         links.clear()
-                own[s] = (b, n, np.frombuffer(x.as_py(), U))
+                own[side].append((s, n, np.frombuffer(x.as_py(), U)))
         settle()
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["src", "dst"])
-
-    links = dealt.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(judge, "src long, dst long")
+            yield written()
+
+    def links_of(rows: DataFrame) -> DataFrame:
+        rows = rows.select("component", "o", "b", "side", "s", "n", "x").repartition(parts, "component", "o", "b")
+        return rows.sortWithinPartitions("component", "o", "b", "side").mapInArrow(scanned, "src long, dst long")
+
+    zero = F.lit(0)
+    # a set may come to a cluster by several names
+    one = found.where("nb = 1").dropDuplicates(["component", "s"]).select("component", zero.alias("o"), zero.alias("b"), zero.alias("side"), "s", "n", "x")
+    links = links_of(one)
+    if not sizes.where(F.col("m") > BLOCK).isEmpty():
+        links = links.unionByName(_large_clusters(found.where("nb > 1"), links_of, num, den))
     linked = connected_components(links)
     distinct = known.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("id"), F.count("*").alias("c"), *([F.min(row_order("id", "row")).alias("first")] if more else []))
     # the least id of each component, then of each set
@@ -304,17 +326,50 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"), *more, *firsts)
 
 
+def _large_clusters(found: DataFrame, links_of, num: int, den: int) -> DataFrame:
+    """Links within clusters of several blocks. All sets are held against one of their cluster first; those that link
+    with it are known to be one group. Every other set then meets every block. So the cost grows with the sets beside the
+    group, not with its square: of the links within the group none is needed."""
+    leader = found.groupBy("component").agg(F.min("s").alias("lead"), F.max("nb").alias("nb"))
+    own = found.select("component", F.col("s").alias("lead"), F.col("n").alias("ln"), F.col("x").alias("lx")).dropDuplicates(["component", "lead"])
+    leader = leader.join(own, ["component", "lead"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[bytes, np.ndarray] = {}
+            near = []
+            for x, lx, n, ln in zip(batch.column("x"), batch.column("lx"), batch.column("n").to_pylist(), batch.column("ln").to_pylist()):
+                key = lx.as_py()
+                if key not in known:
+                    known = {key: np.frombuffer(key, U)}
+                both = np.isin(np.frombuffer(x.as_py(), U), known[key], assume_unique=True).sum()
+                near.append(bool(den * both >= num * (n + ln - both)))
+            names = ["component", "s", "n", "nb", "b", "x", "lead"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near)], [*names, "near"])
+
+    held = found.dropDuplicates(["component", "b", "s"]).join(leader, ["component", "b"]).select("component", "s", "n", "nb", "b", "x", "lead", "lx", "ln")
+    held = materialise(held.mapInArrow(hold, "component long, s long, n long, nb int, b int, x binary, lead long, near boolean"), "large-clusters")
+    beside = held.where("not near")
+    blocks = beside.groupBy("component").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("no"))
+    left = beside.join(blocks, "component").withColumn("o", F.pmod(F.xxhash64("s"), F.col("no")).cast("int")).drop("b")
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
+    right = held.join(blocks, "component").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).withColumn("side", F.lit(1))
+    cols = ["component", "o", "b", "side", "s", "n", "x"]
+    return held.where("near and s <> lead").select(F.col("lead").alias("src"), F.col("s").alias("dst")).unionByName(links_of(left.select(*cols).unionByName(right.select(*cols))))
+
+
 LOW = U((1 << 48) - 1)
 
 
-def _shared_elements(rows: DataFrame, sets, parts: int, num: int, den: int, flush_at: int = 1_500_000) -> DataFrame:
+def _shared_elements(rows: DataFrame, sets, partitions: int, num: int, den: int, flush_at: int = 1_500_000) -> DataFrame:
     """``(s, n, x)``: for sets that may link, the id, the size, and the elements that other sets have too (packed).
 
     Inverted lists by element: each map task packs its elements into one block for each shard of the hash (48 bits
     of the rest of the hash, run lengths for sets). An element that several of its sets have is known to be shared:
     it goes to its shard once, as a mark, and these sets' own lists pass by; so a very common element costs each
-    task one entry.
+    task one entry. Shards are 65,536 at most, as an element is named by 48 bits and its shard.
     """
+    parts = min(partitions, 1 << 16)
 
     def packed(kind: int, group: np.ndarray, sid: np.ndarray, n: np.ndarray, key: np.ndarray, of: np.ndarray | None = None) -> pa.RecordBatch:
         """Blocks of (set, elements) for each group (shard); all arrays are by element, sorted by group, then set."""

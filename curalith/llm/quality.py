@@ -19,6 +19,8 @@ from . import _bytes as B
 
 #: Most labelled rows that the model is fitted to; those whose hashed ids come first.
 SAMPLE = 6000
+#: Most lines of these rows together, which bounds what the driver holds (80 bytes a line).
+SAMPLE_LINES = 400_000
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -172,20 +174,33 @@ def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 250,
     return LineField(mean, std, theta[:-4], theta[-4:].reshape(2, 2), base)
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> LineField:
-    """A model fitted to ``sample`` labelled rows at most, outside the held-out fold, those whose hashed ids come
-    first. The sample's ids are broadcast and its features go to the driver; both are bounded by ``sample``."""
+def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> LineField:
+    """A model fitted to ``sample`` labelled rows at most, outside the held-out fold, those whose hashed ids come first,
+    as far as they have no more than ``lines`` lines together. The sample's ids are broadcast and its features go to the
+    driver one row at a time; both bounds hold there. Rows without an id or a label are no part; of an id's labels the
+    greatest counts; without any rows a model scores all alike."""
+    import hashlib
+    import heapq
+
     ids = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y is not null and " + f"crc32(cast(cast(_id as string) as binary)) % {FOLDS} <> 0")
     ids = ids.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.md5(F.col("_id").cast("string"))).limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, _, first = line_features(batch.column("_t"))
-            parts = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+            keep = np.diff(first) <= lines  # no such row fits in
+            parts = [x[a:b].tobytes() if ok else None for a, b, ok in zip(first[:-1], first[1:], keep)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(parts, pa.binary())], ["id", "y", "x"])
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(ids), "_id").select(F.col("_id").cast("long").alias("_id"), F.col("_y").cast("int").alias("_y"), "_t")
-    got = sorted(((r["id"], r["x"], r["y"]) for r in rows.mapInArrow(run, "id long, y int, x binary").toLocalIterator()))
+    held, total = [], 0  # the last in the order of hashes goes first when there are too many lines
+    for r in rows.mapInArrow(run, "id long, y int, x binary").where("x is not null").toLocalIterator():
+        order = int(hashlib.md5(str(r["id"]).encode()).hexdigest(), 16)
+        heapq.heappush(held, (-order, r["id"], bytes(r["x"]), r["y"]))
+        total += len(r["x"]) // 80
+        while total > lines:
+            total -= len(heapq.heappop(held)[2]) // 80
+    got = sorted((i, x, y) for _, i, x, y in held)
     xs = [np.frombuffer(x, np.float32).reshape(-1, 20) for _, x, _ in got]
     first = np.cumsum([0, *map(len, xs)])
     return fit(np.concatenate(xs) if xs else np.zeros((0, 20), np.float32), first, np.array([y for *_, y in got]))

@@ -237,3 +237,25 @@ def test_disguised_spans_at_any_frequency(spark, share):
     assert all(got[d][0] == "" for d in want)
     wrong = [(docs[d][1], b, s) for d, (b, s) in got.items() if d not in want and b != s]
     assert not wrong, wrong[:5]
+
+
+def test_many_near_copies_are_scanned_once():
+    """Of a thousand near copies few are scanned, and the groups are those of all pairs."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    sets = [np.setdiff1d(base, rng.choice(base, rng.integers(0, 18), replace=False)) for _ in range(300)]
+    sets += [np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(5)]
+    sets += [np.append(sets[-1][:-2], np.array([1, 2], np.uint64))]
+    size = np.array([len(x) for x in sets])
+    root = list(range(len(sets)))
+    for i, j in ngram_join.scan(sets, size, 85, 100):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r == max(a, b) else r for r in root]
+    want = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= 85 * (len(a) + len(sets[j]) - both) and want[i] != want[j]:
+                x, y = min(want[i], want[j]), max(want[i], want[j])
+                want = [x if r == y else r for r in want]
+    assert root == want and len(set(want)) < 10
