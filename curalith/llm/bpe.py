@@ -154,7 +154,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, part.num_rows).columns, pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], [*names, to])
                 done += part.num_rows
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(B.tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,7 +172,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                     got.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(B.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

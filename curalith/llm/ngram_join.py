@@ -217,7 +217,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ids = [set_id(s) for s in own]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in own], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), *(part.column(c) for c in more)], ["id", "n", "s", "s2", *more])
 
-    known = materialise(rows.mapInArrow(describe, "id long, n long, s long, s2 long" + "".join(f", {c} string" for c in more)), "sets")
+    known = materialise(rows.mapInArrow(B.tidy(describe), "id long, n long, s long, s2 long" + "".join(f", {c} string" for c in more)), "sets")
     shared = materialise(_shared_elements(rows.drop(*more), sets, parts, num, den), "shared")
     shards = 4 * parts
 
@@ -264,7 +264,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             s = np.repeat(np.array(batch.column("s").to_pylist(), np.int64), [len(x) for x in of])
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(nodes_of(s, np.array([j for x in of for j in x], np.int64)))], ["s", "node"])
 
-    met = shared.mapInArrow(deal, "shard int, sids binary, keys binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(meet, "src long, dst long")
+    met = shared.mapInArrow(B.tidy(deal), "shard int, sids binary, keys binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(B.tidy(meet), "src long, dst long")
     near = connected_components(met.distinct())
     sizes = near.groupBy("component").agg(F.count("*").alias("m"))
     blocks = F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / (BLOCK // 2))).cast("int")
@@ -300,7 +300,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def links_of(rows: DataFrame) -> DataFrame:
         rows = rows.select("component", "o", "b", "side", "s", "n", "x").repartition(parts, "component", "o", "b")
-        return rows.sortWithinPartitions("component", "o", "b", "side").mapInArrow(scanned, "src long, dst long")
+        return rows.sortWithinPartitions("component", "o", "b", "side").mapInArrow(B.tidy(scanned), "src long, dst long")
 
     zero = F.lit(0)
     # a set may come to a cluster by several names
@@ -361,7 +361,7 @@ def _large_clusters(found: DataFrame, links_of, num: int, den: int) -> DataFrame
 LOW = U((1 << 48) - 1)
 
 
-def _shared_elements(rows: DataFrame, sets, partitions: int, num: int, den: int, flush_at: int = 1_500_000) -> DataFrame:
+def _shared_elements(rows: DataFrame, sets, partitions: int, num: int, den: int, flush_at: int = 1_000_000) -> DataFrame:
     """``(s, n, x)``: for sets that may link, the id, the size, and the elements that other sets have too (packed).
 
     Inverted lists by element: each map task packs its elements into one block for each shard of the hash (48 bits
@@ -492,9 +492,9 @@ def _shared_elements(rows: DataFrame, sets, partitions: int, num: int, den: int,
                 first = np.array([a for a, _ in some])
                 yield pa.RecordBatch.from_arrays([pa.array(sid[first]), pa.array(n[first].astype(np.int64)), pa.array([key[a:b].tobytes() for a, b in some], pa.binary())], ["s", "n", "x"])
 
-    blocks = rows.mapInArrow(deal, "kind int, shard int, sids binary, ns binary, runs binary, low binary, high binary, of binary")
-    lists = blocks.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, "to int, sids binary, ns binary, runs binary, x binary")
-    return lists.repartition(parts, "to").mapInArrow(enough, "s long, n long, x binary")
+    blocks = rows.mapInArrow(B.tidy(deal), "kind int, shard int, sids binary, ns binary, runs binary, low binary, high binary, of binary")
+    lists = blocks.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(B.tidy(judge), "to int, sids binary, ns binary, runs binary, x binary")
+    return lists.repartition(parts, "to").mapInArrow(B.tidy(enough), "s long, n long, x binary")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(ids), "_id").select(F.col("_id").cast("long").alias("_id"), F.col("_y").cast("int").alias("_y"), "_t")
     held, total = [], 0  # the last in the order of hashes goes first when there are too many lines
-    for r in rows.mapInArrow(run, "id long, y int, x binary").where("x is not null").toLocalIterator():
+    for r in rows.mapInArrow(B.tidy(run), "id long, y int, x binary").where("x is not null").toLocalIterator():
         order = int(hashlib.md5(str(r["id"]).encode()).hexdigest(), 16)
         heapq.heappush(held, (-order, r["id"], bytes(r["x"]), r["y"]))
         total += len(r["x"]) // 80
@@ -219,7 +219,7 @@ def with_scores(docs: DataFrame, model: LineField, text: str = "text", to: str =
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, part.num_rows).columns, pa.array(model.scores(part.column(text)), pa.float64())], [*names, to])
                 done += part.num_rows
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(B.tidy(run), schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -464,7 +464,7 @@ class _Job:
                     (own if kind == OWN else marks).append(np.frombuffer(x.as_py(), ANCHOR if kind == OWN else U))
             yield from again()
 
-        found = self.rows.mapInArrow(find, "kind int, shard int, x binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(meet, "to int, x binary")
+        found = self.rows.mapInArrow(B.tidy(find), "kind int, shard int, x binary").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(B.tidy(meet), "to int, x binary")
         return found.repartition(parts, "to").mapInArrow(_by_doc(ANCHOR), "d long, t long, x binary")
 
     def near(self, members: bool) -> DataFrame:
@@ -488,7 +488,7 @@ class _Job:
             if size:
                 yield from _dealt_surroundings(_Surroundings(held, bodies, length), length, shards, parts, members)
 
-        near = self.dealt.join(self.lists().hint("shuffle_hash"), ["d", "t"]).select("text", "x", "d", "t").mapInArrow(surround, "kind int, shard int, x binary, body binary")
+        near = self.dealt.join(self.lists().hint("shuffle_hash"), ["d", "t"]).select("text", "x", "d", "t").mapInArrow(B.tidy(surround), "kind int, shard int, x binary, body binary")
         return near.repartition(parts, "shard").sortWithinPartitions("shard")
 
 
@@ -545,7 +545,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     out["d"], out["t"], out["a"], out["b"] = own["d"], own["t"], own["a"] - np.repeat(before, n), own["a"] + np.repeat(after, n)
                     yield _dealt(_joined(out), parts)
 
-    spans = job.near(False).mapInArrow(judge, "to int, x binary")
+    spans = job.near(False).mapInArrow(B.tidy(judge), "to int, x binary")
     spans = spans.repartition(parts, "to").mapInArrow(_by_doc(SPAN), "d long, t long, x binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -568,7 +568,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     kept.append(np.frombuffer(data, np.uint8)[keep].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("d"), part.column("text"), pa.array(sizes, pa.int64()), pa.array(runs, pa.binary()), pa.array(kept, pa.binary())], ["d", "text", "n_bytes", "spans", "kept"])
 
-    out = job.dealt.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "x").mapInArrow(cut, "d long, text string, n_bytes long, spans binary, kept binary")
+    out = job.dealt.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "x").mapInArrow(B.tidy(cut), "d long, text string, n_bytes long, spans binary, kept binary")
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "text", "n_bytes", "spans", "kept")
 
 
@@ -615,7 +615,7 @@ def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
         return run
 
-    found = materialise(job.near(True).mapInArrow(judge, "kind int, x binary"), "repeat-groups")
+    found = materialise(job.near(True).mapInArrow(B.tidy(judge), "kind int, x binary"), "repeat-groups")
     groups = found.where(F.col("kind") == OWN).mapInArrow(unpacked(GROUP, ["g", "g2", "c", "c2", "before", "after"]), "g long, g2 long, c long, c2 long, before int, after int")
     members = found.where(F.col("kind") == BY).mapInArrow(unpacked(MEMBER, ["c", "c2", "d", "t", "a"]), "c long, c2 long, d long, t long, a int")
     repeat = F.concat(F.lpad(F.hex("g"), 16, "0"), F.lpad(F.hex("g2"), 16, "0"))

@@ -83,7 +83,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, part.num_rows).columns, pa.array(prints, pa.string())], [*batch.schema.names, to])
                 done += part.num_rows
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(B.tidy(run), schema)
 
 
 def _ranges(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
@@ -183,7 +183,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             yield made(todo)
 
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("next_fingerprint", pa.string()), ("h", pa.int64())])
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(B.tidy(run), schema)
 
 
 def _blocks(fingerprint: Column, n: int) -> list[Column]:
