@@ -185,6 +185,6 @@ def checkpoint_selection(spark, sf):
     return X.chosen_phase(log, "model", "phase", "epoch", "val")
 
 
-@query(f"WITH {P} SELECT model, record_id, [(y = 0)::INT, (y = 1)::INT, (y = 2)::INT, (y = 3)::INT] AS one_hot FROM p WHERE model = 'm1'")
+@query(f"WITH {P} SELECT model, record_id, [(y = 0)::INT, (y = 1)::INT, (y = 2)::INT, (y = 3)::INT] AS one_hot FROM p")
 def label_binarize(spark, sf):
-    return predictions(spark, sf).where("model = 'm1'").select("model", "record_id", S.one_hot(F.col("y"), K).alias("one_hot"))
+    return predictions(spark, sf).select("model", "record_id", S.one_hot(F.col("y"), K).alias("one_hot"))

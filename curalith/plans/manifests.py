@@ -110,7 +110,7 @@ def frozen_reuse(spark, sf):
 @query(f"WITH {MANIFEST} SELECT doc_id, md5 AS md5_actual, md5 AS md5_saved, class, size FROM m")
 def one_to_one_join(spark, sf):
     m = manifest(spark, sf)
-    return M.one_to_one(m.select("doc_id", "md5", "class"), m.select("doc_id", "md5", "size"), "doc_id")
+    return M.one_to_one(m.select("doc_id", "md5", "class"), m.select("doc_id", "md5", F.col("size").cast("long").alias("size")), "doc_id")
 
 
 # provenance
