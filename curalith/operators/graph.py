@@ -11,16 +11,23 @@ from curalith.storage import materialise
 
 #: A node with at least this share of all edges is a hub; there are at most 2 / HUB of them.
 HUB = 1 / 1000
+#: Edges that no node needs to be a hub for.
+FEW = 1000
 
 
 def _with_least(rows: DataFrame, total: int) -> DataFrame:
     """Rows ``(u, v)`` with ``m``, the least v of their u. Least ones are formed before the shuffle; those of hubs, whose
     number is bounded, are broadcast, so that no task gets all edges of a hub, and the others meet by a shuffle."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-    bound = max(2, math.ceil(total * HUB))
-    hot = F.broadcast(low.where(F.col("c") >= bound).select("u", "m"))
+    bound = max(FEW, math.ceil(total * HUB))
+    if total < bound:  # no node can have so many edges
+        return rows.join(low.drop("c"), "u")
+    low = materialise(low, "least")
+    hot = low.where(F.col("c") >= bound).select("u", "m")
     cold = low.where(F.col("c") < bound).select("u", "m")
-    return rows.join(hot, "u").unionByName(rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(cold.hint("merge"), "u"))
+    if hot.isEmpty():
+        return rows.join(cold, "u")
+    return rows.join(F.broadcast(hot), "u").unionByName(rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(cold.hint("merge"), "u"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -40,7 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # large-star: neighbours above a node move to the least of its neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * total).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "edges")
+        large = materialise(large, "edges")  # read twice below
         # small-star: a node's lower neighbours, and itself, move to the least of them
         small = _with_least(large, total).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         cur = materialise(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")

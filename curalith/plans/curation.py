@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from curalith.functions import scalar as S
 from curalith.operators import curation as C, links as L, splits as SP
 from curalith.operators.graph import connected_components
+from curalith.storage import materialise
 
 TOKENS = ("src1", "src7")
 ALIASES = {"en": "English", "de": "German", "fr": "French"}
@@ -98,7 +99,7 @@ SELECT u AS doc_id, min(v) AS group_id FROM r GROUP BY 1""")
 def duplicate_groups(spark, sf):
     """Groups of links by several keys of whole texts: equal texts, and texts equal but for case and marks."""
     plain = F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), MARKS, " ")
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("a"), F.md5(plain).alias("b"))
+    d = materialise(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("a"), F.md5(plain).alias("b")), "keys")
     comp = connected_components(C.star_edges(d, "a", "doc_id").unionByName(C.star_edges(d, "b", "doc_id")))
     return d.join(comp, d["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
