@@ -28,6 +28,7 @@ from curalith.operators.graph import connected_components
 from curalith.storage import materialise
 
 from . import _bytes as B
+from .exact_dedup import by_group
 
 GRAM = 4
 THRESHOLD = (85, 100)
@@ -269,7 +270,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = near.groupBy("component").agg(F.count("*").alias("m"))
     blocks = F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / (BLOCK // 2))).cast("int")
     named = shared.select("s", "n").mapInArrow(name, "s long, node long")
-    placed = named.join(near, "node").join(sizes, "component").withColumn("nb", blocks).withColumn("b", F.pmod("node", "nb").cast("int"))
+    # clusters that hold many of the names are few and broadcast, so that no task gets all of one's names
+    placed = by_group(named.join(near, "node"), sizes.withColumn("group_size", F.col("m")), near.count(), "component").withColumn("nb", blocks).withColumn("b", F.pmod("node", "nb").cast("int"))
     found = shared.join(placed, "s").select("component", "s", "n", "nb", "b", "x")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
