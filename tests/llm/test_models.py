@@ -107,3 +107,9 @@ def test_base_spans_equal_plain_patterns(spark):
     got = pii.find(frame, pii.Trees([])).select("doc_id", "text", pii.written(F.col("base")).alias("base"), pii.written(F.col("spans")).alias("spans"), "_t", "_wide", "_base").collect()
     assert sorted(((r.doc_id, r.text, r.base) for r in got), key=repr) == sorted(((d, t, base_spans(t or "")) for d, t in docs), key=repr)
     assert all((r._t, r._wide, r._base) == (1, 2, 3) and r.spans == r.base for r in got)
+
+
+def test_counts_of_spans(spark):
+    rows = pii.op7_pii(spark, "/root/testdata/sf0.001").collect()
+    assert all(r.n_spans == len(list(filter(None, r.spans.split(",")))) >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
+    assert sum(r.n_spans for r in rows) > 0
