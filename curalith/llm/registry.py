@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of their operators.
-MODULES = ("simhash", "tokens", "ngram_join", "bpe", "mixing", "quality", "pii", "exact_dedup", "line_dedup", "repeats", "importance", "filter_audit")
+MODULES = ("simhash", "tokens", "ngram_join", "bpe", "mixing", "quality", "pii", "exact_dedup", "line_dedup", "repeats", "importance", "filter_audit", "quality_rules")
 
 
 def _modules():
