@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from curalith.operators.hamming import nearest_distance
 from curalith.storage import materialise
 
 
@@ -57,17 +58,22 @@ def hamming_links(rows: DataFrame, node: str, codes: list[str], bits: int, most:
     return between.unionByName(star)
 
 
-def nearest_code(query: DataFrame, reference: DataFrame, node: str, codes: list[str], bits: int, most: int, extra: int = 2) -> DataFrame:
-    """``(node, nearest)``: the least distance of each query row to any reference row, over all orientations as in
-    ``hamming_links``; null beyond ``most``."""
+def nearest_code(query: DataFrame, reference: DataFrame, node: str, codes: list[str], bits: int = 64) -> DataFrame:
+    """``(node, nearest)``: the least distance of each query row to any reference row, however large, over all
+    orientations as in ``hamming_links``; null for a row without a code, or where there is no reference row.
+
+    The first code asks all orientations of the reference; what that finds bounds the search of the others."""
     side = lambda df, cs: df.select(F.explode(F.array(*cs)).alias("code"))
-    q = query.select(F.col(node).alias("id"), F.array(*codes).alias("cs"))
-    found = code_pairs(side(query, codes[:1]), side(reference, codes), bits, most, extra).select(F.col("left").alias("code"), "distance")
-    best = q.select("id", F.get("cs", F.lit(0)).alias("code")).join(found.groupBy("code").agg(F.min("distance").alias("d")), "code")
+    q = materialise(query.select(F.col(node).alias("id"), F.array(*codes).alias("cs")), "queries")
+    r = materialise(reference.select(*codes), "references")
+    own = q.select("id", F.get("cs", F.lit(0)).alias("code"))
+    best = own.join(nearest_distance(own, side(r, codes), bits), "code").select("id", "nearest")
     if len(codes) > 1:
-        turned = code_pairs(side(query, codes), side(reference, codes[:1]), bits, most, extra).select(F.col("left").alias("code"), "distance")
-        best = best.unionByName(q.select("id", F.explode("cs").alias("code")).join(turned.groupBy("code").agg(F.min("distance").alias("d")), "code"))
-    best = best.groupBy("id").agg(F.min("d").alias("nearest"))
+        best = materialise(best, "nearest")
+        more = q.join(best, "id").select("id", F.explode(F.slice("cs", 2, len(codes) - 1)).alias("code"), F.col("nearest").alias("bound"))
+        turned = nearest_distance(more, side(r, codes[:1]), bits)
+        best = best.unionByName(more.join(turned, "code").select("id", "nearest"))
+    best = best.groupBy("id").agg(F.min("nearest").alias("nearest"))
     return q.select("id").join(best, "id", "left").select(F.col("id").alias(node), "nearest")
 
 

@@ -28,11 +28,13 @@ def query(sql: str | None):
 #: What turns a code into that of the mirrored, the upside-down and the turned picture, and the radius of near codes.
 TURNS = (0, 0x00FF00FF00FF00FF, 0x0F0F0F0F0F0F0F0F, 0x0FF00FF00FF00FF0)
 RADIUS = 5
+#: Within which an attempt is too near to one that was accepted.
+ACCEPT = 4
 
 
 def codes(spark: SparkSession, sf: str) -> DataFrame:
-    """``(id, label, real, c0..c3)``: the signs of 64 coordinates of each vector, and beside each a synthetic code that is
-    one of its turns with up to eight bits changed."""
+    """``(id, label, real, c0..c3)``: the signs of 64 coordinates of each vector, and beside each two synthetic codes: one
+    of its turns with up to eight bits changed, and that with up to six others changed, at times of another class."""
     bits = [F.when(F.element_at("embedding", i + 1) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
     code = bits[0]
     for b in bits[1:]:
@@ -40,13 +42,17 @@ def codes(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label", code.alias("c"))
     turn = F.element_at(F.array(*[F.lit(t).cast("long") for t in TURNS]), (F.col("vec_id") % 4 + 1).cast("int"))
     changed = e.select((F.col("vec_id") + 1_000_000).alias("id"), "label", F.lit(False).alias("real"), F.col("c").bitwiseXOR(turn).bitwiseXOR(F.expr("shiftleft(1L, cast(vec_id % 9 as int)) - 1")).alias("c"))
-    every = e.select(F.col("vec_id").alias("id"), "label", F.lit(True).alias("real"), "c").unionByName(changed)
+    vec = F.col("id") - 1_000_000
+    again = changed.select((vec + 2_000_000).alias("id"), (F.col("label") + F.when(vec % 5 == 0, 1).otherwise(0)).alias("label"), "real", F.col("c").bitwiseXOR(F.expr("shiftleft(shiftleft(1L, cast((id - 1000000) % 7 as int)) - 1, 40)")).alias("c"))
+    every = e.select(F.col("vec_id").alias("id"), "label", F.lit(True).alias("real"), "c").unionByName(changed).unionByName(again)
     return every.select("id", "label", "real", *[F.col("c").bitwiseXOR(F.lit(t).cast("long")).alias(f"c{i}") for i, t in enumerate(TURNS)])
 
 
 SIGNS = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i if i < 63 else '(-9223372036854775807 - 1)'} ELSE 0 END" for i in range(64))
 H = f"""e AS (SELECT vec_id, label, ({SIGNS})::BIGINT AS c FROM embeddings),
-h AS (SELECT vec_id AS id, label, true AS real, c FROM e UNION ALL SELECT vec_id + 1000000, label, false, xor(xor(c, [{', '.join(map(str, TURNS))}][vec_id % 4 + 1]::BIGINT), (1 << (vec_id % 9)::INT) - 1) FROM e)"""
+h1 AS (SELECT vec_id, label, xor(xor(c, [{', '.join(map(str, TURNS))}][vec_id % 4 + 1]::BIGINT), (1 << (vec_id % 9)::INT) - 1) AS c FROM e),
+h AS (SELECT vec_id AS id, label, true AS real, c FROM e UNION ALL SELECT vec_id + 1000000, label, false, c FROM h1
+ UNION ALL SELECT vec_id + 2000000, label + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END, false, xor(c, ((1::BIGINT << (vec_id % 7)::INT) - 1) << 40) FROM h1)"""
 DISTANCE = "least(" + ", ".join(f"bit_count(xor(xor(a.c, b.c), {t}::BIGINT))" for t in TURNS) + ")::INT"
 LINKS = f"""r AS (SELECT min(id) AS id, c FROM h GROUP BY c), l AS (SELECT a.id AS src, b.id AS dst, {DISTANCE} AS distance, bit_count(xor(a.c, b.c))::INT AS plain FROM r a JOIN r b ON a.id < b.id WHERE {DISTANCE} <= {RADIUS}
 UNION ALL SELECT r.id, h.id, 0, 0 FROM h JOIN r USING (c) WHERE h.id <> r.id)"""
@@ -63,38 +69,38 @@ def hamming_pair_counts(spark, sf):
     return L.hamming_links(codes(spark, sf), "id", TURNED, 64, RADIUS).agg(F.count_if(F.col("plain") <= RADIUS).alias("plain_pairs"), F.count("*").alias("pairs"))
 
 
-NEAREST = f"n AS (SELECT a.id, min({DISTANCE}) AS d FROM h a JOIN h b ON NOT a.real AND b.real GROUP BY 1), near AS (SELECT id, CASE WHEN d <= {RADIUS} THEN d END AS nearest FROM n)"
+NEAREST = f"n AS (SELECT a.id, min({DISTANCE}) AS d FROM h a JOIN h b ON NOT a.real AND b.real GROUP BY 1), near AS (SELECT id, d AS nearest FROM n)"
 
 
 @query(f"WITH {H}, {NEAREST} SELECT id, nearest FROM near")
 def cross_source_nearest(spark, sf):
     c = codes(spark, sf)
-    return L.nearest_code(c.where(~F.col("real")), c.where("real"), "id", TURNED, 64, RADIUS)
+    return L.nearest_code(c.where(~F.col("real")), c.where("real"), "id", TURNED)
 
 
 @query(f"""WITH RECURSIVE {H}, s AS (SELECT * FROM h WHERE NOT real), rr AS (SELECT min(id) AS id, c FROM s GROUP BY c),
-l AS (SELECT a.id AS u, b.id AS v FROM s a JOIN s b ON a.c = b.c UNION ALL SELECT a.id, b.id FROM rr a JOIN rr b ON {DISTANCE} <= 16),
+l AS (SELECT a.id AS u, b.id AS v FROM s a JOIN s b ON a.c = b.c UNION ALL SELECT a.id, b.id FROM rr a JOIN rr b ON {DISTANCE} <= {RADIUS}),
 w AS (SELECT u, v FROM l UNION SELECT w.u, l.v FROM w JOIN l ON w.v = l.u), g AS (SELECT u AS id, min(v) AS g FROM w GROUP BY 1), {NEAREST},
-x AS (SELECT id, g, label, nearest FROM s JOIN g USING (id) JOIN near USING (id)), y AS (SELECT g, min(label) <> max(label) AS mixed, coalesce(bool_or(nearest IS NOT NULL), false) AS close FROM x GROUP BY 1)
+x AS (SELECT id, g, label, nearest FROM s JOIN g USING (id) JOIN near USING (id)), y AS (SELECT g, min(label) <> max(label) AS mixed, coalesce(bool_or(nearest <= {RADIUS}), false) AS close FROM x GROUP BY 1)
 SELECT id, g AS "group", CASE WHEN mixed AND close THEN 'quarantined_cross_class_and_real_group' WHEN close THEN 'quarantined_near_real_group' WHEN mixed THEN 'quarantined_cross_class_group' ELSE 'eligible' END AS status FROM x JOIN y USING (g)""")
 def near_real_quarantine(spark, sf):
     """Groups of synthetic codes, and which of them go: those near a real one, and those of several classes."""
     c = materialise(codes(spark, sf), "codes")
     own = c.where(~F.col("real"))
-    comp = connected_components(L.hamming_links(own, "id", TURNED, 64, 16, 1).select("src", "dst"))
-    near = L.nearest_code(own, c.where("real"), "id", TURNED, 64, RADIUS)
+    comp = connected_components(L.hamming_links(own, "id", TURNED, 64, RADIUS).select("src", "dst"))
+    near = L.nearest_code(own, c.where("real"), "id", TURNED)
     rows = own.select("id", "label").join(comp, F.col("id") == F.col("node"), "left").select("id", "label", F.coalesce("component", "id").alias("group")).join(near, "id")
-    return L.quarantine(rows, "group", "label", F.col("nearest").isNotNull()).select("id", "group", "status")
+    return L.quarantine(rows, "group", "label", F.col("nearest") <= RADIUS).select("id", "group", "status")
 
 
 @query(f"""WITH RECURSIVE {H}, o AS (SELECT id, label, c, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM h),
 w AS (SELECT DISTINCT label, 0::BIGINT AS n, []::BIGINT[] AS held, NULL::BIGINT AS id, false AS accepted FROM o
-UNION ALL SELECT o.label, o.n, CASE WHEN len(list_filter(held, lambda x: bit_count(xor(x, o.c)) <= 12)) = 0 THEN list_append(held, o.c) ELSE held END, o.id, len(list_filter(held, lambda x: bit_count(xor(x, o.c)) <= 12)) = 0
+UNION ALL SELECT o.label, o.n, CASE WHEN len(list_filter(held, lambda x: bit_count(xor(x, o.c)) <= 4)) = 0 THEN list_append(held, o.c) ELSE held END, o.id, len(list_filter(held, lambda x: bit_count(xor(x, o.c)) <= 4)) = 0
  FROM w JOIN o ON o.label = w.label AND o.n = w.n + 1)
 SELECT id, accepted FROM w WHERE id IS NOT NULL""")
 def accepted_codes(spark, sf):
     """Attempts in order: one is accepted if no accepted one before it in its class is near."""
-    return L.accept_in_order(codes(spark, sf), "label", "id", "c0", 64, 12).select("id", "accepted")
+    return L.accept_in_order(codes(spark, sf), "label", "id", "c0", 64, ACCEPT).select("id", "accepted")
 
 
 @query(f"""WITH {NORMED}, b AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: list_reverse(embedding)[i]::DOUBLE - m[i]) AS w FROM embeddings, mean),
