@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from curalith.operators import hamming
 from curalith.storage import materialise
 
 from . import _bytes as B
@@ -35,10 +36,8 @@ def radius_for(similarity: float, deviations: float = 2.0) -> int:
 
 
 RADIUS = radius_for(SIMILARITY)
-#: Block tables serve radii below this; their number grows too fast beyond, where fingerprints are scanned.
+#: Below this radius tables of whole blocks are joined; beyond, where blocks differ too, tables are probed with near keys.
 TABLES = 8
-#: Queries and fingerprints that meet in one task of a scan.
-QUERY_BLOCK, PRINT_BLOCK = 1 << 14, 1 << 17
 
 
 def _votes(h: np.ndarray, w: np.ndarray) -> str:
@@ -194,14 +193,14 @@ def _blocks(fingerprint: Column, n: int) -> list[Column]:
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``(query, fingerprint, distance)`` of different fingerprints at most ``radius`` bits apart; none is missed.
 
-    Radii from TABLES on are scanned, see ``_scanned``. Below, permuted block tables: 128 bits fall into ``n`` blocks; two prints within the radius agree in ``n - radius``
+    From TABLES on the tables are probed within tasks, see ``_by_blocks``. Below they are joined: 128 bits fall into ``n`` blocks; two prints within the radius agree in ``n - radius``
     of them at least, so each choice of that many blocks is a table keyed by these blocks' bits, and the prints
     that share a key are compared. Both inputs have a column ``fingerprint`` and are made distinct first, so
     that copies cost nothing. Nulls are left out.
     """
     if radius >= TABLES:
         distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
-        return _scanned(distinct, queries, radius, "query string, fingerprint string, distance int")
+        return _by_blocks(distinct, queries, radius, "query string, fingerprint string, distance int")
     n = next(x for x in (4, 8) if x > radius)
     keep = n - radius
     keys = F.array(*[F.concat(F.lit(f"{i}:"), *[b for j, b in enumerate(_blocks(F.col("fingerprint"), n)) if j in c]) for i, c in enumerate(combinations(range(n), keep))])
@@ -211,49 +210,44 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -
     return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
-def _scanned(prints: DataFrame, queries: DataFrame, radius: int, schema: str) -> DataFrame:
-    """Every query against every one of the distinct ``prints``, by pairs of blocks: exact at any radius, quadratic.
+def _by_blocks(prints: DataFrame, queries: DataFrame, radius: int, schema: str) -> DataFrame:
+    """Every query against the distinct ``prints``, at any radius: each task has block tables of a part of the prints and
+    probes them with all keys near enough to a query's (see ``operators.hamming``), so that of most pairs no distance is
+    computed and none within the radius is missed.
 
-    With a column ``n`` in ``prints`` each block pair gives sums of it, ``(query, near)``; else pairs."""
+    With a column ``n`` in ``prints`` each pair of parts gives sums of it, ``(query, near)``; else pairs."""
     counted = "n" in prints.columns
     queries = queries.select("fingerprint").where("fingerprint is not null").distinct()
     part = lambda i: F.conv(F.substring("fingerprint", i, 16), 16, -10).cast("long")
-    spread = max(2, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    across, down = -(-queries.count() // QUERY_BLOCK) or 1, max(spread, -(-prints.count() // PRINT_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("fingerprint"), F.lit(n)).cast("int")
-    left = queries.select("fingerprint", part(1).alias("hi"), part(17).alias("lo"), block(across).alias("qb"), every(down).alias("pb"))
-    right = prints.select("fingerprint", part(1).alias("hi"), part(17).alias("lo"), *(["n"] if counted else []), block(down).alias("pb"), every(across).alias("qb"))
+    words = [part(17).alias("lo"), part(1).alias("hi")]
+    left, right = hamming.dealt(queries.select("fingerprint", *words), prints.select("fingerprint", *words, *(["n"] if counted else [])), queries.count(), prints.count(), ["fingerprint"])
 
     def judge(a: pa.Table, b: pa.Table) -> pa.Table:
-        (ah, al), (bh, bl) = (tuple(t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")) for t in (a, b))
-        near, found = np.zeros(len(ah), np.int64), []
+        ask, codes = (np.column_stack([t.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi")]) for t in (a, b))
         weight = b.column("n").to_numpy() if counted else None
-        for j in range(0, len(bh), 4096):  # 16 x 4,096 distances stay in the cache
-            bhj, blj = bh[j : j + 4096], bl[j : j + 4096]
-            for i in range(0, len(ah), 16):
-                d = np.bitwise_count(ah[i : i + 16, None] ^ bhj) + np.bitwise_count(al[i : i + 16, None] ^ blj)
-                x, y = np.nonzero(d <= radius)
-                far = d[x, y] > 0
-                x, y = x[far], y[far]
-                if counted:
-                    np.add.at(near, x + i, weight[y + j])
-                elif len(x):
-                    found.append((x + i, y + j, d[x, y].astype(np.int32)))
+        who, other, value = [], [], []
+        for q, rows, d in hamming.Tables(codes, BITS).near(ask, radius):
+            far = d > 0
+            if counted and far.any():
+                who.append(q)
+                value.append(int(weight[rows[far]].sum()))
+            elif not counted:
+                who += [q] * int(far.sum())
+                other += [f"{int(h):016x}{int(x):016x}" for x, h in codes[rows[far]]]
+                value += d[far].tolist()
+        asked = a.column("fingerprint").take(pa.array(who, pa.int64()))
         if counted:
-            hit = np.flatnonzero(near)
-            return pa.table({"query": a.column("fingerprint").take(pa.array(hit)), "near": pa.array(near[hit])})
-        x, y, d = (np.concatenate(c) if found else np.empty(0, np.int32) for c in (zip(*found) if found else ((), (), ())))
-        return pa.table({"query": a.column("fingerprint").take(pa.array(x, pa.int64())), "fingerprint": b.column("fingerprint").take(pa.array(y, pa.int64())), "distance": pa.array(d, pa.int32())})
+            return pa.table({"query": asked, "near": pa.array(value, pa.int64())})
+        return pa.table({"query": asked, "fingerprint": pa.array(other, pa.string()), "distance": pa.array(value, pa.int32())})
 
-    return left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(judge, schema)
+    return left.groupBy("qb", "pb").cogroup(right.drop("fingerprint").groupBy("qb", "pb")).applyInArrow(judge, schema)
 
 
 def within_radius_counts(counts: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(fingerprint, near)`` for each query with others within the radius: the sum of the column ``n`` of these.
     ``counts`` has one row for each fingerprint."""
     if radius >= TABLES:
-        pairs = _scanned(counts.where("fingerprint is not null"), queries, radius, "query string, near long")
+        pairs = _by_blocks(counts.where("fingerprint is not null"), queries, radius, "query string, near long")
     else:
         pairs = within_radius(counts, queries, radius).join(counts, "fingerprint").withColumnRenamed("n", "near")
     return pairs.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("near").alias("near"))

@@ -96,3 +96,24 @@ def test_query(spark, tmp_path):
     prints = {d: by_hand(t) for d, t, _ in docs}
     near = {d: sum((int(p, 16) ^ int(x, 16)).bit_count() <= simhash.RADIUS for x in prints.values()) - 1 if d % 20 == 0 else None for d, p in prints.items()}
     assert {r.doc_id: r.n_within_radius for r in simhash.op1_simhash(spark, str(tmp_path)).collect()} == near
+
+
+@pytest.mark.parametrize("radius", [3, 7, 8, 27])
+def test_search_on_both_sides_of_the_table_switch(spark, radius):
+    """Joined and probed tables against all pairs, with copies, for pairs and for counts."""
+    rng = np.random.default_rng(radius)
+    base = [int.from_bytes(rng.bytes(16), "big") for _ in range(60)]
+    near = [b ^ sum(1 << int(i) for i in rng.choice(128, rng.integers(0, radius + 4), replace=False)) for b in base for _ in range(3)]
+    text = lambda x: f"{x:032x}"
+    prints = spark.createDataFrame([(text(x),) for x in base + near + base[:9]] + [(None,)], "fingerprint string")
+    asks = spark.createDataFrame([(text(x),) for x in base[:20] + base[:5]] + [(None,)], "fingerprint string")
+    every = set(base + near)
+    want = {(text(q), text(x), (q ^ x).bit_count()) for q in base[:20] for x in every if 0 < (q ^ x).bit_count() <= radius}
+    got = simhash.within_radius(prints, asks, radius).collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == want
+    counts = prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    n = {r["fingerprint"]: r["n"] for r in counts.collect()}
+    near_by = {}
+    for q, x, _ in want:
+        near_by[q] = near_by.get(q, 0) + n[x]
+    assert {r["fingerprint"]: r["near"] for r in simhash.within_radius_counts(counts, asks, radius).collect()} == near_by
