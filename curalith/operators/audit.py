@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from curalith.operators import metrics as X
+from curalith.operators import metric, metrics as X
 from curalith.operators.curation import stratified_split
 from curalith.operators.graph import connected_components
+from curalith.operators.links import _mean, dimensions
 from curalith.operators.order import dense_ids
 from curalith.storage import materialise
 
@@ -34,42 +35,16 @@ def median_bits(coefficients: Column) -> Column:
     return F.array_join(F.transform(coefficients, lambda x: F.when(x.cast("double") > median, "1").otherwise("0")), "")
 
 
-def nearest(query: DataFrame, reference: DataFrame, node: str, vector: str, mirror: str | None = None, centre: list[float] | None = None, block: int = 16_384) -> DataFrame:
+def nearest(query: DataFrame, reference: DataFrame, node: str, vector: str, mirror: str | None = None, centre: list[float] | None = None, cell: int = metric.CELL, log: list[dict] | None = None) -> DataFrame:
     """``(query, reference, score)``: the reference vector of greatest cosine for each query vector, the least id of
-    equals. Queries meet each block of references in matrix products of bounded size; only the best of a block leaves
-    a task. With ``mirror`` a reference counts as it is or mirrored, whichever is nearer; ``centre`` is taken off all
-    vectors first. All are compared, which is quadratic."""
-    n_q, n_r = (max(1, -(-x.count() // block)) for x in (query, reference))
-    middle = 0.0 if centre is None else np.array(centre)
-
-    def dealt(x: DataFrame, side: int, own: int, other: int) -> DataFrame:
-        b = F.pmod(F.xxhash64(node), F.lit(own)).cast("int")
-        o = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        keys = (b.alias("q"), o.alias("r")) if side == 0 else (o.alias("q"), b.alias("r"))
-        more = [F.col(mirror).cast("array<double>").alias("w")] if mirror and side else []
-        return x.select(F.col(node).alias("id"), F.col(vector).cast("array<double>").alias("v"), *more, *keys)
-
-    def unit(x: pd.Series) -> np.ndarray:
-        v = np.vstack(x.to_numpy()) - middle
-        return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
-
-    def judge(a, b):
-        if a.empty or b.empty:
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "reference": np.zeros(0, np.int64), "score": np.zeros(0)})
-        b = b.sort_values("id")
-        x, ys, ids = unit(a["v"]), [unit(b[c]) for c in (("v", "w") if mirror else ("v",))], b["id"].to_numpy()
-        who, score = np.zeros(len(a), np.int64), np.zeros(len(a))
-        for at in range(0, len(a), 512):
-            s = x[at : at + 512] @ ys[0].T
-            for y in ys[1:]:
-                s = np.maximum(s, x[at : at + 512] @ y.T)
-            j = s.argmax(1)
-            who[at : at + 512], score[at : at + 512] = ids[j], s[np.arange(len(j)), j]
-        return pd.DataFrame({"query": a["id"].to_numpy(), "reference": who, "score": score})
-
-    found = dealt(query, 0, n_q, n_r).groupBy("q", "r").cogroup(dealt(reference, 1, n_r, n_q).groupBy("q", "r")).applyInPandas(judge, "query long, reference long, score double")
-    best = found.groupBy("query").agg(F.max(F.struct("score", (-F.col("reference")).alias("r"))).alias("m"))
-    return best.select("query", (-F.col("m.r")).alias("reference"), F.col("m.score").alias("score"))
+    equals, exactly, by a metric partition (see ``metric``). With ``mirror`` a reference counts as it is or mirrored,
+    whichever is nearer; ``centre`` is taken off all vectors first. Rows without a vector neither ask nor answer; without
+    references there are no rows."""
+    dims, middle = dimensions(query, vector), None if centre is None else np.array(centre)
+    if not dims:
+        return query.sparkSession.createDataFrame([], "query long, reference long, score double")
+    asks = metric.packed(query, node, [vector], middle)
+    return metric.nearest_of(asks, metric.packed(reference, node, [vector, *([mirror] if mirror else [])], middle), dims, cell, metric.CELL, log)
 
 
 def neighbour_report(found: DataFrame, by: list[str], marks: tuple[float, ...] = (0.9, 0.95), warn: float | None = None) -> DataFrame:
@@ -86,8 +61,6 @@ def neighbour_report(found: DataFrame, by: list[str], marks: tuple[float, ...] =
 def leakage_report(rows: DataFrame, node: str, vector: str, split: str, source: str, marks: tuple[float, ...] = (0.9, 0.95), warn: float = 0.02, mirror: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(report, flagged)``: for every evaluation split, source of its rows, and source of training rows, how near the
     nearest training row is; and the pairs that reach the lowest mark. Vectors are centred by the mean of all."""
-    from curalith.operators.links import _mean
-
     centre = _mean(rows, vector).tolist()
     sources = [r[0] for r in rows.select(source).distinct().orderBy(source).collect()]  # names of sources
     every = None
@@ -104,8 +77,6 @@ def leakage_report(rows: DataFrame, node: str, vector: str, split: str, source:
 def random_pair_scores(rows: DataFrame, node: str, vector: str, seed: str, n: int = 20_000, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Percentiles of the cosine of ``n`` seeded random pairs of mean-centred vectors: what chance alone gives. The
     number of pairs is the feature, as a scale to hold scores against."""
-    from curalith.operators.links import _mean
-
     centre = F.array(*[F.lit(float(x)) for x in _mean(rows, vector)])
     total = rows.count()
     at = lambda name: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long") % F.lit(max(total, 1))

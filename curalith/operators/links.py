@@ -9,9 +9,9 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from curalith.operators import metric
 from curalith.operators.hamming import nearest_distance
 from curalith.storage import materialise
 
@@ -125,41 +125,25 @@ def _mean(rows: DataFrame, vector: str) -> np.ndarray:
     return np.array([r["m"] for r in dims.collect()])  # one number for each dimension
 
 
-def cosine_links(rows: DataFrame, node: str, vector: str, least: float, mirror: str | None = None, block: int = 16_384) -> DataFrame:
-    """Pairs of mean-centred vectors whose cosine is at least ``least``, by pairs of blocks: each vector meets every
-    block once, in matrix products of bounded size, and only links leave a task.
+def dimensions(rows: DataFrame, vector: str) -> int:
+    some = rows.select(F.size(vector).alias("d")).where("d >= 0").first()  # null has the size -1
+    return some["d"] if some else 0
 
-    With ``mirror``, the vector of the mirrored picture, the score is the greater of the row's with the later row's
-    vector and with its mirror; both are centred by the mean of the plain vectors. All pairs are compared, which is
-    quadratic in the rows: no bound on cosines at such thresholds skips blocks of high-dimensional vectors.
+
+def cosine_links(rows: DataFrame, node: str, vector: str, least: float, mirror: str | None = None, cell: int = metric.CELL, log: list[dict] | None = None) -> DataFrame:
+    """``(src, dst, score)``, src < dst: pairs of mean-centred vectors whose cosine is at least ``least``, exactly, by a
+    metric partition (see ``metric``).
+
+    With ``mirror``, the vector of the mirrored picture, the score is the greater of the earlier row's vector with the later
+    row's and with its mirror; both are centred by the mean of the plain vectors. Rows equal in all vectors are linked as
+    a star with their least id, others by these ids, so copies cost as many rows as they are. Rows without a vector have no links,
+    nor have vectors equal to the mean unless ``least`` is 0 or below. ``log`` receives how many pairs were compared.
     """
-    mean = _mean(rows, vector)
-    blocks = max(1, -(-rows.count() // block))
-    b = F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = rows.select(F.col(node).alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(mirror).cast("array<double>").alias("w")] if mirror else []), b.alias("b"))
-    dealt = dealt.withColumn("p", F.explode(F.transform(every, lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))))
-
-    def unit(x: pd.Series) -> np.ndarray:
-        v = np.vstack(x.to_numpy()) - mean
-        return v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-12)
-
-    def judge(key, pdf):
-        pdf = pdf.sort_values("id")
-        v, w = unit(pdf["v"]), unit(pdf["w"]) if mirror else None
-        ids, own = pdf["id"].to_numpy(), pdf["b"].to_numpy() == key[0]
-        left, right = (np.flatnonzero(own), np.flatnonzero(~own)) if key[0] != key[1] else (np.arange(len(ids)),) * 2
-        out = []
-        for at in range(0, len(left), 512):
-            i0 = left[at : at + 512]
-            s = v[i0] @ v[right].T
-            if mirror:  # the mirror counts for the later row of a pair
-                earlier = ids[i0][:, None] < ids[right][None, :]
-                s = np.maximum(s, np.where(earlier, v[i0] @ w[right].T, w[i0] @ v[right].T))
-            i, j = np.nonzero(s >= least)
-            a, c = ids[i0][i], ids[right][j]
-            ok = a != c if key[0] != key[1] else a < c
-            out.append(pd.DataFrame({"src": np.minimum(a, c)[ok], "dst": np.maximum(a, c)[ok], "score": s[i, j][ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    return dealt.groupBy("p.lo", "p.hi").applyInPandas(judge, "src long, dst long, score double")
+    dims = dimensions(rows, vector)
+    if not dims:
+        return rows.sparkSession.createDataFrame([], "src long, dst long, score double")
+    items = materialise(metric.packed(rows, node, [vector, *([mirror] if mirror else [])], _mean(rows, vector)), "units")
+    reps, star = metric.classes(items)
+    zero = F.get("vs", F.lit(0)) == F.lit(bytes(8 * dims))
+    copies = star.select(F.col("rep").alias("src"), F.col("id").alias("dst"), F.when(zero, 0.0).otherwise(1.0).alias("score")).where(F.col("score") >= least)
+    return metric.pairs_within(reps, dims, least, cell, metric.CELL, log).unionByName(copies)
