@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from curalith.operators import metric, metrics as X
 from curalith.operators.curation import stratified_split
-from curalith.operators.graph import connected_components
+from curalith.operators.forest import largest_components, spanning_forest
 from curalith.operators.links import _mean, dimensions
 from curalith.operators.order import dense_ids
 from curalith.storage import materialise
@@ -91,16 +91,13 @@ def random_pair_scores(rows: DataFrame, node: str, vector: str, seed: str, n: in
 
 def escalate(links: DataFrame, n: int, taus: list[float], most: float = 0.02) -> DataFrame:
     """``(tau, largest, share, chosen)``: the first threshold at which the largest component holds at most that share
-    of n nodes is chosen, else the last. A loop over a few thresholds; links are scored once, to a table."""
-    spark, rows = links.sparkSession, []
-    links = materialise(links, "scored-links")
+    of n nodes is chosen, else the last; later ones are left out. All thresholds come from one spanning forest."""
+    largest, rows = largest_components(spanning_forest(materialise(links, "scored-links")), taus), []
     for tau in taus:
-        sizes = connected_components(links.where(F.col("score") >= tau).select("src", "dst")).groupBy("component").count()
-        largest = sizes.agg(F.max("count")).first()[0] or 1
-        rows.append((tau, largest, largest / n))
-        if largest / n <= most:
+        rows.append((tau, largest[tau], largest[tau] / n if n else 0.0))
+        if rows[-1][2] <= most:
             break
-    return spark.createDataFrame([(*r, i == len(rows) - 1) for i, r in enumerate(rows)], "tau double, largest long, share double, chosen boolean")
+    return links.sparkSession.createDataFrame([(*r, i == len(rows) - 1) for i, r in enumerate(rows)], "tau double, largest long, share double, chosen boolean")
 
 
 def complete_group_split(groups: DataFrame, key: str, seed: str) -> DataFrame:

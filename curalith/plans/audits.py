@@ -61,16 +61,16 @@ def neighbour_audit(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("median", "most")})
 
 
-@query(f"""WITH RECURSIVE {NORMED}, l AS (SELECT a.vec_id AS u, b.vec_id AS v, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.38),
-t AS (SELECT x.t AS i, 0.38 + 0.02 * x.t AS tau FROM range(5) x(t)), e AS (SELECT i, u, v FROM l, t WHERE round(s, 9) >= tau),
+@query(f"""WITH RECURSIVE {NORMED}, l AS (SELECT a.vec_id AS u, b.vec_id AS v, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.3),
+t AS (SELECT x.t AS i, 0.3 + 0.04 * x.t AS tau FROM range(5) x(t)), e AS (SELECT i, u, v FROM l, t WHERE round(s, 9) >= tau),
 r AS (SELECT i, u, v FROM e UNION SELECT r.i, r.u, e.v FROM r JOIN e ON r.v = e.u AND r.i = e.i),
 z AS (SELECT i, u, count(DISTINCT v) AS n FROM r GROUP BY 1, 2), w AS (SELECT t.i, tau, coalesce(max(n), 1) AS largest, coalesce(max(n), 1) / (SELECT count(*) FROM embeddings) AS share FROM t LEFT JOIN z USING (i) GROUP BY 1, 2),
 f AS (SELECT coalesce(min(i) FILTER (share <= 0.02), 4) AS i FROM w)
 SELECT round(tau, 2)::DOUBLE AS tau, largest, round(share, 6) AS share, w.i = f.i AS chosen FROM w, f WHERE w.i <= f.i""")
 def tau_escalation(spark, sf):
     e = table(spark, sf, "embeddings")
-    links = L.cosine_links(e, "vec_id", "embedding", 0.38)
-    return A.escalate(links, e.count(), [round(0.38 + 0.02 * i, 2) for i in range(5)]).withColumn("share", F.round("share", 6))
+    links = L.cosine_links(e, "vec_id", "embedding", 0.3)
+    return A.escalate(links, e.count(), [round(0.3 + 0.04 * i, 2) for i in range(5)]).withColumn("share", F.round("share", 6))
 
 
 @query("""WITH g AS (SELECT conv_id, count(*) = 5 AND count(DISTINCT turn) = 5 AS complete FROM conversations GROUP BY 1),
