@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curalith.operators.order import positions, shuffled_positions
+from curalith.storage import materialise
 
 
 def resolve_exact(pool: DataFrame, digest: str, cls: str, split: str, key: str, priority=("test", "val", "train")) -> DataFrame:
@@ -48,28 +49,52 @@ def stratified_split(rows: DataFrame, cls: str, key: str, seed: str, shares: tup
     return h.withColumn("split", F.when(pos <= a, "train").when(pos <= b, "val").otherwise("test")).drop("_pos", "_n")
 
 
+def _shuffled(groups: DataFrame, group: str, seed: str, number: Column) -> DataFrame:
+    """``groups`` with ``try`` and ``h``, the place in that shuffle's order."""
+    out = groups.withColumn("try", number)
+    return out.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("try").cast("string"), F.col(group).cast("string"))))
+
+
+def held_classes(groups: DataFrame, group: str, tries: int, seed: str, first: int, digits: int = 3, log: dict | None = None) -> DataFrame:
+    """``(try, c, n)``: rows by class of the first ``first`` groups of each keyed shuffle, from groups with their class counts
+    ``cs`` (array of structs c, n). No shuffle is sorted: groups are counted by (try, bucket of the hash, class) before they
+    leave a task, and only the groups of the bucket in which a try's boundary falls are put in order."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))
+    tried = _shuffled(groups, group, seed, every).withColumn("bucket", F.substring("h", 1, digits))
+    counts = tried.select("try", "bucket", F.posexplode("cs").alias("i", "x")).groupBy("try", "bucket", F.col("x.c").alias("c")).agg(F.sum("x.n").alias("n"), F.count_if(F.col("i") == 0).alias("g"))
+    counts = materialise(counts, "try-histograms")  # tries x buckets x classes at most
+    by = counts.groupBy("try", "bucket").agg(F.sum("g").alias("g")).withColumn("upto", F.sum("g").over(Window.partitionBy("try").orderBy("bucket")))
+    by = materialise(by, "try-buckets")
+    edge = by.where((F.col("upto") > first) & (F.col("upto") - F.col("g") < first)).select("try", "bucket", (first - F.col("upto") + F.col("g")).alias("r"))
+    whole = counts.join(by.where(F.col("upto") <= first).select("try", "bucket"), ["try", "bucket"]).select("try", "c", "n")
+    cut = tried.join(F.broadcast(edge), ["try", "bucket"])  # a row for each try
+    if log is not None:
+        log |= {"counted": counts.count(), "ordered": cut.count()}
+    cut = cut.withColumn("k", F.row_number().over(Window.partitionBy("try").orderBy("h", group))).where("k <= r")
+    return whole.unionByName(cut.select("try", F.explode("cs").alias("x")).select("try", "x.c", "x.n")).groupBy("try", "c").agg(F.sum("n").alias("n"))
+
+
 def best_group_split(rows: DataFrame, group: str, cls: str, share: float, tries: int, seed: str) -> DataFrame:
     """``(group, held_out)``: of ``tries`` keyed shuffles of whole groups the one whose held-out side, the first share
     of the groups (rounded up), has the class shares and size nearest the target; the earliest of equals. Groups are
-    counted by class first, and no task holds a whole shuffle."""
-    sizes = rows.groupBy(group, cls).agg(F.count("*").alias("n"))
-    total, k = sizes.agg(F.sum("n"), F.count_distinct(group)).first()
-    total = total or 0
-    shares = sizes.groupBy(cls).agg((F.sum("n") / total).alias("p"))
-    groups = sizes.groupBy(group).agg(F.sum("n").alias("gn"))
-    tried = groups.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("try").cast("string"), F.col(group).cast("string"))))
-    tried = positions(tried, ["try"], [F.col("h"), F.col(group)], F.substring("h", 1, 2))
-    held = tried.where(F.col("_pos") <= math.ceil(share * k)).select("try", group)
-    side = held.join(sizes, group).groupBy("try", cls).agg(F.sum("n").alias("n"))
+    counted by class first, and each shuffle's side is selected by histogram (see ``held_classes``)."""
+    sizes = rows.groupBy(group, F.col(cls).alias("c")).agg(F.count("*").alias("n"))
+    groups = materialise(sizes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cs")), "groups")  # a group has as many entries as classes
+    k = groups.count()
+    shares = groups.select(F.explode("cs").alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n"))
+    total = shares.agg(F.sum("n")).first()[0] or 0
+    shares = shares.select("c", (F.col("n") / total).alias("p"))
+    first, digits = math.ceil(share * k), 2 if k < 1_000_000 else 3
+    side = materialise(held_classes(groups, group, tries, seed, first, digits), "sides")
     side = side.join(side.groupBy("try").agg(F.sum("n").alias("nb")), "try")
-    every = side.select("try").distinct().crossJoin(F.broadcast(shares)).join(side, ["try", cls], "left")  # tries x classes
+    every = side.select("try").distinct().crossJoin(F.broadcast(shares))  # tries x classes
+    every = every.join(side, (every["try"] == side["try"]) & every["c"].eqNullSafe(side["c"]), "left").select(every["try"], "p", "n", "nb")
     score = every.groupBy("try").agg((F.max(F.abs(F.coalesce(F.col("n") / F.col("nb"), F.lit(0.0)) / F.col("p") - 1)) + 2 * F.abs(F.max("nb") / total - share)).alias("score"))
     best = score.agg(F.min(F.struct(F.round("score", 9).alias("s"), "try"))["try"].alias("try")).first()
     number = -1 if best is None or best[0] is None else best[0]
-    # the chosen shuffle alone again
-    chosen = groups.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(number)), F.col(group).cast("string")))).withColumn("try", F.lit(number))
-    chosen = positions(chosen, ["try"], [F.col("h"), F.col(group)], F.substring("h", 1, 2))
-    return chosen.select(group, (F.col("_pos") <= math.ceil(share * k)).alias("held_out"))
+    # the chosen shuffle alone
+    chosen = positions(_shuffled(groups.select(group), group, seed, F.lit(number)), ["try"], [F.col("h"), F.col(group)], F.substring("h", 1, digits))
+    return chosen.select(group, (F.col("_pos") <= first).alias("held_out"))
 
 
 def complete_groups(rows: DataFrame, group: list[str], variant: str, n: int) -> DataFrame:
