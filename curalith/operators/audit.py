@@ -11,6 +11,7 @@ from curalith.operators.curation import stratified_split
 from curalith.operators.forest import largest_components, spanning_forest
 from curalith.operators.links import _mean, dimensions
 from curalith.operators.order import dense_ids
+from curalith.operators.selection import exact_percentiles
 from curalith.storage import materialise
 
 
@@ -48,13 +49,19 @@ def nearest(query: DataFrame, reference: DataFrame, node: str, vector: str, mirr
 
 
 def neighbour_report(found: DataFrame, by: list[str], marks: tuple[float, ...] = (0.9, 0.95), warn: float | None = None) -> DataFrame:
-    """Queries, median and greatest score, and how many, and which share, reach each mark; with ``warn`` whether the
-    share at the last mark is above it."""
+    """Queries, median (exact, see ``selection``) and greatest score, and how many, and which share, reach each mark; with
+    ``warn`` whether the share at the last mark is above it."""
     at = [(m, F.col("score") >= m) for m in marks]
+    found = materialise(found.select(*by, "score"), "scores")
     out = found.groupBy(*by).agg(
-        F.count("*").alias("n"), F.median("score").alias("median"), F.max("score").alias("most"),
+        F.count("*").alias("n"), F.max("score").alias("most"),
         *[F.avg(hit.cast("int")).alias(f"share_{round(m * 100)}") for m, hit in at], *[F.count_if(hit).alias(f"n_{round(m * 100)}") for m, hit in at],
     )
+    middle = exact_percentiles(found, by, "score", {"median": 0.5}).select(*[F.col(c).alias(f"_{c}") for c in by], "median")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = out.join(middle, same, "left").select(*by, "n", "median", *[c for c in out.columns if c not in (*by, "n")])
     return out if warn is None else out.withColumn("warning", F.col(f"share_{round(marks[-1] * 100)}") > warn)
 
 
@@ -86,7 +93,9 @@ def random_pair_scores(rows: DataFrame, node: str, vector: str, seed: str, n: in
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     score = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
-    return both.select(score.alias("s")).agg(F.count("*").alias("n"), *[F.percentile("s", p).alias(f"p{round(100 * p)}") for p in points])
+    scores = materialise(both.select(F.lit(1).alias("all"), score.alias("s")), "pair-scores")
+    at = exact_percentiles(scores, ["all"], "s", {f"p{round(100 * p)}": p for p in points}).drop("all")
+    return scores.agg(F.count("*").alias("n")).join(at, F.lit(True), "left")  # a row each
 
 
 def escalate(links: DataFrame, n: int, taus: list[float], most: float = 0.02) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from curalith.functions import scalar as S
 from curalith.operators import curation as C, links as L, splits as SP
 from curalith.operators.graph import connected_components
+from curalith.operators.selection import exact_percentiles
 from curalith.storage import materialise
 
 TOKENS = ("src1", "src7")
@@ -202,8 +203,10 @@ def split_crosstab(spark, sf):
 
 @query(f"WITH {M} SELECT class, count(*) AS n, count(DISTINCT md5) AS groups, count(DISTINCT md5) / count(*) AS groups_per_row, avg(size) AS mean, median(size) AS median, quantile_cont(size, 0.95) AS p95, quantile_cont(size, 0.99) AS p99, string_agg(DISTINCT source, ';' ORDER BY source) AS sources FROM m GROUP BY 1")
 def class_statistics(spark, sf):
-    q = lambda p: F.percentile("size", p)
-    return manifest(spark, sf).groupBy("class").agg(F.count("*").alias("n"), F.count_distinct("md5").alias("groups"), (F.count_distinct("md5") / F.count("*")).alias("groups_per_row"), F.avg("size").alias("mean"), F.median("size").alias("median"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"))
+    m = materialise(manifest(spark, sf), "manifest")
+    out = m.groupBy("class").agg(F.count("*").alias("n"), F.count_distinct("md5").alias("groups"), (F.count_distinct("md5") / F.count("*")).alias("groups_per_row"), F.avg("size").alias("mean"), F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"))
+    at = exact_percentiles(m, ["class"], "size", {"median": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed("class", "_class")
+    return out.join(at, F.col("class").eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
 @query("""SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
