@@ -98,10 +98,36 @@ def binary_scores(rows: DataFrame, label: str, score: str, by: list[str], cut: f
     return at_cut.join(_auc(one.select(*by, "score", (F.col("y") == 1).alias("hit")), by), by)
 
 
-def roc_points(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """``(by..., class, score, tpr, fpr)`` at each distinct score, from the highest down."""
-    c = _cumulated(_one_vs_rest(pred, k, by), [*by, "class"], down=True)
-    return c.select(*by, "class", "score", (F.col("_cum_pos") / F.col("_np")).alias("tpr"), ((F.col("_cum") - F.col("_cum_pos")) / (F.col("_n") - F.col("_np"))).alias("fpr"))
+def macro_auc(pred: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """``(by..., auc)``: the mean over all k classes of the one-vs-rest ROC AUC; null if any class has none."""
+    return auc_ovr(pred, k, by).groupBy(*by).agg(F.when(F.count("auc") == k, F.avg("auc")).alias("auc"))
+
+
+def roc_points(pred: DataFrame, k: int, by: list[str], drop: bool = True) -> DataFrame:
+    """``(by..., class, score, tpr, fpr)``: the curve from the origin, whose score is null, over distinct scores from the
+    highest down. With ``drop`` points go whose step (in hits and in others) is the same as the next one's, since the line
+    runs straight through them; the first and the last score stay. Scores are told apart as they are. The next score of a
+    bucket's last one is the first of the next bucket that has any, so no task gets a curve. Shares of an empty side are null."""
+    keys = [*by, "class"]
+    c = _cumulated(_one_vs_rest(pred, k, by), keys, down=True)
+    if drop:
+        bucket = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+        c = c.withColumn("_b", bucket)
+        step = F.struct("_m", "_pos")
+        heads = c.groupBy(*keys, "_b").agg(F.max_by(step, "score").alias("_head"))  # keys x buckets at most
+        heads = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy(*keys).orderBy(F.desc("_b")))).withColumn("_top", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_b"))) == 1)
+        heads = heads.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], F.col("_b").alias("_hb"), "_after", "_top")
+        same = F.col("_b") == F.col("_hb")
+        for i, x in enumerate(keys):
+            same = same & F.col(x).eqNullSafe(F.col(f"_k{i}"))
+        w = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"))
+        c = c.withColumns({"_next": F.lead(step).over(w), "_i": F.row_number().over(w)}).join(heads, same)
+        straight = F.coalesce(F.coalesce("_next", "_after") == step, F.lit(False)) & ~(F.col("_top") & (F.col("_i") == 1))
+        c = c.where(~straight)
+    tpr, fpr = F.col("_cum_pos") / F.col("_np"), (F.col("_cum") - F.col("_cum_pos")) / (F.col("_n") - F.col("_np"))
+    sides = c.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_np").alias("_np"))
+    zero = sides.select(*keys, F.lit(None).cast("double").alias("score"), F.when(F.col("_np") > 0, 0.0).alias("tpr"), F.when(F.col("_n") > F.col("_np"), 0.0).alias("fpr"))
+    return c.select(*keys, "score", F.when(F.col("_np") > 0, tpr).alias("tpr"), F.when(F.col("_n") > F.col("_np"), fpr).alias("fpr")).unionByName(zero)
 
 
 def ranked_models(board: DataFrame, metric: str, model: str = "model") -> DataFrame:

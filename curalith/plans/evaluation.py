@@ -113,13 +113,22 @@ def roc_auc(spark, sf):
     return rounded(X.auc_ovr(predictions(spark, sf), K, ["model"]), "auc")
 
 
-@query(f"""WITH {P}, s AS (SELECT model, y, unnest(range(4)) AS class, round(unnest(probs), 9) AS score FROM p WHERE split = 'test'),
-c AS (SELECT model, class, score, count(*) AS m, count(*) FILTER (y = class) AS pos FROM s GROUP BY ALL)
-SELECT model, class::INT AS class, score, round(sum(pos) OVER (PARTITION BY model, class ORDER BY score DESC) / sum(pos) OVER (PARTITION BY model, class), 6) AS tpr,
- round(sum(m - pos) OVER (PARTITION BY model, class ORDER BY score DESC) / sum(m - pos) OVER (PARTITION BY model, class), 6) AS fpr FROM c""")
+@query(f"""WITH {P}, s AS (SELECT model, y, unnest(range(4)) AS class, unnest(probs) AS score FROM p),
+r AS (SELECT *, rank() OVER (PARTITION BY model, class ORDER BY score) + (count(*) OVER (PARTITION BY model, class, score) - 1) / 2 AS rk FROM s),
+a AS (SELECT model, class, (sum(rk) FILTER (y = class) - count(*) FILTER (y = class) * (count(*) FILTER (y = class) + 1) / 2) / (count(*) FILTER (y = class) * count(*) FILTER (y <> class)) AS auc FROM r GROUP BY ALL)
+SELECT model, round(avg(auc), 6) AS auc FROM a GROUP BY 1""")
+def macro_roc_auc(spark, sf):
+    return rounded(X.macro_auc(predictions(spark, sf), K, ["model"]), "auc")
+
+
+@query(f"""WITH {P}, s AS (SELECT model, y, unnest(range(4)) AS class, unnest(probs) AS score FROM p WHERE split = 'test'),
+c AS (SELECT model, class, score, count(*) AS m, count(*) FILTER (y = class) AS pos FROM s GROUP BY ALL),
+n AS (SELECT *, lead(m) OVER w AS m2, lead(pos) OVER w AS pos2, row_number() OVER w AS i, sum(pos) OVER w AS tp, sum(m - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY model, class) AS np, sum(m - pos) OVER (PARTITION BY model, class) AS nn
+ FROM c WINDOW w AS (PARTITION BY model, class ORDER BY score DESC))
+SELECT model, class::INT AS class, round(score, 9) AS score, round(tp / np, 6) AS tpr, round(fp / nn, 6) AS fpr FROM n WHERE i = 1 OR m2 IS NULL OR m <> m2 OR pos <> pos2
+UNION ALL SELECT DISTINCT model, class::INT, NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM n""")
 def roc_curve(spark, sf):
-    p = predictions(spark, sf).where("split = 'test'").withColumn("probs", F.transform("probs", lambda v: F.rint(v * 1e9) / 1e9))
-    return rounded(X.roc_points(p, K, ["model"]), "tpr", "fpr")
+    return X.roc_points(predictions(spark, sf).where("split = 'test'"), K, ["model"]).withColumns({c: F.round(c, d) for c, d in (("score", 9), ("tpr", 6), ("fpr", 6))})
 
 
 @query(f"WITH {P} SELECT model, avg((len(list_filter(probs, lambda v: v > probs[y + 1])) < 2)::INT) AS top2, round(avg(-0.25 * (1 - probs[y + 1]) ** 2 * ln(probs[y + 1])), 6) AS focal FROM p GROUP BY 1")
@@ -134,17 +143,27 @@ e1 AS (SELECT record_id, y, [round(sum(weight * probs[1]), 12), round(sum(weight
 e AS (SELECT 'ensemble' AS model, record_id, y, (list_position(q, list_max(q)) - 1)::INT AS pred FROM e1)"""
 
 
-@query(f"""WITH {P}, {VOTE}, a AS (SELECT model, record_id, y, pred FROM p WHERE split = 'test' UNION ALL SELECT * FROM e)
-SELECT model, count(*) AS n, round(avg((y = pred)::INT), 6) AS accuracy FROM a GROUP BY 1""")
+BOARD = ("accuracy", "f1_macro", "f1_weighted", "auc", "kappa", "mcc")
+
+
+@query(f"""WITH {P}, {VOTE.replace("AS pred FROM e1", "AS pred, q FROM e1")}, a AS (SELECT model, y, pred, probs FROM p WHERE split = 'test' UNION ALL SELECT model, y, pred, q FROM e),
+u AS (SELECT model, y, unnest(range(4)) AS class, unnest(probs) AS score FROM a), rk AS (SELECT *, rank() OVER (PARTITION BY model, class ORDER BY score) + (count(*) OVER (PARTITION BY model, class, score) - 1) / 2 AS rk FROM u),
+ac AS (SELECT model, class, (sum(rk) FILTER (y = class) - count(*) FILTER (y = class) * (count(*) FILTER (y = class) + 1) / 2) / (count(*) FILTER (y = class) * count(*) FILTER (y <> class)) AS auc FROM rk GROUP BY ALL),
+am AS (SELECT model, avg(auc) AS auc FROM ac GROUP BY 1), z AS (WITH {classes_sql('a', 'model')} SELECT * FROM sm)
+SELECT model, n, {rounded_sql(*BOARD)} FROM z JOIN am USING (model)""")
 def leaderboard(spark, sf):
+    """Every model and the weighted vote on the test split, with all numbers of the comparison."""
     p = predictions(spark, sf)
-    # both splits' counts in one pass: weights from val, accuracies of the models from test
+    # both splits' counts in one pass: weights from val, the models' numbers from test
     scores = materialise(X.summary(X.per_class(X.confusion(p, K, ["model", "split"]), ["model", "split"]), ["model", "split"]), "scores")
     weights = X.ensemble_weights(scores.where("split = 'val'").select("model", "f1_macro")).select("model", "weight")
-    vote = X.soft_vote(p.where("split = 'test'"), weights, "model", "record_id", K)
-    ensemble = vote.agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("pred")).cast("int")).alias("accuracy")).select(F.lit("ensemble").alias("model"), "n", "accuracy")
-    every = scores.where("split = 'test'").select("model", "n", "accuracy").unionByName(ensemble)
-    return every.withColumn("accuracy", F.round("accuracy", 6))
+    test = p.where("split = 'test'")
+    vote = X.soft_vote(test, weights, "model", "record_id", K).select(F.lit("ensemble").alias("model"), "y", F.transform("probs", lambda v: F.rint(v * 1e12) / 1e12).alias("probs"), "pred")
+    vote = materialise(vote, "vote")
+    own = X.summary(X.per_class(X.confusion(vote, K, ["model"]), ["model"]), ["model"])
+    every = scores.where("split = 'test'").drop("split").unionByName(own)
+    auc = X.macro_auc(test.select("model", "y", "probs").unionByName(vote.drop("pred")), K, ["model"])
+    return rounded(every.join(auc, "model").select("model", "n", *BOARD), *BOARD)
 
 
 @query(f"""WITH {P}, {classes_sql('p', 'model, split')}, b AS (SELECT * FROM sm WHERE split = 'test'),
@@ -188,3 +207,9 @@ def checkpoint_selection(spark, sf):
 @query(f"WITH {P} SELECT model, record_id, [(y = 0)::INT, (y = 1)::INT, (y = 2)::INT, (y = 3)::INT] AS one_hot FROM p")
 def label_binarize(spark, sf):
     return predictions(spark, sf).select("model", "record_id", S.one_hot(F.col("y"), K).alias("one_hot"))
+
+
+@query(f"""WITH {P.replace("FROM p2)", "FROM p2 WHERE y <> 3)")}, {classes_sql('p', 'model')}, o AS (SELECT model, avg(f1) FILTER (support + predicted > 0) AS f1_macro FROM pr GROUP BY 1) SELECT model, round(f1_macro, 6) AS f1_macro FROM o""")
+def present_classes_f1(spark, sf):
+    """Macro-F1 over the classes that have rows or predictions, of records without the last class."""
+    return rounded(X.summary(X.per_class(X.confusion(predictions(spark, sf).where("y <> 3"), K, ["model"]), ["model"]), ["model"], present_only=True), "f1_macro").select("model", "f1_macro")
