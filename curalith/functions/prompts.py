@@ -44,12 +44,18 @@ def _pick(values: tuple[str, ...], at: Column) -> Column:
 
 
 def prompt_records(spark: SparkSession, cls: str, grid: Grid) -> DataFrame:
-    """``(id, class, phenotype, gender, variation_group, idx, age, severity, tone, distribution, seed_base)``, ids from 0
-    in the order of phenotypes, genders, axes, and numbers: an axis varies its own setting, the last one draws all."""
+    """The whole grid of a class, ids from 0 (see ``records_of``)."""
+    return records_of(spark.range(grid.size).withColumn("class", F.lit(cls)), grid)
+
+
+def records_of(rows: DataFrame, grid: Grid) -> DataFrame:
+    """``(id, class, phenotype, gender, variation_group, idx, age, severity, tone, distribution, seed_base)`` for rows ``(id,
+    class)``. An id has its place in the grid, which repeats, in the order of phenotypes, genders, axes, and numbers: an axis
+    varies its own setting, the last one draws all."""
     a, g = len(AXES), len(grid.genders)
-    n, k = F.col("id"), grid.per_axis
-    rows = spark.range(grid.size).select(
-        "id", F.lit(cls).alias("class"), _pick(grid.phenotypes, F.floor(n / (k * a * g))).alias("phenotype"), _pick(grid.genders, F.floor(n / (k * a)) % g).alias("gender"),
+    n, k = F.pmod(F.col("id"), F.lit(grid.size)), grid.per_axis
+    rows = rows.select(
+        "id", "class", _pick(grid.phenotypes, F.floor(n / (k * a * g))).alias("phenotype"), _pick(grid.genders, F.floor(n / (k * a)) % g).alias("gender"),
         _pick(AXES, F.floor(n / k) % a).alias("variation_group"), (n % k).cast("int").alias("idx"),
     )
     seed = S.stable_seed(F.col("class"), F.col("phenotype"), F.col("gender"), F.col("variation_group"), F.col("idx"))

@@ -229,11 +229,11 @@ def cosine_links(spark, sf):
     return L.cosine_links(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4).select("src", "dst", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT p.p AS phenotype, g.g AS gender, v.v AS variation, i.i AS idx, (p.p * 2 + g.g) * 50 + v.v * 10 + i.i + 1 AS id,
-('0x' || right(md5('cls|' || ((p.p * 2 + g.g) * 50 + v.v * 10 + i.i + 1)), 8))::BIGINT AS seed, CASE WHEN v.v = 1 THEN i.i % 4 ELSE 0 END AS severity
-FROM range(3) p(p), range(2) g(g), range(5) v(v), range(10) i(i)""")
+@query("""WITH p AS (SELECT p_partkey + 1 AS id, lower(replace(p_brand, '#', ' ')) AS class, p_partkey % 300 AS slot FROM part)
+SELECT class, slot // 100 AS phenotype, slot // 50 % 2 AS gender, slot // 10 % 5 AS variation, slot % 10 AS idx, id, ('0x' || right(md5(class || '|' || id), 8))::BIGINT AS seed, CASE WHEN slot // 10 % 5 = 1 THEN slot % 10 % 4 ELSE 0 END AS severity FROM p""")
 def prompt_grid(spark, sf):
-    n = spark.range(300).select((F.col("id") + 1).alias("id"))
-    at = lambda width, k: F.floor((F.col("id") - 1) / width) % k
-    g = n.select(at(100, 3).alias("phenotype"), at(50, 2).alias("gender"), at(10, 5).alias("variation"), at(1, 10).alias("idx"), "id")
-    return g.select("*", S.stable_seed(F.lit("cls"), F.col("id")).alias("seed"), F.when(F.col("variation") == 1, F.col("idx") % 4).otherwise(0).alias("severity"))
+    """A place in the grid of settings for each part, whose brand is its class."""
+    p = table(spark, sf, "part").select(F.lower(F.regexp_replace("p_brand", "#", " ")).alias("class"), (F.col("p_partkey") + 1).alias("id"), (F.col("p_partkey") % 300).alias("n"))
+    at = lambda width, k: F.floor(F.col("n") / width) % k
+    g = p.select("class", at(100, 3).alias("phenotype"), at(50, 2).alias("gender"), at(10, 5).alias("variation"), at(1, 10).alias("idx"), "id")
+    return g.select("*", S.stable_seed(F.col("class"), F.col("id")).alias("seed"), F.when(F.col("variation") == 1, F.col("idx") % 4).otherwise(0).alias("severity"))

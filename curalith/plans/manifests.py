@@ -238,11 +238,6 @@ def named_class_weights(spark, sf):
     return C.class_weights(table(spark, sf, "documents"), "lang", ["en", "de", "fr", "es", "xx"])
 
 
-@query(f"WITH {MANIFEST} SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS fingerprint FROM (SELECT doc_id || '|' || md5 || '|' || class AS l FROM m)")
-def plain_fingerprint(spark, sf):
-    return spark.createDataFrame([(C.plain_fingerprint(manifest(spark, sf), F.concat_ws("|", "doc_id", "md5", "class")),)], "fingerprint string")
-
-
 @query("SELECT event_id, (props->>'k')::BIGINT AS k, '{\"event_type\":\"' || event_type || '\",\"k\":' || (props->>'k') || '}' AS record FROM events")
 def json_records(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", F.from_json("props", "k long").alias("p"))
@@ -268,41 +263,44 @@ def setting_sql(own: str, values: str, n: int, default: str) -> str:
     return f"CASE variation_group WHEN '{own}' THEN {values}[idx % {n} + 1] WHEN 'combined' THEN {values}[{DRAW(own, n)} + 1] ELSE '{default}' END"
 
 
-G = f"""g0 AS (SELECT id, 'acne' AS class, {list(GRID.phenotypes)}[id // 100 + 1] AS phenotype, ['female', 'male'][id // 50 % 2 + 1] AS gender, {list(P.AXES)}[id // 10 % 5 + 1] AS variation_group, (id % 10)::INT AS idx FROM range(300) r(id)),
+G = f"""pt AS (SELECT p_partkey AS id, p_partkey % 300 AS slot, lower(replace(p_brand, '#', ' ')) AS class FROM part),
+g0 AS (SELECT id, class, {list(GRID.phenotypes)}[slot // 100 + 1] AS phenotype, ['female', 'male'][slot // 50 % 2 + 1] AS gender, {list(P.AXES)}[slot // 10 % 5 + 1] AS variation_group, (slot % 10)::INT AS idx FROM pt),
 g1 AS (SELECT *, CASE WHEN variation_group = 'combined' THEN {DRAW('range', 3)} ELSE idx % 3 END AS span FROM g0), g2 AS (SELECT *, [16, 26, 41][span + 1] AS lo, [24, 38, 58][span + 1] AS hi FROM g1),
 g AS (SELECT id, class, phenotype, gender, variation_group, idx, (CASE WHEN variation_group IN ('age', 'combined') THEN lo + {DRAW('age', '(hi - lo + 1)')} ELSE 32 END)::INT AS age,
 {setting_sql('severity', "['mild', 'moderate', 'severe']", 3, 'moderate')} AS severity, {setting_sql('skin_tone', "['I', 'II', 'III', 'IV', 'V', 'VI']", 6, 'III')} AS tone,
 {setting_sql('anatomical_distribution', str(list(GRID.distributions)), 4, 'on the cheeks')} AS distribution, {seed_sql('class', 'phenotype', 'gender', 'variation_group', 'idx', "'img'")} AS seed_base FROM g2)"""
 
 
-def _prompts(spark: SparkSession) -> DataFrame:
-    return P.prompt_records(spark, "acne", GRID)
+def _prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """A prompt for each part, whose brand is its class."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower(F.regexp_replace("p_brand", "#", " ")).alias("class"))
+    return P.records_of(rows, GRID)
 
 
 @query(f"WITH {G} SELECT * FROM g")
 def prompt_records(spark, sf):
-    return _prompts(spark)
+    return _prompts(spark, sf)
 
 
 @query(f"""WITH {G}, t AS (SELECT id, 'Portrait of a ' || age || '-year-old ' || gender || ' of type ' || tone || ', with ' || CASE WHEN left(phenotype, 1) IN ('a','e','i','o','u') THEN 'an' ELSE 'a' END || ' ' || phenotype || ' finding, ' || severity || ', ' || distribution || '. Natural anatomy, soft light.' || CASE WHEN id % 3 = 0 THEN ' More' ELSE '' END AS text FROM g)
 SELECT id, text, 'Sharp picture. ' || CASE WHEN text LIKE '%.' THEN rtrim(left(text, instr(text, 'Natural anatomy') - 1)) ELSE text END AS final FROM t""")
 def prompt_texts(spark, sf):
-    p = _prompts(spark)
+    p = _prompts(spark, sf)
     values = {c: F.col(c) for c in ("age", "gender", "tone", "phenotype", "severity", "distribution")}
     text = F.concat(P.filled(TEMPLATE, article=P.article(F.col("phenotype")), **values), F.when(F.col("id") % 3 == 0, " More").otherwise(""))
     return p.select("id", text.alias("text")).withColumn("final", P.final_prompt(F.col("text"), PREFIX, ANCHOR))
 
 
 @query("""SELECT id, variant, attempt, printf('cls%02d_p_%03d_v_%d.png', 7, id + 1, variant) AS filename, (1000 + id * 7919 + (variant - 1) * 104729 + attempt * 15485863) % 4294967296 AS seed
-FROM range(300) r(id), (SELECT unnest(range(1, 6))::INT AS variant), (SELECT unnest(range(3))::INT AS attempt)""")
+FROM (SELECT p_partkey AS id FROM part), (SELECT unnest(range(1, 6))::INT AS variant), (SELECT unnest(range(3))::INT AS attempt)""")
 def task_expansion(spark, sf):
-    return P.task_expansion(_prompts(spark).select("id"), 5, 7)
+    return P.task_expansion(_prompts(spark, sf).select("id"), 5, 7)
 
 
-@query("""SELECT id, variant FROM range(300) r(id), (SELECT unnest(range(1, 6))::INT AS variant) WHERE id < 40 AND (id * 5 + variant) % 7 <> 0""")
+@query("""SELECT id, variant FROM (SELECT p_partkey AS id FROM part ORDER BY 1 LIMIT 40), (SELECT unnest(range(1, 6))::INT AS variant) WHERE (id * 5 + variant) % 7 <> 0""")
 def pending_tasks(spark, sf):
     """Tasks of the first forty prompts, a set limit, whose files do not exist yet."""
-    tasks = P.task_expansion(_prompts(spark).orderBy("id").limit(40).select("id"), 5, 7, retries=1)
+    tasks = P.task_expansion(_prompts(spark, sf).orderBy("id").limit(40).select("id"), 5, 7, retries=1)
     done = tasks.where((F.col("id") * 5 + F.col("variant")) % 7 == 0).select("filename")
     return M.pending(tasks, done, "filename").select("id", "variant")
 
@@ -329,4 +327,4 @@ def streamed_attempts(spark, sf):
 def custom_prompts(spark, sf):
     """Saved lines without records of their own."""
     lines = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
-    return P.load_or_build(_prompts(spark), lines, _prompts(spark).limit(1), "acne")
+    return P.load_or_build(_prompts(spark, sf), lines, _prompts(spark, sf).limit(1), "acne")

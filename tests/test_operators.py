@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from curalith.operators.curation import balance, resolve_exact, sample_fraction
 from curalith.operators.graph import connected_components
 from curalith.operators.metrics import confusion, per_class, summary
@@ -45,3 +46,12 @@ def test_sampling_is_half_even_and_never_empty(spark):
     got = {r.c: r["count"] for r in sample_fraction(rows, "c", "i", 0.5, "s").groupBy("c").count().collect()}
     assert got == {"a": 2, "b": 1}
     assert balance(rows, "c", "i", 3, 4, "s").groupBy("c").sum("copies").orderBy("c").collect() == [("a", 4), ("b", 3)]
+
+
+def test_one_level_fingerprint_of_a_manifest(spark):
+    import hashlib
+
+    from curalith.operators import curation as C
+
+    rows = spark.createDataFrame([(3, "c"), (1, "é"), (2, "b"), (2, "b")], "id long, x string")
+    assert C.plain_fingerprint(rows, F.concat_ws("|", "id", "x")) == hashlib.sha256("1|é\n2|b\n2|b\n3|c".encode()).hexdigest()
