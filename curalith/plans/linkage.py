@@ -8,6 +8,7 @@ from curalith.functions import prompts as P
 from curalith.operators import audit as A, links as L
 from curalith.operators.graph import connected_components
 from curalith.storage import materialise
+from curalith.streaming import acceptance as ACC
 
 from .curation import NORMED, table
 
@@ -103,6 +104,22 @@ def accepted_codes(spark, sf):
     return L.accept_in_order(codes(spark, sf), "label", "id", "c0", 64, ACCEPT).select("id", "accepted")
 
 
+#: Accepted codes wanted of a class, the most attempts for them, and attempts made at once.
+TARGET, CAP, BATCH = 40, 240, 16
+
+
+@query(f"""WITH RECURSIVE {H}, o AS (SELECT id, label, c, bit_count(c) < 28 AS bad, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM h),
+w AS (SELECT DISTINCT label, 0::BIGINT AS n, []::BIGINT[] AS held, 0::BIGINT AS tried, 0::BIGINT AS remain, NULL::BIGINT AS id, '' AS status FROM o
+UNION ALL SELECT label, n, CASE WHEN status = 'accepted' THEN list_append(held, c) ELSE held END, tried + (now > 0)::BIGINT, greatest(now - 1, 0), id, status FROM
+ (SELECT *, CASE WHEN now = 0 THEN 'not_tried' WHEN bad THEN 'degenerate' WHEN len(list_filter(held, lambda x: bit_count(xor(x, c)) <= {ACCEPT})) > 0 THEN 'near' ELSE 'accepted' END AS status FROM
+  (SELECT o.label, o.n, o.id, o.c, o.bad, held, tried, CASE WHEN remain > 0 THEN remain WHEN len(held) < {TARGET} AND tried < {CAP} THEN least({BATCH}, {TARGET} - len(held)) ELSE 0 END AS now FROM w JOIN o ON o.label = w.label AND o.n = w.n + 1)))
+SELECT label::VARCHAR AS class, id AS attempt, status FROM w WHERE id IS NOT NULL""")
+def acceptance_stream(spark, sf):
+    """Attempts accepted or rejected over a stream, with a target and a cap for each class."""
+    tries = codes(spark, sf).select(F.col("label").cast("string").alias("class"), F.col("id").alias("attempt"), F.col("c0").alias("code"), (F.bit_count("c0") < 28).alias("bad"))
+    return ACC.accepted(tries, TARGET, CAP, BATCH, ACCEPT)
+
+
 @query(f"""WITH {NORMED}, b AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: list_reverse(embedding)[i]::DOUBLE - m[i]) AS w FROM embeddings, mean),
 z AS (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS w FROM b), p AS (SELECT x.vec_id AS src, y.vec_id AS dst, greatest(list_dot_product(x.v, y.v), list_dot_product(x.v, z.w)) AS score FROM u x JOIN u y ON x.vec_id < y.vec_id JOIN z ON z.vec_id = y.vec_id)
 SELECT src, dst, round(score, 6) AS score FROM p WHERE score >= 0.4""")
