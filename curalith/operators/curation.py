@@ -8,37 +8,47 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curalith.operators.order import positions, shuffled_positions
+from curalith.operators.skew import join_groups
 from curalith.storage import materialise
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``join_groups`` for groups with their size in ``_n``, which is dropped."""
+    groups = materialise(groups.where(F.col(key).isNotNull()), "groups")
+    total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return join_groups(rows, groups, total, key, "_n", how).drop("_n")
+
+
 def resolve_exact(pool: DataFrame, digest: str, cls: str, split: str, key: str, priority=("test", "val", "train")) -> DataFrame:
     """``pool`` with ``reason``: null for rows that stay; rows of a digest under several classes all go
     (conflicting_label), else the row of the first split, then least key, stays (others: exact_duplicate). Splits that
-    ``priority`` does not name come after those it does; rows without a digest stay."""
+    ``priority`` does not name come after those it does; rows without a digest stay. Digests of very many rows, such as that of
+    empty files, are broadcast and shuffle no rows."""
     place = F.array_position(F.array(*map(F.lit, priority)), F.col(split))
     rank = F.when(place > 0, place).otherwise(len(priority) + 1)
-    by = pool.groupBy(digest).agg(F.count("*").alias("_n"), F.count_distinct(cls).alias("_k"), F.min(F.struct(rank.alias("r"), F.col(key).alias("k"))).alias("_keep"))
-    rows = pool.join(by.where("_n > 1"), digest, "left")
-    reason = F.when(F.col("_k") > 1, "conflicting_label").when(F.struct(rank.alias("r"), F.col(key).alias("k")) != F.col("_keep"), "exact_duplicate")
-    return rows.withColumn("reason", reason).drop("_n", "_k", "_keep")
+    by = pool.groupBy(digest).agg(F.count("*").alias("_n"), (F.min(cls) != F.max(cls)).alias("_mixed"), F.min(F.struct(rank.alias("r"), F.col(key).alias("k"))).alias("_keep"))
+    rows = _with_groups(pool, by.where("_n > 1"), digest, "left")
+    reason = F.when(F.col("_mixed"), "conflicting_label").when(F.struct(rank.alias("r"), F.col(key).alias("k")) != F.col("_keep"), "exact_duplicate")
+    return rows.withColumn("reason", reason).drop("_mixed", "_keep")
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Flags rows after the first of each key."""
-    least = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    return rows.join(least, key).withColumn("duplicate", F.col(order) != F.col("_first")).drop("_first")
+    """Flags rows after the first of each key; keys may hold most rows."""
+    least = rows.groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    return _with_groups(rows, least, key).withColumn("duplicate", F.col(order) != F.col("_first")).drop("_first")
 
 
 def star_edges(rows: DataFrame, key: str, node: str) -> DataFrame:
-    """Links of each row with the least of its key: as many as rows, not pairs."""
-    least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(node).alias("src"))
-    return rows.join(least, key).select("src", F.col(node).alias("dst")).where("src <> dst")
+    """Links of each row with the least of its key: as many as rows, not pairs; keys may hold most rows."""
+    least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(node).alias("src"), F.count("*").alias("_n"))
+    return _with_groups(rows.select(key, node), least.where("_n > 1"), key).select("src", F.col(node).alias("dst")).where("src <> dst")
 
 
 def quarantine_cross_class(rows: DataFrame, group: str, cls: str) -> DataFrame:
-    """``status``: quarantined_cross_class for all rows of a group that has several classes, else eligible."""
-    by = rows.groupBy(group).agg((F.min(cls) != F.max(cls)).alias("_mixed"))
-    return rows.join(by, group).withColumn("status", F.when(F.col("_mixed"), "quarantined_cross_class").otherwise("eligible")).drop("_mixed")
+    """``status``: quarantined_cross_class for all rows of a group that has several classes, else eligible; groups may hold
+    most rows."""
+    by = rows.groupBy(group).agg((F.min(cls) != F.max(cls)).alias("_mixed"), F.count("*").alias("_n"))
+    return _with_groups(rows, by, group).withColumn("status", F.when(F.col("_mixed"), "quarantined_cross_class").otherwise("eligible")).drop("_mixed")
 
 
 def stratified_split(rows: DataFrame, cls: str, key: str, seed: str, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
