@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curalith.functions import scalar as S
-from curalith.operators import curation as C, links as L, splits as SP
+from curalith.operators import curation as C, growing as GR, links as L, splits as SP
 from curalith.operators.graph import connected_components
 from curalith.operators.selection import exact_percentiles
-from curalith.storage import materialise
+from curalith.storage import fresh_path, materialise
 
 TOKENS = ("src1", "src7")
 ALIASES = {"en": "English", "de": "German", "fr": "French"}
@@ -105,6 +105,24 @@ def duplicate_groups(spark, sf):
     return d.join(comp, d["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 
+DUPLICATES = f"""WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS a, md5(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{MARKS}', ' ', 'g')) AS b FROM documents),
+"""
+
+
+@query(DUPLICATES + """e AS (SELECT x.doc_id AS u, y.doc_id AS v FROM d x JOIN d y ON x.a = y.a OR x.b = y.b),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT u AS doc_id, min(v) AS group_id FROM r GROUP BY 1""")
+def growing_groups(spark, sf):
+    """The same groups from documents that arrive in three batches, each of which reads only its own and the saved state."""
+    plain = F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), MARKS, " ")
+    d = materialise(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("a"), F.md5(plain).alias("b")), "keys")
+    state = fresh_path(spark, "growing")
+    for i in range(3):
+        GR.add_batch(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == i), "doc_id", ["a", "b"], state, i)
+    found = GR.groups(spark, state, 3)
+    return d.join(found, d["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
+
+
 @query(f"WITH {M} SELECT doc_id, CASE WHEN min(source) OVER (PARTITION BY md5) <> max(source) OVER (PARTITION BY md5) THEN 'quarantined_cross_class' ELSE 'eligible' END AS status FROM m")
 def cross_class_quarantine(spark, sf):
     return C.quarantine_cross_class(manifest(spark, sf), "md5", "source").select("doc_id", "status")
