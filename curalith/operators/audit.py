@@ -157,7 +157,16 @@ def moments(rows: DataFrame, cls: str, vector: str) -> DataFrame:
 
 def frechet(a: DataFrame, b: DataFrame, cls: str, vector: str) -> DataFrame:
     """``(class, n_a, n_b, distance)``: Frechet distance of the two sets of vectors of each class that has two rows on
-    each side. Sums meet by class; the eigenvalues of one small matrix a class are taken in a task."""
+    each side."""
+    distance = F.col("mean_part") + F.col("trace_a") + F.col("trace_b") - 2 * F.col("cross")
+    return frechet_terms(a, b, cls, vector).select("class", "n_a", "n_b", distance.alias("distance"))
+
+
+def frechet_terms(a: DataFrame, b: DataFrame, cls: str, vector: str) -> DataFrame:
+    """``(class, n_a, n_b, mean_part, trace_a, trace_b, cross)``: squared distance of the means, traces of both covariances,
+    and the trace of their product's root. Sums meet by class; the eigenvalues of one small matrix a class are taken in a
+    task."""
+    fields = ["class", "n_a", "n_b", "mean_part", "trace_a", "trace_b", "cross"]
     sides = moments(a, cls, vector).withColumn("side", F.lit(0)).unionByName(moments(b, cls, vector).withColumn("side", F.lit(1)))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +175,7 @@ def frechet(a: DataFrame, b: DataFrame, cls: str, vector: str) -> DataFrame:
             p = pdf[pdf["side"] == side]
             n = int(p["n"].sum())
             if n < 2:
-                return pd.DataFrame({"class": np.zeros(0, object), "n_a": np.zeros(0, np.int64), "n_b": np.zeros(0, np.int64), "distance": np.zeros(0)})
+                return pd.DataFrame({"class": np.zeros(0, object), "n_a": np.zeros(0, np.int64), "n_b": np.zeros(0, np.int64), **{f: np.zeros(0) for f in fields[3:]}})
             mean = np.vstack(p["sum"].to_numpy()).sum(0) / n
             d = len(mean)
             got.append((n, mean, (np.vstack(p["outer"].to_numpy()).sum(0).reshape(d, d) - n * np.outer(mean, mean)) / (n - 1)))
@@ -174,9 +183,9 @@ def frechet(a: DataFrame, b: DataFrame, cls: str, vector: str) -> DataFrame:
         w, u = np.linalg.eigh(s)
         root = (u * np.sqrt(np.clip(w, 0, None))) @ u.T
         cross = np.sqrt(np.clip(np.linalg.eigvalsh(root @ t @ root), 0, None)).sum()
-        return pd.DataFrame({"class": [pdf["class"].iloc[0]], "n_a": [n], "n_b": [k], "distance": [float((m - q) @ (m - q) + np.trace(s) + np.trace(t) - 2 * cross)]}).astype({"class": object})
+        return pd.DataFrame([(pdf["class"].iloc[0], n, k, float((m - q) @ (m - q)), float(np.trace(s)), float(np.trace(t)), float(cross))], columns=fields).astype({"class": object})
 
-    return sides.groupBy("class").applyInPandas(judge, "class string, n_a long, n_b long, distance double")
+    return sides.groupBy("class").applyInPandas(judge, "class string, n_a long, n_b long, mean_part double, trace_a double, trace_b double, cross double")
 
 
 def shortcut_control(rows: DataFrame, features: list[str], label: str, held_out: Column, max_iter: int = 50) -> DataFrame:

@@ -170,10 +170,11 @@ def _measured(height: int, width: int, channels: int, data: bytes, orientation:
 
 
 def with_orientation(images: DataFrame, root: str) -> DataFrame:
-    """Rows of ``read_images`` with ``orientation`` from the files' headers; only bytes of these are looked at."""
+    """Rows of ``read_images`` with ``orientation`` from the files' headers, however far into a file they stand: segments are
+    walked from the start to the picture."""
     turn = F.pandas_udf(lambda xs: xs.map(exif_orientation), "int", F.PandasUDFType.SCALAR)
     files = images.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    heads = files.select(F.col("path"), turn(F.substring("content", 1, 1 << 17)).alias("orientation"))
+    heads = files.select(F.col("path"), turn(F.col("content")).alias("orientation"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     read = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))  # the image reader escapes paths
     return images.join(heads.select(plain(F.col("path")).alias("_p"), "orientation"), plain(read) == F.col("_p"), "left").drop("_p")

@@ -118,3 +118,21 @@ def shortcut_control(spark, sf):
     """How well class and source can be told from features that should not tell them."""
     li = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linenumber") % 3).cast("int").alias("source"), *[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")], "l_orderkey")
     return A.shortcut_controls(li, {"size": ["l_quantity"], "size and border": ["l_quantity", "l_discount", "l_tax"]}, {"class": "y", "source": "source"}, F.col("l_orderkey") % 5 == 0)
+
+
+PARTS = """e AS (SELECT label, (vec_id % 2)::INT AS side, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label, side, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+m AS (SELECT label, side, i, avg(x) AS m, var_samp(x) AS s, count(*) AS n FROM x GROUP BY ALL)"""
+
+
+@query(f"WITH {PARTS} SELECT a.label::VARCHAR AS class, any_value(a.n) AS n_a, any_value(b.n) AS n_b, round(sum((a.m - b.m) ** 2), 6) AS mean_part, round(sum(a.s), 6) AS trace_a, round(sum(b.s), 6) AS trace_b FROM m a JOIN m b ON a.label = b.label AND a.i = b.i AND a.side = 0 AND b.side = 1 GROUP BY 1")
+def frechet_parts(spark, sf):
+    """What a Frechet distance is made of, but for its matrix root: counts, distance of means, traces of covariances."""
+    e = table(spark, sf, "embeddings")
+    return A.frechet_terms(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "label", "embedding").drop("cross").withColumns({c: F.round(c, 6) for c in ("mean_part", "trace_a", "trace_b")})
+
+
+@query("""WITH l AS (SELECT l_orderkey % 5 = 0 AS held, (l_returnflag = 'R')::INT AS y FROM lineitem) SELECT count(*) FILTER (held) AS n, round(1 / count(DISTINCT y) FILTER (NOT held), 6) AS chance FROM l""")
+def shortcut_counts(spark, sf):
+    """Held-out rows and the chance level of a shortcut control."""
+    li = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_quantity").cast("double").alias("q"), "l_orderkey")
+    return A.shortcut_control(li, ["q"], "y", F.col("l_orderkey") % 5 == 0).select("n", F.round("chance", 6).alias("chance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curalith.functions import scalar as S
-from curalith.operators import curation as C, growing as GR, links as L, splits as SP
+from curalith.operators import audit as A, curation as C, growing as GR, links as L, manifest as MA, splits as SP
 from curalith.operators.graph import connected_components
 from curalith.operators.selection import exact_percentiles
 from curalith.storage import fresh_path, materialise
@@ -123,6 +123,30 @@ def growing_groups(spark, sf):
     return d.join(found, d["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 
+PATIENT = "CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 11 = 1 THEN NULL ELSE (doc_id // 7)::VARCHAR END"
+
+
+@query(DUPLICATES.replace(" FROM documents),", f", CASE WHEN doc_id % 13 = 0 THEN 'unknown' ELSE source END AS s, trim(coalesce({PATIENT}, '')) AS p FROM documents),") + """k AS (SELECT *, p <> '' AND s IS NOT NULL AND trim(s) NOT IN ('', 'unknown') AS known FROM d),
+e AS (SELECT x.doc_id AS u, y.doc_id AS v FROM k x JOIN k y ON x.a = y.a UNION SELECT x.doc_id, y.doc_id FROM k x JOIN k y ON x.known AND y.known AND x.p = y.p AND x.s = y.s),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT u AS doc_id, min(v) AS group_id FROM r GROUP BY 1""")
+def patient_groups(spark, sf):
+    """Groups by equal content and by pseudonym, where both patient and source are known."""
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("a"), F.when(i % 13 == 0, "unknown").otherwise(F.col("source")).alias("s"), F.when(i % 3 == 0, "  ").when(i % 11 == 1, None).otherwise(F.floor(i / 7).cast("string")).alias("patient"))
+    name = F.when(MA.known(F.col("patient")) & MA.known(F.col("s")), A.pseudonym(b"curalith", F.col("s"), F.trim("patient")))
+    d = materialise(d.select("doc_id", "a", name.alias("p")), "keys")
+    comp = connected_components(C.star_edges(d, "a", "doc_id").unionByName(C.star_edges(d, "p", "doc_id")))
+    return d.join(comp, d["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
+
+
+@query(f"WITH {M} SELECT class, source, count(*) FILTER (split='train') AS train, count(*) FILTER (split='val') AS val, count(*) FILTER (split='test') AS test, count(*) AS total FROM m GROUP BY 1, 2")
+def source_crosstab(spark, sf):
+    """Counts by two keys, with what does not occur as 0 and the total."""
+    by = manifest(spark, sf).groupBy("class", "source").pivot("split", ["train", "val", "test"]).count().na.fill(0, ["train", "val", "test"])
+    return by.withColumn("total", F.col("train") + F.col("val") + F.col("test"))
+
+
 @query(f"WITH {M} SELECT doc_id, CASE WHEN min(source) OVER (PARTITION BY md5) <> max(source) OVER (PARTITION BY md5) THEN 'quarantined_cross_class' ELSE 'eligible' END AS status FROM m")
 def cross_class_quarantine(spark, sf):
     return C.quarantine_cross_class(manifest(spark, sf), "md5", "source").select("doc_id", "status")

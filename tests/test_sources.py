@@ -161,3 +161,37 @@ def test_shortcut_control(spark):
     rows = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1) / 2).alias("tell"), F.rand(2).alias("noise"))
     seen = lambda f: audit.shortcut_control(rows, f, "y", F.col("id") % 5 == 0).first()
     assert seen(["tell"]).balanced_accuracy > 0.95 and abs(seen(["noise"]).balanced_accuracy - 0.5) < 0.25
+
+
+def test_orientation_behind_long_segments():
+    """Headers far into a file count: nothing is read by a fixed number of bytes."""
+    tiff = b"Exif\0\0MM\0*" + (8).to_bytes(4, "big") + (1).to_bytes(2, "big") + (0x112).to_bytes(2, "big") + (3).to_bytes(2, "big") + (1).to_bytes(4, "big") + (6).to_bytes(2, "big") + b"\0" * 6
+    segment = lambda kind, part: b"\xff" + kind + (len(part) + 2).to_bytes(2, "big") + part
+    data = b"\xff\xd8" + segment(b"\xe2", b"\0" * 65000) * 5 + segment(b"\xe1", tiff) + b"\xff\xda"
+    assert data.index(b"Exif") > 1 << 17 and images.exif_orientation(data) == 6
+
+
+def test_orientation_of_a_file_is_read_whole(spark, tmp_path):
+    tiff = b"Exif\0\0II*\0" + (8).to_bytes(4, "little") + (1).to_bytes(2, "little") + (0x112).to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + (8).to_bytes(2, "little") + b"\0" * 6
+    segment = lambda kind, part: b"\xff" + kind + (len(part) + 2).to_bytes(2, "big") + part
+    (tmp_path / "far.jpg").write_bytes(b"\xff\xd8" + segment(b"\xe2", b"\0" * 65000) * 3 + segment(b"\xe1", tiff) + b"\xff\xda")
+    got = images.with_orientation(images.read_images(spark, str(tmp_path)), str(tmp_path)).select("orientation", "valid").collect()
+    assert [tuple(r) for r in got] == [(8, False)]
+
+
+def test_perceptual_hash_from_its_definition():
+    """Cosines summed one by one over a picture that needs no resampling; bits above the median, rows first."""
+    import math
+
+    rng = np.random.default_rng(5)
+    grey = rng.integers(0, 256, (32, 32)).astype(np.uint8)
+
+    def by_hand(a):
+        cos = [[math.cos(math.pi * (n + 0.5) * k / 32) for n in range(32)] for k in range(8)]
+        c = [[sum(int(a[y, x]) * cos[v][y] * cos[u][x] for y in range(32) for x in range(32)) for u in range(8)] for v in range(8)]
+        flat = [x for row in c for x in row]
+        middle = sum(sorted(flat)[31:33]) / 2
+        return int("".join("1" if x > middle else "0" for x in flat), 2)
+
+    unsigned = [h & (1 << 64) - 1 for h in images.perceptual_hashes(grey)]
+    assert unsigned == [by_hand(grey), by_hand(grey[:, ::-1]), by_hand(grey[::-1]), by_hand(grey[::-1, ::-1])]
