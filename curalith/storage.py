@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,13 +21,34 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="curalith-")
+        atexit.register(shutil.rmtree, path, True)
         sc.setCheckpointDir(path)
     return path
 
 
+#: What this session has written to the shared folder and not removed.
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; ``remove_written`` removes it."""
+    _written.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def mark() -> int:
+    """A place to which ``remove_written`` can go back."""
+    return len(_written)
+
+
+def remove_written(spark: SparkSession, since: int = 0) -> int:
+    """Removes the intermediate tables written since a ``mark``, by default all, and returns how many. To be called when a job's results are
+    saved: frames that still read these tables fail afterwards, so nothing is removed before."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
