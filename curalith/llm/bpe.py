@@ -137,7 +137,8 @@ def worker_bpe(path: str, pattern: str) -> Bpe:
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text (array of int); a null text counts as empty. A column named ``to`` is replaced."""
+    """``docs`` with the ids of each whole text (array of int); a null text counts as empty. A column named ``to`` is replaced, others
+    stay; rows that repeat have equal ids; an empty table gives an empty one."""
     docs = docs.drop(to) if to != text else docs
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
@@ -176,6 +177,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded; odd inputs as stated in :func:`round_trip`."""
     import public_tokenizers as P
 
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)

@@ -40,7 +40,8 @@ def fold(spark: SparkSession, path: str, state: str, files_per_batch: int = 1000
 
     Called again with the same folders after files were added, it reads only these and returns the whole state.
     Every batch commits its changed groups as a table of its own, which a repeated batch overwrites; the latest
-    row of a group is its state.
+    row of a group is its state. An empty table gives an empty state; rows that repeat count each; a null id is smaller
+    than any.
     """
     schema = spark.read.parquet(path).schema
     before = {k: spark.conf.get(k, None) for k in STATE}
@@ -94,6 +95,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     (null is smaller than any; among rows of one doc_id that with the largest locator, a hash of the row's text
     and id; of rows equal in all that, ``kept`` marks each, and :func:`kept_rows` leaves one).
     ``digest`` may be any function of the text: rows with equal digests and other bytes are told apart.
+    Other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -140,6 +142,7 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the one that stays for it; odd inputs as stated in :func:`deduplicate`."""
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

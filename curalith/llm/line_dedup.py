@@ -176,7 +176,9 @@ def near_lines(distinct: DataFrame, fetch, edits: int = EDITS) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """``(d, t, dropped)``: numbers (from 0) of the lines to drop, for documents that have any; ``d`` is the id
-    (the largest long for null) and ``t`` the xxhash64 of the text. With ``edits`` 0 lines match exactly."""
+    (the largest long for null) and ``t`` the xxhash64 of the text. With ``edits`` 0 lines match exactly.
+    A null text is one empty line; of rows that repeat the first place in the order of (d, t, n) is the one that stays; other
+    columns are not read; an empty table gives an empty one."""
     occ = _lines(docs, doc_id, text)
     pos = F.struct("d", "t", "n")
     keys = [first_keys(F.col("line"), edits).alias("keys")] if edits else []
@@ -219,6 +221,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``documents`` that near-equal earlier ones make needless; odd inputs as stated in :func:`dropped_lines`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.xxhash64(t).alias("t"), F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines"))

@@ -108,6 +108,7 @@ def _cut(timed: DataFrame, budget: float, order: list[Column], high: float, step
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` mixed by source; odd inputs as stated in :func:`mix`."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -198,7 +198,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     With fewer than k words the whole sequence is one shingle; without words the set is empty and links with
     nothing, itself excepted. Rows with a null id take part: they reach the least id of their group, or null.
-    Repeated rows have equal sets and hence one component. Sets are kept as 64-bit hashes of shingles.
+    Repeated rows have equal sets and hence one component. Sets are kept as 64-bit hashes of shingles. Other columns are
+    not read; an empty table gives an empty one.
     With ``row``, a string that tells rows of one id apart, there are also the columns ``row`` and ``first``: the
     struct (no id, id, row) of the first row of the component, null for a row alone.
     """
@@ -500,6 +501,7 @@ def _shared_elements(rows: DataFrame, sets, partitions: int, num: int, den: int,
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` with their components; odd inputs as stated in :func:`jaccard_groups`."""
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

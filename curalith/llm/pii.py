@@ -135,7 +135,9 @@ def _listed(text: Column, patterns: tuple[str, ...], base: bool) -> Column:
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with base spans ``_base`` and candidates ``_wide``, arrays of (a, k, b, m) by start, then kind."""
+    """``docs`` with base spans ``_base`` and candidates ``_wide``, arrays of (a, k, b, m) by start, then kind.
+    A null text has null arrays (``find`` fills it first); columns named ``_base`` and ``_wide`` are replaced, others stay; an empty
+    table gives an empty one."""
     return docs.withColumn("_base", _listed(F.col(text), BASE, True)).withColumn("_wide", _listed(F.col(text), WIDE, False))
 
 
@@ -275,7 +277,9 @@ class Trees:
 
 
 def fit(docs: DataFrame, text: str = "text") -> Trees:
-    """Trees fitted to the valid candidates of about half of the texts, with thresholds set on the others."""
+    """Trees fitted to the valid candidates of about half of the texts, with thresholds set on the others. Null texts are empty;
+    equal texts lie on one side and count as often as they stand; other columns are not read. Without candidates, as in an empty table,
+    no threshold is ever reached."""
     rows = with_candidates(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))).where("size(_wide) > 0")
     # equal texts are on one side
     one = rows.select("text", (F.xxhash64("text") % 2 == 0).alias("held"), F.explode("_wide").alias("s")).where(valid(F.col("s")))

@@ -207,7 +207,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def with_scores(docs: DataFrame, model: LineField, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with a score between 0 and 1 for each whole text; null counts as empty. A column named ``to`` is replaced."""
+    """``docs`` with a score between 0 and 1 for each whole text; null counts as empty and scores the share of good
+    labels. A column named ``to`` is replaced, others stay; rows that repeat score alike; an empty table gives an empty one."""
     docs = docs.drop(to) if to != text else docs
     schema, names = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]), docs.columns
 
@@ -223,6 +224,7 @@ def with_scores(docs: DataFrame, model: LineField, text: str = "text", to: str =
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` scored; a null id is not held out; other odd inputs as stated in :func:`with_scores` and :func:`fit_sample`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0

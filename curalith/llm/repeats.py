@@ -626,6 +626,7 @@ def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without their repeated bytes; odd inputs as stated in :func:`remove_repeats`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeats(docs)
     kept = F.length("kept").cast("long")

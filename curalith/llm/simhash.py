@@ -68,7 +68,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint", k: int = SHINGLE) -> DataFrame:
-    """``docs`` with a column of fingerprints; other columns stay, one of that name is replaced."""
+    """``docs`` with a column of fingerprints; other columns stay, one of that name is replaced. A null or empty text has the
+    fingerprint 0; rows that repeat have equal ones; an empty table gives an empty one."""
     docs = docs.drop(to) if to != text else docs
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())])
 

@@ -124,6 +124,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all ``documents``; a null text has none; rows that repeat count alike; an empty table gives an empty one."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
