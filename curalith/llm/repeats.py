@@ -20,9 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from curalith.operators.skew import join_groups
 from curalith.storage import materialise
 
 from . import _bytes as B
@@ -572,17 +574,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "text", "n_bytes", "spans", "kept")
 
 
-def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(repeat, doc_id, text_hash, start, stop, occurrences)``: every maximal repeat of ``length`` bytes or more with
-    all its occurrences, one row each; ``repeat`` is a hash of its bytes, ``text_hash`` the xxhash64 of the text
-    (which tells rows without an id apart), ``occurrences`` their number.
-
-    A repeat is maximal if no longer string has all of its occurrences; that is judged within the surroundings of an
-    anchor, the bytes of all strings that belong to it, at most ``2 * length - gram``. A repeat beyond them comes as
-    several, each around an anchor of its own, whose occurrences overlap. Groups and memberships meet by class, so
-    copies are listed once each and never in pairs. Repeated rows are one; null texts are empty; rows with a null id
-    have a null ``doc_id``; an empty table gives an empty one.
-    """
+def _anchored_groups(docs: DataFrame, doc_id: str, text: str, length: int, gram: int) -> DataFrame:
+    """``(repeat, d, text_hash, start, stop)``: see :func:`repeat_groups`."""
     job = _Job(docs.dropDuplicates([doc_id, text]), doc_id, text, length, gram)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -619,12 +612,97 @@ def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     groups = found.where(F.col("kind") == OWN).mapInArrow(unpacked(GROUP, ["g", "g2", "c", "c2", "before", "after"]), "g long, g2 long, c long, c2 long, before int, after int")
     members = found.where(F.col("kind") == BY).mapInArrow(unpacked(MEMBER, ["c", "c2", "d", "t", "a"]), "c long, c2 long, d long, t long, a int")
     repeat = F.concat(F.lpad(F.hex("g"), 16, "0"), F.lpad(F.hex("g2"), 16, "0"))
-    every = groups.join(members, ["c", "c2"]).select(repeat.alias("repeat"), "d", F.col("t").alias("text_hash"), (F.col("a") - F.col("before")).alias("start"), (F.col("a") + F.col("after")).alias("stop")).distinct()
+    return groups.join(members, ["c", "c2"]).select(repeat.alias("repeat"), "d", F.col("t").alias("text_hash"), (F.col("a") - F.col("before")).alias("start"), (F.col("a") + F.col("after")).alias("stop")).distinct()
+
+def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``(repeat, doc_id, text_hash, start, stop, occurrences)``: every maximal repeat of ``length`` bytes or more with
+    all its occurrences, one row each; ``repeat`` is a hash of its bytes, ``text_hash`` the xxhash64 of the text
+    (which tells rows without an id apart), ``occurrences`` their number.
+
+    A repeat is maximal if no longer string has all of its occurrences; that is judged within the surroundings of an
+    anchor, the bytes of all strings that belong to it, at most ``2 * length - gram``. A repeat beyond them comes as
+    several, each around an anchor of its own, whose occurrences overlap. Groups and memberships meet by class, so
+    copies are listed once each and never in pairs. Repeated rows are one; null texts are empty; rows with a null id
+    have a null ``doc_id``; an empty table gives an empty one.
+    """
+    every = materialise(_anchored_groups(docs, doc_id, text, length, gram), "anchored-groups")
     counts = every.groupBy("repeat").agg(F.count("*").alias("occurrences"))
     every = every.join(counts, "repeat")
     return every.select("repeat", F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "text_hash", "start", "stop", "occurrences")
 
 
+def _islands(chains: DataFrame) -> DataFrame:
+    """Of chains ``(chain, p, e, n, key)`` those that touch or overlap and have one set of occurrences, but for a shift (``key``),
+    as one: the first one's name with the whole extent."""
+    w = Window.partitionBy("key").orderBy("p", "e", "chain")
+    upto = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = chains.withColumn("new", F.when(upto.isNull() | (F.col("p") > upto), 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
+    return rows.groupBy("key", "island").agg(F.min_by("chain", F.struct("p", "e", "chain")).alias("chain"), F.min("p").alias("p"), F.max("e").alias("e"), F.first("n").alias("n")).drop("island")
+
+
+def _common_start(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bytes that two hex strings have in common at their start."""
+    def one(x: str, y: str) -> int:
+        n = min(len(x), len(y))
+        u, v = (np.frombuffer(z[:n].encode(), np.uint8) for z in (x, y))
+        odd = np.flatnonzero(u != v)
+        return int(odd[0] if len(odd) else n) // 2
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+
+def whole_repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, window: int = 64) -> DataFrame:
+    """``(repeat, doc_id, text_hash, start, stop, occurrences)``: maximal repeats of ``length`` bytes or more however long, with
+    all their occurrences, one row each; ``repeat`` is the MD5 of its bytes. Other inputs and columns as in :func:`repeat_groups`.
+
+    Groups of neighbouring anchors that have the same occurrences but for a shift, and touch, are one. What is left grows by the
+    bytes that all occurrences have before and after it: the least and the greatest of these contexts, formed before the
+    shuffle, share what all share, so no task gets a group's contexts. Contexts widen until they differ. A repeat
+    is found if some string of it within an anchor's surroundings has just its occurrences; of those nested in a run
+    of one short period, where strings overlap themselves, only some are.
+    """
+    named = docs.dropDuplicates([doc_id, text]).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("_x"))
+    texts = named.select("d", F.xxhash64("_x").alias("t"), F.encode("_x", "UTF-8").alias("bytes")).dropDuplicates(["d", "t"])
+    every = materialise(_anchored_groups(docs, doc_id, text, length, gram).withColumnRenamed("text_hash", "t"), "anchored-groups")
+    total = max(1, every.count())
+    firsts = materialise(every.groupBy("repeat").agg(F.min(F.struct("d", "t", "start", "stop")).alias("f"), F.count("*").alias("n")), "first-occurrences")
+    shift = F.col("start") - F.col("f.start")
+    same = join_groups(every, firsts, total, "repeat", "n").groupBy("repeat").agg(*[F.bit_xor(F.xxhash64(F.lit(i), "d", "t", shift)).alias(f"s{i}") for i in (0, 1)])
+    chains = firsts.join(same, "repeat").select(F.col("repeat").alias("chain"), F.col("f.start").alias("p"), F.col("f.stop").alias("e"), "n", F.struct("s0", "s1", "n", "f.d", "f.t").alias("key"))
+    chains = materialise(_islands(chains), "chains")
+    rows = join_groups(every.withColumnRenamed("repeat", "chain"), chains.select("chain", F.col("p"), F.col("e"), "n"), total, "chain", "n")
+    rows = materialise(rows.select("chain", "d", "t", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("e") - F.col("p")).cast("long").alias("b")), "occurrences")
+
+    common = F.pandas_udf(_common_start, "int", F.PandasUDFType.SCALAR)
+    open_, grown, width = rows, None, window
+    while True:
+        near = open_.join(texts, ["d", "t"])
+        left = F.reverse(F.hex(F.substring("bytes", (F.greatest(F.col("a") - width, F.lit(0)) + 1).cast("int"), F.least("a", F.lit(width)).cast("int"))))
+        right = F.hex(F.substring("bytes", (F.col("b") + 1).cast("int"), F.lit(width)))
+        ends = near.select("chain", left.alias("l"), right.alias("r")).groupBy("chain").agg(F.min("l").alias("l0"), F.max("l").alias("l1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("n"))
+        ends = materialise(ends.select("chain", "n", common("l0", "l1").alias("l"), common("r0", "r1").alias("r")), "common-contexts")
+        moved = join_groups(open_, ends, total, "chain", "n").select("chain", "d", "t", (F.col("a") - F.col("l")).alias("a"), (F.col("b") + F.col("r")).alias("b"), (F.greatest("l", "r") == width).alias("more"))
+        moved = materialise(moved, "occurrences")
+        done = moved.where("not more").drop("more")
+        grown = done if grown is None else grown.unionByName(done)
+        open_ = moved.where("more").drop("more")
+        if open_.isEmpty():
+            break
+        width = min(16 * width, 1 << 20)
+    grown = materialise(grown, "whole-occurrences")
+    heads = grown.groupBy("chain").agg(F.min(F.struct("d", "t", "a", "b")).alias("f"))
+    heads = heads.join(chains.select("chain", "n", "key"), "chain").select("chain", F.col("f.a").alias("p"), F.col("f.b").alias("e"), "n", "key", F.col("f.d").alias("d"), F.col("f.t").alias("t"))
+    last = materialise(_islands(heads), "groups").join(heads.select("chain", "d", "t", F.col("p").alias("p0")), "chain")
+    content = last.join(texts, ["d", "t"]).select("chain", "n", (F.col("e") - F.col("p")).alias("size"), F.md5(F.substring("bytes", (F.col("p") + 1).cast("int"), (F.col("e") - F.col("p")).cast("int"))).alias("repeat"))
+    out = join_groups(grown, materialise(content, "contents"), total, "chain", "n")
+    return out.select("repeat", F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), F.col("t").alias("text_hash"), F.col("a").alias("start"), (F.col("a") + F.col("size")).alias("stop"), F.col("n").alias("occurrences"))
+
+
+def repeat_groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal repeat groups of ``documents``; odd inputs as stated in :func:`whole_repeat_groups`."""
+    return whole_repeat_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without their repeated bytes; odd inputs as stated in :func:`remove_repeats`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -633,5 +711,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.floor(F.length("spans") / 16).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op10_repeats": op10_repeats}
+QUERIES = {"op10_repeats": op10_repeats, "repeat_groups": repeat_groups_query}
 ORACLE: dict[str, str] = {}

@@ -100,3 +100,52 @@ def test_copies_collapse(spark, monkeypatch):
     got = repeats.remove_repeats(frame, length=12, gram=4).collect()
     assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got), key=repr) == sorted(want, key=repr)
     assert repeats.remove_repeats(frame.limit(0)).count() == 0 and repeats.repeat_groups(frame.limit(0).select("doc_id", "text")).count() == 0
+
+
+def whole_by_hand(texts, length):
+    """Maximal repeats of any length: strings of which no longer one has as many occurrences."""
+    where = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for a in range(len(t) - length + 1):
+            where[t[a : a + length]].add((i, a))
+    level = {k: v for k, v in where.items() if len(v) > 1}
+    out = {}
+    while level:
+        longer = collections.defaultdict(set)
+        for k, v in level.items():
+            for i, a in v:
+                if a + len(k) < len(texts[i]):
+                    longer[k + texts[i][a + len(k) : a + len(k) + 1]].add((i, a))
+        longer = {k: v for k, v in longer.items() if len(v) > 1}
+        for k, v in level.items():
+            right = any(len(longer.get(k + bytes([c]), ())) == len(v) for c in {texts[i][a + len(k)] for i, a in v if a + len(k) < len(texts[i])})
+            before = {texts[i][a - 1] if a else -1 - i for i, a in v}
+            if not right and (len(before) > 1 or min(before) < 0):
+                out[k] = v
+        level = longer
+    return out
+
+
+@pytest.mark.parametrize(("seed", "length", "gram"), [(0, 12, 4), (1, 12, 4), (2, 30, 8)])
+def test_whole_groups_far_beyond_surroundings(spark, seed, length, gram):
+    """Passages of up to twenty times the minimum, whole copies, and rows that repeat."""
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop é") for _ in range(n))
+    passages = [noise(n * length) for n in (1, 2, 5, 20, 12)]
+    docs = [(i, "".join(rng.choice((rng.choice(passages), noise(rng.randrange(3 * length)))) for _ in range(rng.randrange(1, 5)))) for i in range(16)]
+    docs += [(50, docs[3][1]), (51, docs[3][1] + "tail"), (51, docs[3][1] + "tail"), (53, ""), (54, None), (55, "x" + passages[0] + "y" + passages[0]), (56, passages[3] + "q" + passages[4]), (57, "z" + passages[3])]
+    own = list(dict.fromkeys(docs))
+    texts = [(t or "").encode() for _, t in own]
+    rows = repeats.whole_repeat_groups(spark.createDataFrame(docs, SCHEMA), length=length, gram=gram, window=5).collect()
+    at = {i: n for n, (i, _) in enumerate(own)}
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r["repeat"]].add((at[r.doc_id], r.start, r.stop))
+    got = {}
+    for x in by.values():
+        strings = {texts[i][a:b] for i, a, b in x}
+        assert len(strings) == 1
+        got[strings.pop()] = {(i, a) for i, a, _ in x}
+    want = whole_by_hand(texts, length)
+    assert max(map(len, want)) > 10 * length and sum(len(x) for x in by.values()) == len(rows)
+    assert got == want
