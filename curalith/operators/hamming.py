@@ -20,8 +20,10 @@ from curalith.storage import materialise
 
 #: Codes and queries that meet in one task where queries are held against all codes.
 CODE_BLOCK, QUERY_BLOCK = 1 << 19, 1 << 14
-#: A probed key costs about as much as so many codes that are scanned.
-PROBE = 6
+#: A probed key costs a task about as much as so many codes that are scanned.
+PROBE = 40
+#: In joined rounds a query asks no more keys than one in so many codes; beyond, it is held against all.
+ROUND = 6
 
 
 def spans(bits: int, count: int) -> list[tuple[int, int]]:
@@ -47,6 +49,7 @@ class Tables:
 
     def __init__(self, codes: np.ndarray, bits: int):
         self.codes, self.bits = codes, bits
+        self.words = [np.ascontiguousarray(codes[:, i]) for i in range(codes.shape[1])]
         self.spans = spans(bits, block_count(bits, len(codes)))
         self.compared = 0  # pairs whose distance was computed
         self.order, self.start = [], []
@@ -83,11 +86,11 @@ class Tables:
         if not scan and not self.start:
             self._build()
         most = self.weights(radius)
-        todo = [] if scan else [(i, masks(b - a, w)) for i, (a, b) in enumerate(self.spans) for w in range(most[i] + 1)]
+        todo = [] if scan else [(i, np.concatenate([masks(b - a, w) for w in range(most[i] + 1)])) for i, (a, b) in enumerate(self.spans) if most[i] >= 0]
         keys = [] if scan else [self.keys(queries, a, b) for a, b in self.spans]
         for q in range(len(queries)):
             if scan:
-                rows, d = None, self._distance(self.codes, queries[q])
+                rows, d = None, self._distance(queries[q])
             else:
                 met = []
                 for i, mask in todo:
@@ -101,15 +104,18 @@ class Tables:
                 if not met:
                     continue
                 rows = np.concatenate(met)
-                d = self._distance(self.codes[rows], queries[q])
+                d = self._distance(queries[q], rows)
             hit = np.flatnonzero(d <= radius)
             if len(hit):
                 found, first = np.unique(hit if rows is None else rows[hit], return_index=True)
                 yield q, found, d[hit][first]
 
-    def _distance(self, codes: np.ndarray, query: np.ndarray) -> np.ndarray:
-        self.compared += len(codes)
-        return np.bitwise_count(codes ^ query).sum(1, dtype=np.int32)
+    def _distance(self, query: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        out = 0
+        for own, q in zip(self.words, query):
+            out = out + np.bitwise_count((own if rows is None else own[rows]) ^ q).astype(np.int16, copy=False)
+        self.compared += len(out)
+        return out.astype(np.int32)
 
 
 def dealt(queries: DataFrame, codes: DataFrame, n_queries: int, n_codes: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -166,13 +172,13 @@ def nearest_distance(queries: DataFrame, reference: DataFrame, bits: int = 64, l
         probes = sum(math.comb(w, t) for w in widths)
         if not asking or t > max(widths):
             break
-        if probes * PROBE > n and t:
+        if probes * ROUND > n and t:
             found = _held_against_all(open_, ref, asking, n).groupBy("code").agg(F.min("d").alias("d"))
             open_ = materialise(open_.join(found, "code", "left").select("code", F.least("best", "d").alias("best")), "settled")
             if log is not None:
                 log.append({"round": "all", "asking": asking, "met": asking * n})
             break
-        mask = F.broadcast(spark.createDataFrame([(i, m) for i, w in enumerate(widths) for m in masks(w, t).tolist()], "block int, mask long"))  # no more than n / PROBE rows, or one a block
+        mask = F.broadcast(spark.createDataFrame([(i, m) for i, w in enumerate(widths) for m in masks(w, t).tolist()], "block int, mask long"))  # no more than n / ROUND rows, or one a block
         asked = open_.select("code", F.explode(_block_keys(F.col("code"), bits, count)).alias("x")).select("code", F.col("x.block").alias("block"), F.col("x.key").alias("own"))
         asked = asked.join(mask, "block").select("code", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
         met = asked.join(keyed.hint("merge"), ["block", "key"]).groupBy("code").agg(F.min(F.bit_count(F.col("code").bitwiseXOR(F.col("other")))).cast("int").alias("d"), F.count("*").alias("met"))
