@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from curalith.operators import audit as A, forest as T
 from curalith.storage import materialise
 
@@ -49,12 +51,15 @@ def graph():
     return out + [(2000 + i, 2001 + i, i / 30) for i in range(29)] + [(2029, 2000, 1.0)]  # a ring of rising scores
 
 
-def test_forest_and_thresholds(spark):
+@pytest.mark.parametrize("small", [0, 40, 50_000])
+def test_forest_and_thresholds(spark, monkeypatch, small):
+    """By rounds alone, by rounds and then one task, and by one task alone."""
+    monkeypatch.setattr(T, "SMALL", small)
     links = graph()
     df = spark.createDataFrame(links, "src long, dst long, score double")
     got = materialise(T.spanning_forest(df), "forest")
     assert sorted(map(tuple, got.collect())) == sorted(kruskal(links))
-    taus = [0.1, 0.61, 1.5]
+    taus = [0.1, 0.61, 1.5] if small else [0.61]
     assert T.largest_components(got, taus) == {t: largest(links, t) for t in taus}
 
 
