@@ -574,9 +574,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "text", "n_bytes", "spans", "kept")
 
 
+def _distinct_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` without rows that repeat in id and text. Texts are shuffled only if some do."""
+    again = docs.groupBy(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t")).agg(F.count("*").alias("n")).where("n > 1")
+    return docs if again.isEmpty() else docs.dropDuplicates([doc_id, text])
+
+
 def _anchored_groups(docs: DataFrame, doc_id: str, text: str, length: int, gram: int) -> DataFrame:
     """``(repeat, d, text_hash, start, stop)``: see :func:`repeat_groups`."""
-    job = _Job(docs.dropDuplicates([doc_id, text]), doc_id, text, length, gram)
+    job = _Job(_distinct_rows(docs, doc_id, text), doc_id, text, length, gram)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, marks in _by_shard(batches, length):
@@ -661,8 +667,10 @@ def whole_repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     is found if some string of it within an anchor's surroundings has just its occurrences; of those nested in a run
     of one short period, where strings overlap themselves, only some are.
     """
-    named = docs.dropDuplicates([doc_id, text]).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("_x"))
-    texts = named.select("d", F.xxhash64("_x").alias("t"), F.encode("_x", "UTF-8").alias("bytes")).dropDuplicates(["d", "t"])
+    # a null id and a null text may stand beside their stand-ins
+    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("_x"))
+    texts = named.select("d", F.xxhash64("_x").alias("t"), F.encode("_x", "UTF-8").alias("bytes"), "_x")
+    texts = _distinct_rows(texts, "d", "_x").drop("_x")
     every = materialise(_anchored_groups(docs, doc_id, text, length, gram).withColumnRenamed("text_hash", "t"), "anchored-groups")
     total = max(1, every.count())
     firsts = materialise(every.groupBy("repeat").agg(F.min(F.struct("d", "t", "start", "stop")).alias("f"), F.count("*").alias("n")), "first-occurrences")
