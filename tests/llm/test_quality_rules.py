@@ -107,3 +107,28 @@ def test_odd_inputs(spark):
     by = sorted(((r["doc_id"] or 0, r["n_words"], r["base_failed"], r["kept"]) for r in got))
     assert by == [(0, 0, True, False), (1, 0, True, False), (1, 0, True, False), (2, 300000, True, False), (3, 11, False, True)]
     assert Q.with_verdicts(docs.limit(0), rules).count() == 0 and Q.fit_sample(docs.limit(0), labels.limit(0)).limit == 0
+
+
+@pytest.mark.parametrize("block", (250, 10**6))
+def test_trees_of_a_table_are_those_of_arrays(spark, block):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(-3, 9, 2000) / 4, rng.integers(0, 12, 2000), rng.integers(0, 3, 2000)]).astype(float)
+    y = ((np.sin(x[:, 0]) + np.cos(x[:, 1]) - x[:, 2] / 3 + rng.normal(size=2000) * 0.4) > 0).astype(float)
+    way = np.array([1, 0, -1])
+    table = spark.createDataFrame([(i, int(b), bytearray(a.tobytes())) for i, (a, b) in enumerate(zip(x, y))], "id long, y int, x binary")
+    want, got = (boosting.fit(x, y, way, rounds=12), boosting.fit_table(table, way, rounds=12, block=block))
+    assert len(got.roots) == 12 and np.allclose(got.margins(x), want.margins(x), atol=1e-4) and np.ptp(want.margins(x)) > 1
+    assert not len(boosting.fit_table(table.where("y = 1"), way).roots) and not len(boosting.fit_table(table.limit(0), way).roots)
+
+
+def test_rules_come_from_all_labelled_rows(spark):
+    """Bad rows are labelled only behind the first 8,000 in the order of hashed ids, by which a sample was drawn once."""
+    import hashlib
+
+    ids = sorted((i for i in range(12000) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert len(ids) > 9000
+    good, bad = "some plain words that stand in a row and then end here.", "some ^^ words ^^ that ^^ stand in a row ^^ and end here"
+    docs = spark.createDataFrame([(i, good if k < 8000 else bad) for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < 8000)) for k, i in enumerate(ids)], "doc_id long, quality int")
+    kept = Q.with_verdicts(docs, Q.fit_sample(docs, labels)).groupBy("text", "kept").count().collect()
+    assert {(r["text"], r["kept"]) for r in kept} == {(good, True), (bad, False)}
