@@ -108,3 +108,23 @@ def test_nearest_of_odd_inputs(spark):
     got = {r["query"]: (r["reference"], round(r["score"], 9)) for r in A.nearest(ask, ref, "id", "v", cell=1).collect()}
     assert got == {11: (0, 0.0), 12: (0, 1.0), 13: (2, 0.0)}
     assert A.nearest(ask, ref.limit(0), "id", "v").count() == 0 == A.nearest(ask.limit(0), ref, "id", "v").count()
+
+
+def test_random_vectors_are_sent_once_a_tile_and_no_link_is_shuffled(spark):
+    """Visits would send each of 3,000 vectors to about 30 cells; tiles send it to six."""
+    x, log = np.random.default_rng(8).normal(size=(3000, 32)), []
+    items = M.packed(frame(spark, x), "id", ["v"])
+    u = units(x)
+    got = M.pairs_within(items, 32, 0.5, cell=50, block=100, log=log)
+    assert {(r["src"], r["dst"]) for r in got.collect()} == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.5, 1)))}
+    assert log[0]["visits"] <= 5 * len(x) and "hashpartitioning(src" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("least, cell", [(0.3, 50), (0.9, 10)])
+def test_thinned_links_connect_what_all_connect(spark, monkeypatch, least, cell):
+    monkeypatch.setattr(M, "LINKS", 200)
+    x = np.random.default_rng(9).normal(size=(600, 16)) if least < 0.5 else clustered(np.random.default_rng(9), 600)
+    df, taus = frame(spark, x), [least, least + 0.05, least + 0.08]
+    every, thin = L.cosine_links(df, "id", "v", least, cell=cell), L.cosine_links(df, "id", "v", least, cell=cell, forest=True)
+    assert thin.count() < every.count()
+    assert [tuple(r) for r in A.escalate(thin, 600, taus, most=0).collect()] == [tuple(r) for r in A.escalate(every, 600, taus, most=0).collect()]
