@@ -69,7 +69,7 @@ f AS (SELECT coalesce(min(i) FILTER (share <= 0.02), 4) AS i FROM w)
 SELECT round(tau, 2)::DOUBLE AS tau, largest, round(share, 6) AS share, w.i = f.i AS chosen FROM w, f WHERE w.i <= f.i""")
 def tau_escalation(spark, sf):
     e = table(spark, sf, "embeddings")
-    links = L.cosine_links(e, "vec_id", "embedding", 0.3)
+    links = L.cosine_links(e, "vec_id", "embedding", 0.3, forest=True)
     return A.escalate(links, e.count(), [round(0.3 + 0.04 * i, 2) for i in range(5)]).withColumn("share", F.round("share", 6))
 
 
