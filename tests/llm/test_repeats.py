@@ -149,3 +149,43 @@ def test_whole_groups_far_beyond_surroundings(spark, seed, length, gram):
     want = whole_by_hand(texts, length)
     assert max(map(len, want)) > 10 * length and sum(len(x) for x in by.values()) == len(rows)
     assert got == want
+
+
+def test_whole_groups_shuffle_texts_once(spark):
+    """Of texts of which little repeats, far less is shuffled than twice their bytes, in however many rounds contexts grow."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9E00)) for _ in range(n))
+    # of the long passage's occurrences some begin later, so groups around its later anchors must grow by contexts
+    passage = noise(700)
+    docs = [(i, noise(3000) + (passage[100 * (i % 3) :] if i % 4 == 0 else noise(500)) + noise(2000)) for i in range(120)]
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    # a table that is small only in a test is not broadcast
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = repeats.whole_repeat_groups(spark.createDataFrame(docs, SCHEMA), window=8).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    new = sum(v for k, v in shuffled().items() if k not in before)
+    assert len(rows) > 60 and max(r.stop - r.start for r in rows) == 2100
+    assert new < 2 * sum(len(t.encode()) for _, t in docs)
+
+
+def test_copies_at_the_ends_of_texts_are_closed(spark):
+    """Equal surroundings end where texts do, or where the next bytes differ; else they grow."""
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    one, two = noise(75), noise(31)
+    texts = [one, one, one + "x", "y" + one, two + "1", two + "2", "3" + two, "4" + two, "5" + one[:40] + "6", "7" + one[20:64] + "8"]
+    rows = repeats.whole_repeat_groups(spark.createDataFrame(list(enumerate(texts)), SCHEMA), length=12, gram=4, window=3).collect()
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[texts[r.doc_id][r.start : r.stop].encode()].add((r.doc_id, r.start))
+    assert got == whole_by_hand([t.encode() for t in texts], 12)
