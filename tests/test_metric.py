@@ -1,9 +1,15 @@
 """The metric partition against all pairs: near copies among clusters, copies, mirrors, zero and null vectors."""
 
+import math
+
+import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from curalith.operators import audit as A, links as L, metric as M
+from curalith.plans import registry
 
 
 def clustered(rng, n, dims=16, clusters=40, spread=0.35):
@@ -128,3 +134,66 @@ def test_thinned_links_connect_what_all_connect(spark, monkeypatch, least, cell)
     every, thin = L.cosine_links(df, "id", "v", least, cell=cell), L.cosine_links(df, "id", "v", least, cell=cell, forest=True)
     assert thin.count() < every.count()
     assert [tuple(r) for r in A.escalate(thin, 600, taus, most=0).collect()] == [tuple(r) for r in A.escalate(every, 600, taus, most=0).collect()]
+
+
+def with_copies(rng, n=300):
+    """Vectors of which some are held by several rows, whose ids lie between those of others; one by many."""
+    x = clustered(rng, n)
+    return x[np.concatenate([rng.permutation(len(x)), rng.integers(0, len(x), n // 3), [7] * 40])]
+
+
+@pytest.mark.parametrize("saves", [0.0, 1.0])
+@pytest.mark.parametrize("mirror", [None, "w"])
+def test_copies_are_in_all_their_pairs_by_tiles_and_by_visits(spark, monkeypatch, saves, mirror):
+    monkeypatch.setattr(M, "SAVES", saves)
+    x = with_copies(np.random.default_rng(10))
+    df = spark.createDataFrame([(i, v.tolist(), v[::-1].tolist()) for i, v in enumerate(x)], "id long, v array<double>, w array<double>")
+    u, w = units(x, x.mean(0)), units(x[:, ::-1], x.mean(0))
+    s = np.maximum(u @ u.T, u @ w.T) if mirror else u @ u.T
+    want = {(int(a), int(b)): round(float(s[a, b]), 9) for a, b in zip(*np.nonzero(np.triu(s >= 0.8, 1)))}
+    got = L.cosine_links(df, "id", "v", 0.8, mirror, cell=60, whole=True)
+    assert links(got) == want and got.count() == len(want)
+    items = M.packed(df, "id", ["v", mirror] if mirror else ["v"], x.mean(0))
+    parts = M.gathered(items, 3)  # classes in several parts
+    assert parts.where("size(ids) > 3").isEmpty() and parts.where("kind = 0").selectExpr("sum(size(ids))").first()[0] == len(x)
+    got = M.pairs_within(parts, 16, 0.8, cell=60, block=40)
+    assert links(got) == want and got.count() == len(want)
+
+
+def test_pairs_of_many_copies_come_in_parts(monkeypatch):
+    monkeypatch.setattr(M, "LINKS", 10)
+    members = M._members(pa.chunked_array([pa.array([[1, 4, 9, 20], [2, 3, 30]]), pa.array([[5]])]))
+    x, y = (a.ravel() for a in np.meshgrid(range(3), range(3), indexing="ij"))
+    got = [list(zip(*map(np.ndarray.tolist, part))) for part in M._links(x, y, np.ones(9), np.zeros(3, int), members, False)]
+    ids = sorted([1, 4, 9, 20, 2, 3, 30, 5])
+    assert sorted(sum(got, [])) == [(a, b, 1.0) for a in ids for b in ids if a < b] and len(got) > 1
+
+
+@pytest.mark.parametrize("name", ["mirrored_cosine_links", "cosine_links"])
+def test_queries_equal_their_sql_where_rows_repeat(spark, tmp_path, name):
+    x = with_copies(np.random.default_rng(11), 120).astype(np.float32)
+    pd.DataFrame({"vec_id": np.random.default_rng(1).permutation(len(x)), "embedding": list(x), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    want = {(a, b): s for a, b, s in con.sql(registry.oracle_sql()[name]).fetchall()}
+    rows = registry.queries()[name](spark, str(tmp_path)).collect()
+    got = {(r.src, r.dst): r.score for r in rows}
+    assert got.keys() == want.keys() and len(rows) == len(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_visits_between_pivots_that_nearly_agree():
+    """The gaps between pivots that are 1e-8 to 6e-8 apart are rounded in their products."""
+    rng, alpha = np.random.default_rng(12), math.acos(0.4)
+    for apart in np.linspace(1e-8, 6e-8, 60):
+        c, e = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        p = np.array([c, c + apart * e])
+        p /= np.linalg.norm(p, axis=1, keepdims=True)
+        t = rng.uniform(-1.4, 1.4, 200)
+        x = units(np.cos(t)[:, None] * c + np.sin(t)[:, None] * e + 0.02 * rng.normal(size=(200, 64)))
+        angles = M._angles(x, p)
+        own = angles.argmin(1)
+        batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own, pa.int32())], ["v", "cell"])
+        widest = {i: angles[own == i, i].max() for i in range(2) if (own == i).any()}
+        i, j, _ = M._reacher(p, widest, True, alpha)(batch)
+        a, b = np.nonzero((x @ x.T >= 0.4) & (own[:, None] < own))
+        assert set(zip(a.tolist(), own[b].tolist())) <= set(zip(i.tolist(), j.tolist()))
